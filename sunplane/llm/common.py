@@ -59,7 +59,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
+def power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _BASE_INV)):
             p = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
@@ -70,7 +70,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte range [start, end) of data, equal for equal ranges wherever they lie."""
-    up, down = _power_tables(len(data) + 1)
+    up, down = power_tables(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
