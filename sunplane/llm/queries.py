@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sunplane.llm.chat_format import OP2_SQL, op2_chat_formatting
 from sunplane.llm.decontaminate import op1_benchmark_decontamination
+from sunplane.llm.html_template import op7_html_extraction
 from sunplane.llm.language_id import op9_language_id
 from sunplane.llm.line_dedup import OP10_SQL, op10_line_dedup
 from sunplane.llm.ngram_join import op5_ngram_jaccard_join
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_packing": op6_packing,
+    "op7_html_extraction": op7_html_extraction,
     "op8_pii": op8_pii,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
