@@ -59,6 +59,7 @@ class WindowIndex:
         self.bags = [np.unique(s, return_counts=True) for _, _, s in items]
         self.prints = np.array([simhash(s) for _, _, s in items], np.uint64)
         self.known = np.unique(np.concatenate([s for _, _, s in items]))
+        self.of_size = {int(n): np.isin(self.known, np.concatenate([s for _, w, s in items if w == n])) for n in np.unique(self.words)}
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.known >> np.uint64(44)).astype(np.int64)] = True
         self.blocks = []
@@ -78,42 +79,37 @@ class WindowIndex:
         apart = self.prints[items] ^ np.uint64(mark)
         return items[sum(_ONES[(apart >> np.uint64(16 * b) & np.uint64(0xFFFF)).astype(np.int64)].astype(int) for b in range(4)) <= RADIUS]
 
-    def search(self, shingles: np.ndarray, hits: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
+    def search(self, shingles: np.ndarray, spots: np.ndarray, which: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
         """For each item that a window of one text matches: start, words, common weight, joint weight of the best
-        window (the first of equals). hits: which shingles occur in any item; a window in which fewer of them than the threshold
-        asks for can't match, so it has no fingerprint."""
+        window (the first of equals). spots: where shingles of items stand; which: which of self.known they are. A
+        window with fewer shingles of items of its size than the threshold asks for matches none, so it has no
+        fingerprint."""
         best: dict[int, tuple[int, int, int, int]] = {}
-        near = np.flatnonzero(hits)
-        count = np.concatenate([[0], np.cumsum(hits)])
         num, den = self.threshold
-        marks: dict[bytes, np.ndarray] = {}
-        for words in np.unique(self.words):
-            n = min(int(words) - self.width + 1, len(shingles))
-            need = -(-num * (int(words) - self.width + 1) // den)
-            if n < need:
+        for words, mask in self.of_size.items():
+            near, full = spots[mask[which]], words - self.width + 1
+            n, need = min(full, len(shingles)), -(-num * full // den)
+            if n < need or len(near) < need:
                 continue
             starts = np.unique(np.clip((near[:, None] - np.arange(n)[None, :]).ravel(), 0, len(shingles) - n))
-            starts = starts[count[starts + n] - count[starts] >= need]
-            for part in np.array_split(starts, max(1, len(starts) // 2000)):
-                if not len(part):
-                    continue
-                low, high = part[0], part[-1] + n
-                sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_bits(shingles[low:high]), axis=0)])
-                for start, mark in zip(part, _sign(sums[part - low + n] - sums[part - low])):
-                    key = int(mark)
-                    if key not in marks:
-                        marks[key] = self.within(key)
-                    items = marks[key]
-                    items = items[self.words[items] == words]
-                    if not len(items):
-                        continue
-                    bag = np.unique(shingles[start : start + n], return_counts=True)
-                    for k in items:
-                        common = weighted_common(bag, self.bags[k])
-                        joint = n + int(words) - self.width + 1 - common
-                        row = int(self.rows[k])
-                        if common * den >= num * joint and (row not in best or common * best[row][3] > best[row][2] * joint):
-                            best[row] = (int(start), n + self.width - 1, common, joint)
+            starts = starts[np.searchsorted(near, starts + n) - np.searchsorted(near, starts) >= need]
+            breaks = np.flatnonzero(np.diff(starts) > 4 * n) + 1
+            for run in np.split(starts, breaks):
+                for part in np.array_split(run, -(-len(run) // 4096)) if len(run) else []:
+                    low, high = part[0], part[-1] + n
+                    sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_bits(shingles[low:high]), axis=0)])
+                    for start, mark in zip(part, _sign(sums[part - low + n] - sums[part - low])):
+                        items = self.within(int(mark))
+                        items = items[self.words[items] == words]
+                        if not len(items):
+                            continue
+                        bag = np.unique(shingles[start : start + n], return_counts=True)
+                        for k in items:
+                            common = weighted_common(bag, self.bags[k])
+                            joint = n + full - common
+                            row = int(self.rows[k])
+                            if common * den >= num * joint and (row not in best or common * best[row][3] > best[row][2] * joint):
+                                best[row] = (int(start), n + self.width - 1, common, joint)
         return best
 
 
@@ -186,16 +182,14 @@ def _search(names: list, indexes: list[WindowIndex], id_type: pa.DataType, item_
                     maybe = np.flatnonzero(index.filter[(every >> np.uint64(44)).astype(np.int64)])
                     at = np.searchsorted(index.known, every[maybe])
                     at[at == len(index.known)] = 0
-                    spots = maybe[index.known[at] == every[maybe]]
+                    there = index.known[at] == every[maybe]
+                    spots, which = maybe[there], at[there]
                     for k in np.unique(np.searchsorted(first, spots, "right") - 1):
                         a, b = int(first[k]), int(first[k + 1]) - index.width + 1
-                        own = spots[(spots >= a) & (spots < b)] - a
-                        if len(own):
-                            hits = np.zeros(b - a, bool)
-                            hits[own] = True
-                            for item, (start, n, common, joint) in sorted(index.search(every[a:b], hits).items()):
-                                of.append(row + k)
-                                out.append((names[item], start, n, common / joint))
+                        own = slice(*np.searchsorted(spots, (a, b)))
+                        for item, (start, n, common, joint) in sorted(index.search(every[a:b], spots[own] - a, which[own]).items()) if a < b else []:
+                            of.append(row + k)
+                            out.append((names[item], start, n, common / joint))
             if out:
                 item, start, n, alike = zip(*out)
                 yield pa.RecordBatch.from_arrays(
