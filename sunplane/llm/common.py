@@ -93,8 +93,8 @@ def runs(data: np.ndarray, bounds: np.ndarray, inside: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, bounds)
 
 
-def text_chunks(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Slices of a string column of about CHUNK_BYTES: first row, end row, their bytes, and row bounds in them.
+def text_chunks(texts: pa.Array, lower: bool = False, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of a string column of about `size` bytes: first row, end row, their bytes, and row bounds in them.
     Nulls count as empty. A single longer text forms a slice of its own."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if lower:
@@ -108,7 +108,7 @@ def text_chunks(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     row = 0
     while row < len(texts):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK_BYTES, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         end = min(end, len(texts))
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end

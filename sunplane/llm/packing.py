@@ -7,52 +7,98 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Words whose ids a worker remembers; at more it starts anew, so its memory is bounded.
-REMEMBERED = 400_000
-#: Characters of text encoded at once.
-AT_ONCE = 1 << 20
+from sunplane.llm.common import run_hashes, text_chunks
+
+#: Units whose ids a worker remembers; at more it starts anew, so its memory is bounded.
+REMEMBERED = 600_000
+#: Bytes of text encoded at once.
+AT_ONCE = 2 << 20
+#: Between units that are encoded together; its id doesn't occur otherwise, as texts that have `<|` are encoded by themselves.
+MARK = "<|endoftext|>"
+
+_SPACE, _ALPHA, _PUNCT, _OTHER = range(4)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[0x20, 0x0A]] = _SPACE
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _ALPHA
+_CLASS[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = _PUNCT
+_LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
+
+
+def units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and first of each text (as common.runs) of the units that can be encoded apart: parted by spaces
+    and newlines, and between an ASCII letter and ASCII punctuation but an apostrophe, which may begin a
+    contraction."""
+    kind = _CLASS[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[bounds] = True
+    pair = kind[1:] + kind[:-1]
+    cut[1:-1] |= (pair == _ALPHA + _PUNCT) & (kind[1:] != kind[:-1]) & (kind[1:] != _SPACE) & (kind[:-1] != _SPACE)
+    cut[1:-1] |= (kind[1:] == _SPACE) != (kind[:-1] == _SPACE)
+    solid = kind != _SPACE
+    starts, ends = np.flatnonzero(cut[:-1] & solid), np.flatnonzero(cut[1:] & solid) + 1
+    return starts, ends, np.searchsorted(starts, bounds)
 
 
 class WordEncoder:
-    """Token ids of texts, for tokenizers that drop white space and never join across it: the words between
-    spaces and newlines are encoded once each and remembered."""
+    """Token ids of texts, for tokenizers that drop white space, fold case and never join tokens across white space or
+    between letters and punctuation. Units are looked up by a 64-bit hash; each is encoded once and remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self.tokenizer.token_to_id(MARK)
         self.forget()
 
     def forget(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code: dict[int, int] = {}
         self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one text after the other, and the bounds of the texts among them."""
+    def _learn(self, hashes: list[int], words: list[str]) -> None:
+        flat = np.array(self.tokenizer.encode(MARK.join(words) + MARK, add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(flat == self.mark)
+        lengths = np.diff(np.concatenate([[-1], ends])) - 1
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, flat[flat != self.mark]])
+        self.code.update(zip(hashes, range(len(self.code), len(self.code) + len(hashes))))
+
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the UTF-8 texts between the bounds one after the other, and the bounds of the texts among them."""
         if len(self.code) > REMEMBERED:
             self.forget()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = [w for ws in split for w in ws]
-        if new := list(set(words) - self.code.keys()):
-            found = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))])
-            self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
-        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        starts, ends, first = units(data, bounds)
+        high = np.concatenate([[0], np.cumsum(data >= 0x80)])
+        folded = run_hashes(_LOWER[data], starts, ends)
+        foreign = high[ends] > high[starts]
+        if foreign.any():
+            folded[foreign] = run_hashes(data, starts[foreign], ends[foreign])
+        which, different = pd.factorize(folded)
+        known = [self.code.get(h, -1) for h in different.tolist()]
+        codes = np.array(known, np.int64)
+        if len(new := np.flatnonzero(codes < 0)):
+            at = np.zeros(len(different), np.int64)
+            at[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+            raw = data.tobytes()
+            for k in range(0, len(new), 4096):
+                part = new[k : k + 4096]
+                self._learn(different[part].tolist(), [raw[a:b].decode() for a, b in zip(starts[at[part]].tolist(), ends[at[part]].tolist())])
+            codes[new] = np.arange(len(self.starts) - len(new), len(self.starts))
+        codes = codes[which]
         lengths = self.lengths[codes]
-        ends = np.cumsum(lengths)
-        at = np.repeat(self.starts[codes] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-        per_text = np.cumsum([0] + [len(ws) for ws in split])
-        return self.ids[at], np.concatenate([[0], ends])[per_text]
+        after = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.repeat(self.starts[codes] - after[:-1], lengths) + np.arange(after[-1])
+        return self.ids[at], after[first]
+
+    def encode_alone(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -92,15 +138,18 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             _encoders[tokenizer_path] = WordEncoder(tokenizer_path)
         encoder = _encoders[tokenizer_path]
         for batch in batches:
-            texts = pc.fill_null(batch.column(1), "")
-            sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-            row = 0
-            while row < len(texts):
-                end = max(row + 1, int(np.searchsorted(sizes, (sizes[row - 1] if row else 0) + AT_ONCE, "right")))
-                ids, bounds = encoder.encode(texts.slice(row, end - row).to_pylist())
+            for row, end, data, edges in text_chunks(batch.column(1), size=AT_ONCE):
+                raw = data.tobytes()
+                alone = [k for k in range(end - row) if b"<|" in raw[edges[k] : edges[k + 1]]] if b"<|" in raw else []
+                if alone:  # their bytes count as spaces, and they are encoded by themselves
+                    data = data.copy()
+                    for k in alone:
+                        data[edges[k] : edges[k + 1]] = 0x20
+                ids, bounds = encoder.encode(data, edges)
+                apart = {k: encoder.encode_alone(raw[edges[k] : edges[k + 1]].decode()) for k in alone}
                 of, rows, lists = [], [], []
                 for k in range(end - row):
-                    own = np.append(ids[bounds[k] : bounds[k + 1]], np.uint32(end_id)).astype("<u4")
+                    own = np.append(apart.get(k, ids[bounds[k] : bounds[k + 1]]), np.uint32(end_id)).astype("<u4")
                     for start, length in binary_pieces(len(own), longest):
                         piece = own[start : start + length]
                         of.append(row + k)
@@ -113,7 +162,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                     flat = np.concatenate(lists) if lists else np.zeros(0, np.int32)
                     arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(columns[1])]).astype(np.int32)), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "start", "length", "ids_crc32", "doc_tokens", "bucket"] + ["ids"] * with_ids)
-                row = end
 
     pieces = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(pack, schema)
     return pieces.select(
