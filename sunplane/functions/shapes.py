@@ -53,7 +53,7 @@ def contains(edges: Column, x: Column, y: Column) -> Column:
     """Whether the point is inside by the even-odd rule; points on a side may count either way, so ask
     boundary_distance too where that matters."""
     crosses = lambda e: ((e["ay"] > y) != (e["by"] > y)) & (x < (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"]) + e["ax"])
-    return F.aggregate(edges, F.lit(False), lambda acc, e: acc != F.coalesce(crosses(e), F.lit(False)))
+    return F.size(F.filter(edges, crosses)) % 2 == 1
 
 
 def boundary_distance(edges: Column, x: Column, y: Column) -> Column:

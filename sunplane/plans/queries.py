@@ -225,7 +225,7 @@ def resume_pending(spark, d):
     return assign.pending(groups, groups.filter("partition_id % 2 = 0")).select("partition_id", "primary_tile_id")
 
 
-@query(sql(MISSING_SQL + " SELECT (SELECT count(*) FROM polygons) AS polygons, (SELECT count(*) FROM grp) AS tile_groups, (SELECT count(*) FROM prim) AS attempted, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM kept) AS succeeded, (SELECT count(*) FROM grp) - (SELECT count(*) FROM kept) AS failed_groups, attempted - succeeded AS failed"))
+@query(sql(MISSING_SQL + " SELECT (SELECT count(*) FROM polygons) AS polygons, (SELECT count(*) FROM grp) AS tile_groups, (SELECT count(*) FROM prim) AS attempted, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM kept) AS succeeded, (SELECT count(*) FROM grp) - (SELECT count(*) FROM kept) AS failed_groups, (SELECT count(*) FROM prim) - (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM kept) AS failed"))
 def run_counts(spark, d):
     groups = _groups(spark, d)
     kept = assign.with_data(groups, _available(spark, d))
