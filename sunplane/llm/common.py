@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the numpy kernels take at once; their scratch memory is about 60 times this.
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch that are copied at once.
+SLICE_ROWS = 1024
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -46,6 +48,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, after its session's Arrow batches are set to 8 MB if they are at Spark's default of 64 MB: long texts then
+    take little memory outside the heap and in the Python workers."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, "64m").lower() in ("64m", "64mb", "67108864", "67108864b"):
+        conf.set(key, "8m")
+    return df
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: spreads every bit of each uint64."""
     h = h ^ (h >> np.uint64(30))
@@ -96,22 +107,21 @@ def runs(data: np.ndarray, bounds: np.ndarray, inside: np.ndarray) -> tuple[np.n
 def text_chunks(texts: pa.Array, lower: bool = False, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of a string column of about `size` bytes: first row, end row, their bytes, and row bounds in them.
     Nulls count as empty. A single longer text forms a slice of its own."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = pc.utf8_lower(texts)
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    if not len(texts):
-        return
-    _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    row = 0
-    while row < len(texts):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
-        end = min(end, len(texts))
-        yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
-        row = end
+    for first in range(0, len(texts), SLICE_ROWS):  # so that copies stay small
+        part = pc.fill_null(texts.slice(first, SLICE_ROWS).cast(pa.large_string()), "")
+        if lower:
+            part = pc.utf8_lower(part)
+        _, offsets, data = part.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        row = 0
+        while row < len(part):
+            end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
+            end = min(end, len(part))
+            yield first + row, first + end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+            row = end
 
 
 _SHIFT = mix(np.arange(1, 65, dtype=np.uint64) * _BASE) | np.uint64(1)

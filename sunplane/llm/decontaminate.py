@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sunplane.llm.common import ALNUM, run_hashes, runs, text_chunks, windows
+from sunplane.llm.common import ALNUM, in_batches, run_hashes, runs, text_chunks, windows
 
 WIDTH = 5
 THRESHOLD = (4, 5)
@@ -145,7 +145,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, item {benchmark.schema[item_col].dataType.simpleString()}, start_word long, n_words long, similarity double"
     arrow = to_arrow_schema(docs.select(F.col(id_col).alias("id")).schema).field(0).type, to_arrow_schema(benchmark.select(F.col(item_col).alias("id")).schema).field(0).type
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     parts = []
     for block in _blocks(benchmark.select(F.col(item_col).alias("item"), F.col(text_col if text_col in benchmark.columns else "text").alias("text"))):
         names, indexes = [r["item"] for r in block], build_index([r["text"] for r in block], width, threshold)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sunplane.llm.common import staged
+from sunplane.llm.common import in_batches, staged
 
 #: A class is frequent, and so part of a template, if its tokens are on so many pages and this share of the host's.
 LEAST_PAGES, LEAST_SHARE = 2, 0.1
@@ -266,7 +266,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     alike for all tokens; a null id stays null; other columns are ignored; an empty table gives no rows. The whole page is read, whatever its length.
     """
     templates = staged(deduce_templates(pages, url_col, html_col).select("host", "host_pages", "template").mapInArrow(_roles, "host string, container string, menus array<string>"), "templates")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = in_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     joined = rows.withColumn("_host", host).join(templates.withColumnRenamed("host", "_template_host"), F.col("_host") == F.col("_template_host"), "left")
     id_type = to_arrow_schema(rows.select("id").schema).field(0).type

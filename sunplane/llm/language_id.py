@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from sunplane.llm.common import ALNUM, staged, text_chunks
+from sunplane.llm.common import ALNUM, in_batches, staged, text_chunks
 
 BUCKET_BITS, DIM, ORDERS = 15, 12, (2, 3, 4)
 #: The fit's bound: at most so many documents of a language, and of each so many segments, spread over the whole text.
@@ -184,7 +184,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array([n == "und" or s < reject for n, s in zip(names, scores)], pa.bool_())], ["id", "lang_pred", "score", "rejected"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
+    return in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, rejected boolean").withColumnRenamed("id", id_col)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

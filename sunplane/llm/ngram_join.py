@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunplane.llm.common import doc_shingles, mix, set_similar, staged
+from sunplane.llm.common import doc_shingles, in_batches, mix, set_similar, staged
 
 WIDTH = 5
 THRESHOLD = (4, 5)
@@ -202,7 +202,7 @@ def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     bands, rows = choose_bands(threshold[0] / threshold[1], recall, MOST_HASHES)
     hasher = MinHasher(bands, rows)
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints = staged(
         texts.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).mapInArrow(_prints(hasher, width), f"id {kind}, n long, f1 long, f2 long, bands array<long>, bytes long"), "prints"
     )

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sunplane.llm.common import run_hashes, text_chunks
+from sunplane.llm.common import in_batches, run_hashes, text_chunks
 
 #: Units whose ids a worker remembers; at more it starts anew, so its memory is bounded.
 REMEMBERED = 600_000
 #: Bytes of text encoded at once.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 #: Between units that are encoded together; its id doesn't occur otherwise, as texts that have `<|` are encoded by themselves.
 MARK = "<|endoftext|>"
 
@@ -45,6 +45,11 @@ def units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, bounds)
 
 
+def _grown(a: np.ndarray, size: int) -> np.ndarray:
+    """The array with room for `size`, doubled where it must grow."""
+    return a if len(a) >= size else np.concatenate([a, np.zeros(max(size - len(a), len(a)), a.dtype)])
+
+
 class WordEncoder:
     """Token ids of texts, for tokenizers that drop white space, fold case and never join tokens across white space or
     between letters and punctuation. Units are looked up by a 64-bit hash; each is encoded once and remembered."""
@@ -59,16 +64,20 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.code: dict[int, int] = {}
-        self.ids, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.n_ids = 0
 
     def _learn(self, hashes: list[int], words: list[str]) -> None:
         flat = np.array(self.tokenizer.encode(MARK.join(words) + MARK, add_special_tokens=False).ids, np.uint32)
         ends = np.flatnonzero(flat == self.mark)
         lengths = np.diff(np.concatenate([[-1], ends])) - 1
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, flat[flat != self.mark]])
-        self.code.update(zip(hashes, range(len(self.code), len(self.code) + len(hashes))))
+        k, n = len(self.code), int(lengths.sum())
+        self.ids, self.starts, self.lengths = _grown(self.ids, self.n_ids + n), _grown(self.starts, k + len(words)), _grown(self.lengths, k + len(words))
+        self.starts[k : k + len(words)] = self.n_ids + np.cumsum(lengths) - lengths
+        self.lengths[k : k + len(words)] = lengths
+        self.ids[self.n_ids : self.n_ids + n] = flat[flat != self.mark]
+        self.n_ids += n
+        self.code.update(zip(hashes, range(k, k + len(hashes))))
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the UTF-8 texts between the bounds one after the other, and the bounds of the texts among them."""
@@ -90,9 +99,9 @@ class WordEncoder:
             for k in range(0, len(new), 4096):
                 part = new[k : k + 4096]
                 self._learn(different[part].tolist(), [raw[a:b].decode() for a, b in zip(starts[at[part]].tolist(), ends[at[part]].tolist())])
-            codes[new] = np.arange(len(self.starts) - len(new), len(self.starts))
+            codes[new] = np.arange(len(self.code) - len(new), len(self.code))
         codes = codes[which]
-        lengths = self.lengths[codes]
+        lengths = self.lengths[codes].astype(np.int64)
         after = np.concatenate([[0], np.cumsum(lengths)])
         at = np.repeat(self.starts[codes] - after[:-1], lengths) + np.arange(after[-1])
         return self.ids[at], after[first]
@@ -163,7 +172,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                     arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(columns[1])]).astype(np.int32)), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "start", "length", "ids_crc32", "doc_tokens", "bucket"] + ["ids"] * with_ids)
 
-    pieces = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(pack, schema)
+    pieces = in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(pack, schema)
     return pieces.select(
         F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "bucket", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *["ids"] * with_ids
     )

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from sunplane.llm.common import in_batches
+
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
 BASE_KINDS = KINDS[:4]
 #: Windows of so many characters begin at every multiple of the stride; a span counts in the one window in whose
@@ -355,7 +357,8 @@ def find_personal_data(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id",
 
     kind = docs.schema[id_col].dataType.simpleString()
     return (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        in_batches(docs)
+        .select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:int,end:int,base:boolean>>")
         .withColumnRenamed("id", id_col)
     )

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunplane.llm.common import WHITE, power_tables, mix, run_hashes, runs, staged, text_chunks, windows
+from sunplane.llm.common import WHITE, in_batches, mix, power_tables, run_hashes, runs, staged, text_chunks, windows
 
 # The symbols that count, and the limits of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -114,7 +114,7 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, host string, {', '.join(f'{c} long' for c in _COUNTS)}, text_hash long, line_hash array<long>, line_words array<int>"
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"))
+    rows = in_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"))
     digest = staged(rows.mapInArrow(_digest, schema), "quality-digest")
     lines = digest.select("id", "host", "text_hash", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")).select("id", "host", "text_hash", F.col("l.line_hash").alias("line"), F.col("l.line_words").alias("words"))
     common = (
