@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from sunplane.llm.common import in_batches, run_hashes, text_chunks
 
 #: Units whose ids a worker remembers; at more it starts anew, so its memory is bounded.
-REMEMBERED = 600_000
+REMEMBERED = 450_000
 #: Bytes of text encoded at once.
 AT_ONCE = 1 << 20
 #: Between units that are encoded together; its id doesn't occur otherwise, as texts that have `<|` are encoded by themselves.
@@ -68,7 +68,7 @@ class WordEncoder:
         self.n_ids = 0
 
     def _learn(self, hashes: list[int], words: list[str]) -> None:
-        flat = np.array(self.tokenizer.encode(MARK.join(words) + MARK, add_special_tokens=False).ids, np.uint32)
+        flat = np.array(self.tokenizer.encode_batch_fast([MARK.join(words) + MARK], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(flat == self.mark)
         lengths = np.diff(np.concatenate([[-1], ends])) - 1
         k, n = len(self.code), int(lengths.sum())
