@@ -95,9 +95,9 @@ def explode_parts(spark, d):
     return assign.explode_parts(rows, "parts", "p").select("polygon_id", "parent_polygon_id", shapes.bounds(F.col("rings"))["x0"].alias("x0"))
 
 
-@query(sql("SELECT polygon_id FROM polygons WHERE x1 >= 100 AND x0 <= 300 AND y1 >= 100 AND y0 <= 300"))
+@query(sql("SELECT polygon_id FROM polygons WHERE x1 >= 1000 AND x0 <= 3000 AND y1 >= 1000 AND y0 <= 3000"))
 def bbox_filter(spark, d):
-    return assign.in_box(scene.polygons(spark, d), 100.0, 100.0, 300.0, 300.0).select("polygon_id")
+    return assign.in_box(scene.polygons(spark, d), 1000.0, 1000.0, 3000.0, 3000.0).select("polygon_id")
 
 
 @query(sql("SELECT polygon_id, p FROM polygons ORDER BY p LIMIT 10"))
@@ -439,7 +439,7 @@ def roof_lsq(spark, d):
 
 
 @query(sql(CLIP_SQL + f""",
-  soil AS (SELECT g.polygon_id, median(pt.z + (pt.x - floor(pt.x)) / 8) AS gz FROM points pt JOIN polygons g ON pt.cls = 2 AND (pt.x - g.cx) * (pt.x - g.cx) + (pt.y - g.cy) * (pt.y - g.cy) <= 100 GROUP BY 1),
+  soil AS (SELECT g.polygon_id, median(pt.z + (pt.x - floor(pt.x)) / 8) AS gz FROM points pt JOIN polygons g ON pt.cls = 2 AND pt.x BETWEEN g.cx - 10 AND g.cx + 10 AND pt.y BETWEEN g.cy - 10 AND g.cy + 10 AND (pt.x - g.cx) * (pt.x - g.cx) + (pt.y - g.cy) * (pt.y - g.cy) <= 100 GROUP BY 1),
   top AS (SELECT polygon_id, median(z) AS pz FROM clip GROUP BY 1)
   SELECT polygon_id, {srnd('pz - gz', 4)} AS hag FROM top LEFT JOIN soil USING (polygon_id)"""))
 def height_ground(spark, d):
@@ -449,7 +449,7 @@ def height_ground(spark, d):
 
 
 @query(sql(f"""
-  s AS (SELECT g.polygon_id, count(*) AS n_ground, median(pt.x) AS m FROM points pt JOIN polygons g ON pt.cls = 2 AND abs(pt.x - g.cx) < 25 AND abs(pt.y - g.cy) < 25 GROUP BY 1)
+  s AS (SELECT g.polygon_id, count(*) AS n_ground, median(pt.x) AS m FROM points pt JOIN polygons g ON pt.cls = 2 AND pt.x > g.cx - 25 AND pt.x < g.cx + 25 AND pt.y > g.cy - 25 AND pt.y < g.cy + 25 GROUP BY 1)
   SELECT polygon_id, n_ground, CASE WHEN n_ground >= 5 THEN {srnd('m', 4)} END AS ground_z FROM s"""))
 def ground_square(spark, d):
     points = scene.points(spark, d).withColumn("z", F.col("x"))
