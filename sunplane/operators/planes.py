@@ -6,12 +6,15 @@ partitions, the workers or the engine; points are taken in the order of (x, y, z
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from sunplane.functions.angles import azimuth, least_variance_normal, tilt
 
@@ -119,17 +122,20 @@ def bootstrap(points: np.ndarray, plane: Plane, samples: int = 50, seed: int = 0
     n = len(pts)
     if n < 3:
         return math.nan, math.nan
-    tilts, sines, cosines = [], [], []
-    draw = np.arange(n, dtype=np.int64)
-    for r in range(samples):
-        s = scramble(scramble((seed + ITERATION_STEP * (r + 1) + DRAW_STEP * (draw + 1)) % LCG_M))
-        t, a = tilt_azimuth(pca_normal(pts[(s // 256) % n])[1], 0.0)
-        tilts.append(t)
-        sines.append(math.sin(math.radians(a)))
-        cosines.append(math.cos(math.radians(a)))
     if samples < 2:
         return math.nan, math.nan
-    r = min(1.0, math.hypot(float(np.mean(cosines)), float(np.mean(sines))))
+    draw, rep = np.arange(1, n + 1, dtype=np.int64), np.arange(1, samples + 1, dtype=np.int64)[:, None]
+    normals = []
+    step = max(1, 1_000_000 // n)
+    for k in range(0, samples, step):
+        s = scramble(scramble((seed + ITERATION_STEP * rep[k : k + step] + DRAW_STEP * draw) % LCG_M))
+        drawn = pts[(s // 256) % n]
+        d = drawn - drawn.mean(axis=1, keepdims=True)
+        normals.append(np.linalg.eigh(np.einsum("rni,rnj->rij", d, d))[1][:, :, 0])
+    v = np.concatenate(normals)
+    v *= np.where(v[:, 2:] < 0, -1.0, 1.0)
+    tilts, turn = np.degrees(np.arctan2(np.hypot(v[:, 0], v[:, 1]), v[:, 2])), np.arctan2(v[:, 0], v[:, 1])
+    r = min(1.0, math.hypot(float(np.cos(turn).mean()), float(np.sin(turn).mean())))
     return float(np.std(tilts, ddof=1)), math.degrees(math.sqrt(-2.0 * math.log(r))) if r > 0 else math.nan
 
 
@@ -157,7 +163,8 @@ def in_order(points: np.ndarray) -> np.ndarray:
     return points[np.lexsort(points.T[::-1])]
 
 
-PLANE_FIELDS = "nx double, ny double, nz double, cx double, cy double, cz double, tilt double, azimuth double, rmse double, n_inliers int, n_total int"
+PLANE_NAMES = ("nx", "ny", "nz", "cx", "cy", "cz", "tilt", "azimuth", "rmse", "n_inliers", "n_total")
+PLANE_TYPE = pa.struct([(k, pa.int32() if k.startswith("n_") else pa.float64()) for k in PLANE_NAMES])
 
 
 def plane_row(p: Plane) -> dict:
@@ -175,13 +182,16 @@ def fit_groups(points: DataFrame, key: str, threshold: float = 0.05, least_fract
     sensor's density, so it fits in a task. sampler `numpy` draws with numpy's generator instead. Null keys form one group;
     points with a null coordinate are left out; no points, no row.
     """
-    key_type = points.schema[key].dataType.simpleString()
-
-    def fit(k, pdf):
-        import pandas as pd
-
-        pts = in_order(pdf[["x", "y", "z"]].dropna().to_numpy(float))
-        ident = k[0]
+    key_field = to_arrow_schema(points.select(key).schema).field(0)
+    number, count = pa.float64(), pa.int32()
+    fields = [(k, count if k.startswith("n_") else number) for k in PLANE_NAMES]
+    fields += [("tilt_unc", number), ("azimuth_unc", number)] * bool(samples) + [("tilt2", number), ("azimuth2", number), ("n_inliers2", count)] * second
+    arrow = pa.schema([key_field, *[pa.field(*f) for f in fields]])
+
+    def fit(k: tuple, table: pa.Table) -> pa.Table:
+        pts = np.stack([table.column(c).to_numpy() for c in "xyz"], axis=1)
+        pts = in_order(pts[~np.isnan(pts).any(axis=1)])
+        ident = k[0].as_py()
         seed = stable_seed(ident)
         picks = None
         if sampler == "numpy" and len(pts) >= 3:
@@ -190,21 +200,17 @@ def fit_groups(points: DataFrame, key: str, threshold: float = 0.05, least_fract
         p = fit_consensus(pts, threshold, least_fraction, iterations, tilt_floor, seed, picks)
         row = {key: ident} | plane_row(p)
         if samples:
-            some = lambda v: None if math.isnan(v) else v
-            row["tilt_unc"], row["azimuth_unc"] = map(some, bootstrap(pts, p, samples, seed))
+            row["tilt_unc"], row["azimuth_unc"] = (None if math.isnan(v) else v for v in bootstrap(pts, p, samples, seed))
         if second:
             q = second_plane(pts, p, seed=seed, iterations=iterations)
             q = plane_row(q) if q else {}
             row |= {"tilt2": q.get("tilt"), "azimuth2": q.get("azimuth"), "n_inliers2": q.get("n_inliers")}
-        return pd.DataFrame([row])
+        return pa.Table.from_pylist([row], arrow)
 
-    schema = f"{key} {key_type}, {PLANE_FIELDS}" + ", tilt_unc double, azimuth_unc double" * bool(samples) + ", tilt2 double, azimuth2 double, n_inliers2 int" * second
-    return points.select(key, "x", "y", "z").groupBy(key).applyInPandas(fit, schema)
+    return points.select(key, "x", "y", "z").groupBy(key).applyInArrow(fit, from_arrow_schema(arrow))
 
 
 def stable_seed(ident) -> int:
-    import hashlib
-
     return int(hashlib.md5(str(ident).encode()).hexdigest()[:7], 16)
 
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from sunplane.config import Config
 from sunplane.functions import shapes
 from sunplane.functions.angles import height_over_plane, plane_angle
 from sunplane.operators import assign, planes, points as pt
 from sunplane.operators.mounting import RuleClassifier, is_tracker_suspected
+from sunplane.plans.staging import staged
 from sunplane.schema import VERSION, conform
 
 
@@ -35,36 +38,42 @@ PANEL, RING, SOIL = 0, 1, 2
 def _measure_group(config: Config):
     """The kernel: all points of one polygon (x, y, z, d, role) to its fits and medians, in one pass."""
 
-    def run(key, pdf):
-        import pandas as pd
-
-        part = lambda role: pdf[pdf["role"] == role]
-        seed = planes.stable_seed(key[0])
-        pts = planes.in_order(part(PANEL)[["x", "y", "z"]].to_numpy(float))
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        every = np.stack([table.column(k).to_numpy() for k in ("x", "y", "z", "d")], axis=1)
+        roles = table.column("role").to_numpy()
+        ident = key[0].as_py()
+        seed = planes.stable_seed(ident)
+        pts = planes.in_order(every[roles == PANEL, :3])
         c = config.panel_plane
         p = planes.fit_consensus(pts, c.ransac_threshold_m, c.min_inlier_frac, c.max_iter, c.tilt_floor_deg, seed)
-        row = {"polygon_id": key[0], "panel": planes.plane_row(p)}
+        row = {"polygon_id": ident, "panel": planes.plane_row(p)}
         unc = planes.bootstrap(pts, p, c.bootstrap_samples, seed) if c.uncertainty_method == "bootstrap" else (math.nan, math.nan)
         row["tilt_unc"], row["azimuth_unc"] = (None if math.isnan(v) else v for v in unc)
         q = planes.second_plane(pts, p, config.multi_plane.secondary_min_frac, seed) if config.multi_plane.enabled else None
         row["second"] = planes.plane_row(q) if q else None
-        ring, r = part(RING), config.roof_plane
-        row["buffer"], row["roof"] = None, None
+        ring, r = every[roles == RING], config.roof_plane
         for width in pt.Buffers(r.buffer_m, r.buffer_max_m, r.buffer_step_m, r.min_points).widths:
-            inside = ring[ring["d"] < width]
+            inside = ring[ring[:, 3] < width]
             if len(inside) >= r.min_points:
-                roof = planes.fit_consensus(planes.in_order(inside[["x", "y", "z"]].to_numpy(float)), r.ransac_threshold_m, 0.6, 200, 1.0, seed)
-                row["buffer"], row["roof"] = width, planes.plane_row(roof)
+                roof = planes.fit_consensus(planes.in_order(inside[:, :3]), r.ransac_threshold_m, seed=seed)
+                row |= {"buffer": width, "roof": planes.plane_row(roof)}
                 break
-        top = pts[p.inliers] if p.n_inliers else pts
-        soil = part(SOIL)["z"].to_numpy(float)
-        row["hag"] = float(np.median(top[:, 2]) - np.median(soil)) if len(top) and len(soil) else None
-        row["mx"], row["my"], row["mz"] = (float(v) for v in np.median(top, axis=0)) if p.n_inliers else (None, None, None)
-        return pd.DataFrame([row])
+        top, soil = pts[p.inliers] if p.n_inliers else pts, every[roles == SOIL, 2]
+        if len(top) and len(soil):
+            row["hag"] = float(np.median(top[:, 2]) - np.median(soil))
+        if p.n_inliers:
+            row["mx"], row["my"], row["mz"] = (float(v) for v in np.median(top, axis=0))
+        return pa.Table.from_pylist([row], FITS)
 
     return run
 
 
+FITS = pa.schema(
+    [("polygon_id", pa.string()), ("panel", planes.PLANE_TYPE), ("tilt_unc", pa.float64()), ("azimuth_unc", pa.float64()), ("second", planes.PLANE_TYPE), ("buffer", pa.float64()), ("roof", planes.PLANE_TYPE)]
+    + [(k, pa.float64()) for k in ("hag", "mx", "my", "mz")]
+)
+
+
 def build_rows(points: DataFrame, polygons: DataFrame, footprints: DataFrame, tiles: DataFrame, config: Config = Config(), run_id: str = "", only: DataFrame | None = None) -> DataFrame:
     """One output row for each polygon with a primary tile that has points.
 
@@ -73,6 +82,7 @@ def build_rows(points: DataFrame, polygons: DataFrame, footprints: DataFrame, ti
 
     The points are read twice: once for a small aggregate that chooses each group's class, once for one join by
     grid cell that gives every polygon its panel, ring and ground points. Only these are shuffled, by polygon.
+    What is known of the polygons alone is staged, so that it is made once.
     """
     c = config
     shaped = with_measures(polygons)
@@ -87,7 +97,8 @@ def build_rows(points: DataFrame, polygons: DataFrame, footprints: DataFrame, ti
     mine = shaped.join(member, "polygon_id")
     buildings = footprints if "edges" in footprints.columns else with_measures(footprints)
     reach = c.roof_plane.buffer_max_m
-    mine = mine.join(pt.pick_footprints(mine, buildings, c.compute.cell_size_m), "polygon_id", "left").join(pt.neighbours(mine, reach, c.compute.cell_size_m), "polygon_id", "left")
+    mine = staged(mine, "polygons")
+    mine = staged(mine.join(pt.pick_footprints(mine, buildings, c.compute.cell_size_m), "polygon_id", "left").join(pt.neighbours(mine, reach, c.compute.cell_size_m), "polygon_id", "left"), "polygons")
 
     wanted = mine.select("polygon_id", "edges", "x0", "y0", "x1", "y1", "cx", "cy", "panel_class", "least_z", "fetch_tile_ids", "building_edges", "other_edges")
     near = pt.near_polygons(points, wanted, max(reach, c.heights.ground_search_radius_m), c.compute.cell_size_m)
@@ -105,10 +116,7 @@ def build_rows(points: DataFrame, polygons: DataFrame, footprints: DataFrame, ti
         F.array(F.when(panel & F.col("inside") & (F.col("d") > c.panel_plane.erosion_m), PANEL), F.when(ring, RING), F.when(soil, SOIL)), lambda v: v.isNotNull()
     )
     clipped = near.select("polygon_id", "x", "y", "z", "d", F.explode(roles).alias("role"))
-    plane = f"struct<{planes.PLANE_FIELDS.replace(' double', ':double').replace(' int', ':int')}>"
-    fits = clipped.groupBy("polygon_id").applyInPandas(
-        _measure_group(c), f"polygon_id string, panel {plane}, tilt_unc double, azimuth_unc double, second {plane}, buffer double, roof {plane}, hag double, mx double, my double, mz double"
-    )
+    fits = clipped.groupBy("polygon_id").applyInArrow(_measure_group(c), from_arrow_schema(FITS))
     return _rows(mine.join(fits, "polygon_id", "left"), c, run_id)
 
 

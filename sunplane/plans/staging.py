@@ -1,0 +1,20 @@
+"""Intermediate tables in the shared folder, which cut the lineage of what is used more than once."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written under spark.checkpoint.dir (a folder of this session's own if that is unset) and read again."""
+    conf = df.sparkSession.conf
+    root = conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="sunplane-")
+        conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

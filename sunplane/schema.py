@@ -33,8 +33,8 @@ _FIELDS = [
     ("mounting_type", T.StringType(), False),
     ("mounting_confidence", T.FloatType(), False),
     ("mounting_rule", T.StringType(), False),
-    ("flags", T.ArrayType(T.StringType(), False), False),
-    ("lidar_tile_ids", T.ArrayType(T.StringType(), False), False),
+    ("flags", T.ArrayType(T.StringType()), False),
+    ("lidar_tile_ids", T.ArrayType(T.StringType()), False),
     ("pkg_version", T.StringType(), False),
     ("config_hash", T.StringType(), False),
     ("run_id", T.StringType(), False),
