@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from sunplane.config import Config
 from sunplane.functions import shapes
 from sunplane.functions.angles import height_over_plane, plane_angle
+from sunplane.functions.kernels import boundary_distance, contains
 from sunplane.operators import assign, planes, points as pt
 from sunplane.operators.mounting import RuleClassifier, is_tracker_suspected
 from sunplane.plans.staging import staged
@@ -32,18 +33,33 @@ def with_measures(polygons: DataFrame) -> DataFrame:
     return out.withColumns({k: F.col(f"_b.{k}") for k in ("x0", "y0", "x1", "y1")} | {"area": F.col("_m.area"), "cx": F.col("_m.cx"), "cy": F.col("_m.cy"), "aspect_ratio": F.when(~F.isnan("aspect_ratio"), F.col("aspect_ratio"))}).drop("_b", "_m")
 
 
-PANEL, RING, SOIL = 0, 1, 2
+def _sides(edges: list[dict] | None) -> np.ndarray:
+    return np.array([[e["ax"], e["ay"], e["bx"], e["by"]] for e in edges or []], float).reshape(-1, 4)
 
 
 def _measure_group(config: Config):
-    """The kernel: all points of one polygon (x, y, z, d, role) to its fits and medians, in one pass."""
+    """The kernel: the points near one polygon (x, y, z, is_panel) and its shapes to its fits and medians, in one pass."""
+    reach, erosion = config.roof_plane.buffer_max_m, config.panel_plane.erosion_m
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        every = np.stack([table.column(k).to_numpy() for k in ("x", "y", "z", "d")], axis=1)
-        roles = table.column("role").to_numpy()
+    def run(key: tuple, table: pa.Table, shape: pa.Table) -> pa.Table:
+        if not len(shape):
+            return FITS.empty_table()
         ident = key[0].as_py()
+        own = shape.slice(0, 1).to_pylist()[0]
+        every, is_panel = np.stack([table.column(k).to_numpy() for k in ("x", "y", "z")], axis=1), table.column("is_panel").to_numpy(zero_copy_only=False).astype(bool)
+        hits, soil = every[is_panel], every[~is_panel, 2]
+        edges, (x, y) = _sides(own["edges"]), hits[:, :2].T
+        inside, d = contains(edges, x, y), boundary_distance(edges, x, y)
+        pts = planes.in_order(hits[inside & (d > erosion)])
+        around = ~inside & (d > 0) & (d < reach)
+        if own["building_edges"] is None or not config.roof_plane.enabled:
+            around[:] = False
+        elif around.any():
+            around &= contains(_sides(own["building_edges"]), x, y)
+            for other in own["other_edges"] or []:
+                around &= ~contains(_sides(other), x, y)
+        ring, distance = hits[around], d[around]
         seed = planes.stable_seed(ident)
-        pts = planes.in_order(every[roles == PANEL, :3])
         c = config.panel_plane
         p = planes.fit_consensus(pts, c.ransac_threshold_m, c.min_inlier_frac, c.max_iter, c.tilt_floor_deg, seed)
         row = {"polygon_id": ident, "panel": planes.plane_row(p)}
@@ -51,14 +67,13 @@ def _measure_group(config: Config):
         row["tilt_unc"], row["azimuth_unc"] = (None if math.isnan(v) else v for v in unc)
         q = planes.second_plane(pts, p, config.multi_plane.secondary_min_frac, seed) if config.multi_plane.enabled else None
         row["second"] = planes.plane_row(q) if q else None
-        ring, r = every[roles == RING], config.roof_plane
+        r = config.roof_plane
         for width in pt.Buffers(r.buffer_m, r.buffer_max_m, r.buffer_step_m, r.min_points).widths:
-            inside = ring[ring[:, 3] < width]
-            if len(inside) >= r.min_points:
-                roof = planes.fit_consensus(planes.in_order(inside[:, :3]), r.ransac_threshold_m, seed=seed)
+            if (distance < width).sum() >= r.min_points:
+                roof = planes.fit_consensus(planes.in_order(ring[distance < width]), r.ransac_threshold_m, seed=seed)
                 row |= {"buffer": width, "roof": planes.plane_row(roof)}
                 break
-        top, soil = pts[p.inliers] if p.n_inliers else pts, every[roles == SOIL, 2]
+        top = pts[p.inliers] if p.n_inliers else pts
         if len(top) and len(soil):
             row["hag"] = float(np.median(top[:, 2]) - np.median(soil))
         if p.n_inliers:
@@ -81,7 +96,8 @@ def build_rows(points: DataFrame, polygons: DataFrame, footprints: DataFrame, ti
     building_id, rings. tiles: tile_id, rings. only: partition_ids to restrict the run to (for resuming).
 
     The points are read twice: once for a small aggregate that chooses each group's class, once for one join by
-    grid cell that gives every polygon its panel, ring and ground points. Only these are shuffled, by polygon.
+    grid cell and a few comparisons that give every polygon the points near it. Only these are shuffled, by
+    polygon, to one numpy kernel that tells panel from ring points and fits the planes.
     What is known of the polygons alone is staged, so that it is made once.
     """
     c = config
@@ -100,23 +116,16 @@ def build_rows(points: DataFrame, polygons: DataFrame, footprints: DataFrame, ti
     mine = staged(mine, "polygons")
     mine = staged(mine.join(pt.pick_footprints(mine, buildings, c.compute.cell_size_m), "polygon_id", "left").join(pt.neighbours(mine, reach, c.compute.cell_size_m), "polygon_id", "left"), "polygons")
 
-    wanted = mine.select("polygon_id", "edges", "x0", "y0", "x1", "y1", "cx", "cy", "panel_class", "least_z", "fetch_tile_ids", "building_edges", "other_edges")
+    wanted = mine.select("polygon_id", "x0", "y0", "x1", "y1", "cx", "cy", "panel_class", "least_z", "fetch_tile_ids")
     near = pt.near_polygons(points, wanted, max(reach, c.heights.ground_search_radius_m), c.compute.cell_size_m)
     x, y, r = F.col("x"), F.col("y"), c.heights.ground_search_radius_m
     dx, dy = x - F.col("cx"), y - F.col("cy")
     soil = (F.col("cls") == c.io.classification.ground_class) & (dx * dx + dy * dy <= r * r)
     panel = pt.is_panel(F.col("cls"), F.col("z"), F.col("panel_class"), F.col("least_z"))
-    near = near.filter(F.array_contains("fetch_tile_ids", F.col("tile_id")) & (soil | panel))
-    near = near.withColumns({"d": F.when(panel, shapes.boundary_distance(F.col("edges"), x, y)), "inside": F.when(panel, shapes.contains(F.col("edges"), x, y))})
-    other = F.exists(F.coalesce("other_edges", F.array().cast(f"array<{shapes.EDGES}>")), lambda e: shapes.contains(e, x, y))
-    ring = panel & ~F.col("inside") & (F.col("d") > 0) & (F.col("d") < reach) & F.col("building_edges").isNotNull() & shapes.contains(F.col("building_edges"), x, y) & ~other
-    if not c.roof_plane.enabled:
-        ring = F.lit(False)
-    roles = F.filter(
-        F.array(F.when(panel & F.col("inside") & (F.col("d") > c.panel_plane.erosion_m), PANEL), F.when(ring, RING), F.when(soil, SOIL)), lambda v: v.isNotNull()
-    )
-    clipped = near.select("polygon_id", "x", "y", "z", "d", F.explode(roles).alias("role"))
-    fits = clipped.groupBy("polygon_id").applyInArrow(_measure_group(c), from_arrow_schema(FITS))
+    close = (x >= F.col("x0") - reach) & (x <= F.col("x1") + reach) & (y >= F.col("y0") - reach) & (y <= F.col("y1") + reach)
+    near = near.filter((soil | (panel & close)) & F.array_contains("fetch_tile_ids", F.col("tile_id"))).select("polygon_id", "x", "y", "z", panel.alias("is_panel"))
+    outlines = mine.select(F.col("polygon_id").alias("outline_id"), "edges", "building_edges", "other_edges")
+    fits = near.groupBy("polygon_id").cogroup(outlines.groupBy("outline_id")).applyInArrow(_measure_group(c), from_arrow_schema(FITS))
     return _rows(mine.join(fits, "polygon_id", "left"), c, run_id)
 
 
