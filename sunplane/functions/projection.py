@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sunplane.functions.angles import let
+
 # GRS80 / WGS84 and UTM.
 SEMI_MAJOR, FLATTENING, SCALE, FALSE_EAST, FALSE_NORTH_SOUTH = 6378137.0, 1 / 298.257222101, 0.9996, 500000.0, 10000000.0
 
@@ -29,33 +31,55 @@ _E = 2 * math.sqrt(_N) / (1 + _N)
 
 def utm_forward(lon: Column, lat: Column, zone: int, south: bool = False) -> list[Column]:
     """Easting and northing in metres."""
-    centre = math.radians(6 * zone - 183)
-    phi, lam = F.radians(lat), F.radians(lon) - F.lit(centre)
-    t = F.sinh(F.atanh(F.sin(phi)) - F.lit(_E) * F.atanh(F.lit(_E) * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), F.asinh(F.sin(lam) / F.sqrt(t * t + F.cos(lam) * F.cos(lam)))
-    east, north = eta, xi
-    for k, a in enumerate(_ALPHA, 1):
-        east = east + F.lit(a) * F.cos(F.lit(2.0 * k) * xi) * F.sinh(F.lit(2.0 * k) * eta)
-        north = north + F.lit(a) * F.sin(F.lit(2.0 * k) * xi) * F.cosh(F.lit(2.0 * k) * eta)
-    return [F.lit(FALSE_EAST) + F.lit(SCALE * _RADIUS) * east, F.lit(FALSE_NORTH_SOUTH if south else 0.0) + F.lit(SCALE * _RADIUS) * north]
+
+    def conformal(v: Column) -> Column:
+        sine = F.sin(v["phi"])
+        return let({"t": F.sinh(F.atanh(sine) - F.lit(_E) * F.atanh(F.lit(_E) * sine)), "lam": v["lam"]}, sphere)
+
+    def sphere(v: Column) -> Column:
+        c = F.cos(v["lam"])
+        return let({"xi": F.atan2(v["t"], c), "eta": F.asinh(F.sin(v["lam"]) / F.sqrt(v["t"] * v["t"] + c * c))}, plane)
+
+    def plane(v: Column) -> Column:
+        east, north = v["eta"], v["xi"]
+        for k, a in enumerate(_ALPHA, 1):
+            east = east + F.lit(a) * F.cos(F.lit(2.0 * k) * v["xi"]) * F.sinh(F.lit(2.0 * k) * v["eta"])
+            north = north + F.lit(a) * F.sin(F.lit(2.0 * k) * v["xi"]) * F.cosh(F.lit(2.0 * k) * v["eta"])
+        return F.struct((F.lit(FALSE_EAST) + F.lit(SCALE * _RADIUS) * east).alias("x"), (F.lit(FALSE_NORTH_SOUTH if south else 0.0) + F.lit(SCALE * _RADIUS) * north).alias("y"))
+
+    out = let({"phi": F.radians(lat), "lam": F.radians(lon) - F.lit(math.radians(6 * zone - 183))}, conformal)
+    return [out["x"], out["y"]]
 
 
 def utm_inverse(east: Column, north: Column, zone: int, south: bool = False) -> list[Column]:
     """Longitude and latitude in degrees."""
-    xi = (north - F.lit(FALSE_NORTH_SOUTH if south else 0.0)) / F.lit(SCALE * _RADIUS)
-    eta = (east - F.lit(FALSE_EAST)) / F.lit(SCALE * _RADIUS)
-    x, e = xi, eta
-    for k, b in enumerate(_BETA, 1):
-        x = x - F.lit(b) * F.sin(F.lit(2.0 * k) * xi) * F.cosh(F.lit(2.0 * k) * eta)
-        e = e - F.lit(b) * F.cos(F.lit(2.0 * k) * xi) * F.sinh(F.lit(2.0 * k) * eta)
-    tau1 = F.sin(x) / F.sqrt(F.sinh(e) * F.sinh(e) + F.cos(x) * F.cos(x))
-    tau = tau1
-    for _ in range(3):  # Newton steps back from the conformal latitude
-        sigma = F.sinh(F.lit(_E) * F.atanh(F.lit(_E) * tau / F.sqrt(F.lit(1.0) + tau * tau)))
-        now = tau * F.sqrt(F.lit(1.0) + sigma * sigma) - sigma * F.sqrt(F.lit(1.0) + tau * tau)
-        slope = (F.sqrt(F.lit(1.0) + now * now) * F.sqrt(F.lit(1.0) + tau * tau)) * F.lit(1 - _E**2) / (F.lit(1.0) + F.lit(1 - _E**2) * tau * tau)
-        tau = tau + (tau1 - now) / slope
-    return [F.degrees(F.atan2(F.sinh(e), F.cos(x))) + F.lit(6.0 * zone - 183), F.degrees(F.atan(tau))]
+
+    def sphere(v: Column) -> Column:
+        x, e = v["xi"], v["eta"]
+        for k, b in enumerate(_BETA, 1):
+            x = x - F.lit(b) * F.sin(F.lit(2.0 * k) * v["xi"]) * F.cosh(F.lit(2.0 * k) * v["eta"])
+            e = e - F.lit(b) * F.cos(F.lit(2.0 * k) * v["xi"]) * F.sinh(F.lit(2.0 * k) * v["eta"])
+        return let({"x": x, "e": e}, start)
+
+    def start(v: Column) -> Column:
+        t = F.sin(v["x"]) / F.sqrt(F.sinh(v["e"]) * F.sinh(v["e"]) + F.cos(v["x"]) * F.cos(v["x"]))
+        return let({"t1": t, "tau": t, "lon": F.atan2(F.sinh(v["e"]), F.cos(v["x"]))}, lambda w: newton(w, 3))
+
+    def newton(v: Column, left: int) -> Column:
+        """Steps back from the conformal latitude."""
+        if not left:
+            return F.struct((F.degrees(v["lon"]) + F.lit(6.0 * zone - 183)).alias("x"), F.degrees(F.atan(v["tau"])).alias("y"))
+        tau, root = v["tau"], F.sqrt(F.lit(1.0) + v["tau"] * v["tau"])
+        sigma = F.sinh(F.lit(_E) * F.atanh(F.lit(_E) * tau / root))
+        return let({"t1": v["t1"], "tau": tau, "lon": v["lon"], "root": root, "now": tau * F.sqrt(F.lit(1.0) + sigma * sigma) - sigma * root}, lambda w: step(w, left))
+
+    def step(v: Column, left: int) -> Column:
+        tau, now = v["tau"], v["now"]
+        slope = F.sqrt(F.lit(1.0) + now * now) * v["root"] * F.lit(1 - _E**2) / (F.lit(1.0) + F.lit(1 - _E**2) * tau * tau)
+        return let({"t1": v["t1"], "tau": tau + (v["t1"] - now) / slope, "lon": v["lon"]}, lambda w: newton(w, left - 1))
+
+    out = let({"xi": (north - F.lit(FALSE_NORTH_SOUTH if south else 0.0)) / F.lit(SCALE * _RADIUS), "eta": (east - F.lit(FALSE_EAST)) / F.lit(SCALE * _RADIUS)}, sphere)
+    return [out["x"], out["y"]]
 
 
 def slippy_tile(lon: Column, lat: Column, zoom: int) -> list[Column]:

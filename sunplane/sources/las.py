@@ -129,6 +129,8 @@ class LasReader(DataSourceReader):
     def read(self, part: Part):
         import pyarrow as pa
 
+        if part is None:  # no file at all
+            return
         name = part.uri.rpartition("/")[2].rpartition(".")[0]
         for p in read_points(part.uri, part.first, part.n, part.header):
             keep = np.isin(p["cls"], self.classes) if self.classes is not None else np.ones(len(p["cls"]), bool)
