@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from sunplane.staging import numbered
 
 # Right-closed bounds of the area bins, in square metres.
 AREA_BINS = (0.0, 5.0, 15.0, 40.0, 80.0, 250.0)
@@ -28,7 +29,7 @@ def with_building_id(df: DataFrame, order: list[str] | None = None, id_col: str
         return df.withColumn("building_id", F.col(source).cast("string"))
     if not order:
         raise ValueError("a footprint table without ids needs an order to number its rows by")
-    return df.withColumn("building_id", F.concat(F.lit("auto_"), (F.row_number().over(Window.orderBy(*order)) - 1).cast("string")))
+    return numbered(df, order, "_place").withColumn("building_id", F.concat(F.lit("auto_"), F.col("_place").cast("string"))).drop("_place")
 
 
 def tile_uri(base: str, template: str, name: Column) -> Column:

@@ -16,8 +16,8 @@ from sunplane.functions.angles import height_over_plane, plane_angle
 from sunplane.functions.kernels import boundary_distance, contains
 from sunplane.operators import assign, planes, points as pt
 from sunplane.operators.mounting import RuleClassifier, is_tracker_suspected
-from sunplane.plans.staging import staged
 from sunplane.schema import VERSION, conform
+from sunplane.staging import staged
 
 
 def with_measures(polygons: DataFrame) -> DataFrame:

@@ -192,3 +192,12 @@ def test_projection_control_values_and_round_trip(spark):
     corner = projection.slippy_corner(lit(100.0), lit(200.0), 10)
     got = one(spark, x=projection.slippy_tile(corner[0] + 1e-9, corner[1] - 1e-9, 10)[0], y=projection.slippy_tile(corner[0] + 1e-9, corner[1] - 1e-9, 10)[1])
     assert tuple(got) == (100, 200)
+
+
+def test_numbering_over_many_partitions(spark):
+    from sunplane.staging import numbered
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k")).repartition(9)
+    out = numbered(df, ["k"], "place").collect()
+    assert [r["k"] for r in sorted(out, key=lambda r: r["place"])] == sorted(r["k"] for r in out) and sorted(r["place"] for r in out) == list(range(5000))
+    assert numbered(df.limit(0), ["k"], "place").count() == 0
