@@ -144,7 +144,12 @@ def training_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The bounded sample: of each language the SAMPLE_DOCS documents with the least hash of their id that aren't held
     out, and of each SEGMENTS segments, those with the least hash, from the whole text. A fifth is for validation."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("id is not null and lang is not null and length(text) > 0").filter(~held_out(F.col("id")))
-    ranked = rows.select("id", "lang", F.xxhash64("id").alias("h")).withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(f"nth <= {SAMPLE_DOCS}")
+    # Hashes are even, so those under four times the wanted share hold the least SAMPLE_DOCS. The counts are one row for
+    # each language, as is the model that is fitted.
+    hashed = rows.select("id", "lang", F.shiftrightunsigned(F.xxhash64("id"), 1).alias("h"))
+    limits = rows.groupBy("lang").count().select(F.col("lang").alias("of"), (F.least(F.lit(1.0), F.lit(4.0 * SAMPLE_DOCS) / F.col("count")) * F.lit(float(1 << 63))).alias("limit"))
+    few = hashed.join(F.broadcast(limits), F.col("lang") == F.col("of")).filter(F.col("h") <= F.col("limit")).select("id", "lang", "h")
+    ranked = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).filter(f"nth <= {SAMPLE_DOCS}")
     picked = staged(ranked.select(F.col("id").alias("picked"), F.col("lang").alias("picked_lang")).distinct(), "language-sample")
     last = F.floor((F.length("text") - 1) / SEGMENT_CHARS)
     order = F.array_sort(F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: F.struct(F.xxhash64("id", i).alias("h"), i.alias("i"))))
