@@ -17,8 +17,9 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 RUN = r"[A-Za-z0-9+/_=-]+"
 RUN_LEAST = 20
-#: A run is a secret if its log-likelihood ratio (nats) is over this for the whole run and for each step of it.
-LEAST_TOTAL, LEAST_STEP = 12.0, 0.5
+#: A run, or a part of one of PART_LEAST or more characters, is a secret if its log-likelihood ratio (nats) is over
+#: LEAST_TOTAL, and over LEAST_STEP for each step of it. Parts are told apart by a loss of LEAST_TOTAL.
+LEAST_TOTAL, LEAST_STEP, PART_LEAST = 12.0, 0.5, 12
 
 #: Ordinary words that the samples of identifiers are joined from.
 WORDS = (
@@ -80,12 +81,30 @@ def fit(samples: DataFrame) -> list[float]:
     return [math.log(share[True][a][b] / share[False][a][b]) for a in range(n + 1) for b in range(n)]
 
 
-def log_ratio(run: Column, model: list[float]) -> Column:
-    """The log-likelihood ratio of a run of alphabet characters."""
+def random_parts(run: Column, model: list[float]) -> Column:
+    """(start, end) of the parts of a run of alphabet characters that are secrets: the whole run if it is one, else
+    each segment of the largest sum of step ratios less LEAST_STEP, in one pass over the characters. A segment
+    ends at its peak once the sum is used up or LEAST_TOTAL below the peak."""
     weights, n = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>"), len(ALPHABET)
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substr(run, i, F.lit(1)))
-    before = lambda i: F.when(i == 1, F.lit(0)).otherwise(code(F.greatest(i - 1, F.lit(1))))
-    return F.aggregate(F.sequence(F.lit(1), F.length(run)), F.lit(0.0), lambda acc, i: acc + F.get(weights, before(i) * n + code(i) - 1))
+    code = lambda c: F.instr(F.lit(ALPHABET), c)
+    chars = F.split(run, "")
+    ratios = F.zip_with(F.concat(F.array(F.lit(" ")), chars), chars, lambda a, b: F.get(weights, code(a) * n + code(b) - 1))  # a null at the end
+
+    def state(at, total, now, start, top, stop, out):
+        return F.struct(at.alias("at"), total.alias("total"), now.alias("now"), start.alias("start"), top.alias("top"), stop.alias("stop"), out.alias("out"))
+
+    def step(acc, ratio):
+        at, now, width = acc["at"] + 1, acc["now"] + ratio - LEAST_STEP, acc["stop"] - acc["start"]
+        total = acc["total"] + F.coalesce(ratio, F.lit(0.0))
+        found = (width >= PART_LEAST) & (acc["top"] + LEAST_STEP * width > LEAST_TOTAL)
+        out = F.when(found, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("start"), acc["stop"].alias("end"))))).otherwise(acc["out"])
+        return F.when(ratio.isNull() | (now <= 0) | (now < acc["top"] - LEAST_TOTAL), state(at, total, F.lit(0.0), at, F.lit(0.0), at, out)).otherwise(
+            state(at, total, now, acc["start"], F.greatest(acc["top"], now), F.when(now > acc["top"], at).otherwise(acc["stop"]), acc["out"])
+        )
+
+    first = state(F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(0), F.array().cast("array<struct<start:int,end:int>>"))
+    whole = lambda acc: acc["total"] > F.greatest(F.lit(LEAST_TOTAL), LEAST_STEP * (acc["at"] - 1))
+    return F.aggregate(ratios, first, step, lambda acc: F.when(whole(acc), F.array(F.struct(F.lit(0).alias("start"), (acc["at"] - 1).alias("end")))).otherwise(acc["out"]))
 
 
 def find_spans(text: Column, pattern: str) -> Column:
@@ -110,8 +129,8 @@ def scan_secrets(docs: DataFrame, model: list[float], id_col: str = "doc_id", te
 
     Kinds assign, access and hex are the base patterns, each matched left to right without overlap, matches
     that fail their length test dropped and not tried again. Kind markov is a run of RUN_LEAST or more
-    characters of ALPHABET that the random model explains better than the identifier model, if it overlaps no
-    base span. Null and empty texts have no spans; repeated rows are scanned each; columns besides the two are
+    characters of ALPHABET outside the base spans that the random model explains better than the identifier
+    model, or else each part of it that is so (random_parts), widened to the separators / = _ - around it. Null and empty texts have no spans; repeated rows are scanned each; columns besides the two are
     ignored; an empty table gives an empty result. The whole text is scanned, whatever its length.
     """
     none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
@@ -125,10 +144,7 @@ def scan_secrets(docs: DataFrame, model: list[float], id_col: str = "doc_id", te
         found(f"[A-Za-z0-9+/_=-]{{{RUN_LEAST}}}", f"[A-Za-z0-9+/_=-]{{{RUN_LEAST},}}").alias("run"),
     )
     rows = rows.select("id", F.concat(*[_named(F.col(k), n) for n, k in enumerate(KINDS[:3])]).alias("base"), "run")
-    likely = F.filter(
-        F.filter("run", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))),
-        lambda r: _is_random(r["hit"], model),
-    )
+    likely = F.flatten(F.transform(F.flatten(F.transform("run", lambda r: _outside(r, F.col("base")))), lambda r: _widened(r, random_parts(r["hit"], model))))
     spans = F.array_sort(F.concat("base", _named(likely, 3)))
     return rows.select(F.col("id").alias(id_col), F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["hit"].alias("hit"))).alias("spans"))
 
@@ -140,9 +156,37 @@ def _named(spans: Column, rank: int) -> Column:
     )
 
 
-def _is_random(run: Column, model: list[float]) -> Column:
-    ratio = log_ratio(run, model)
-    return ratio > F.greatest(F.lit(LEAST_TOTAL), F.lit(LEAST_STEP) * F.length(run))
+def _outside(run: Column, base: Column) -> Column:
+    """The pieces of RUN_LEAST or more characters that base spans leave of a run."""
+    piece = lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.substr(run["hit"], a - run["start"] + 1, b - a).alias("hit"))
+    cuts = F.array_sort(F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"])))
+    pieces = F.aggregate(
+        cuts,
+        F.struct(run["start"].alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out")),
+        lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], F.array(piece(acc["at"], b["start"]))).alias("out")),
+        lambda acc: F.concat(acc["out"], F.array(piece(acc["at"], run["end"]))),
+    )
+    return F.filter(pieces, lambda p: p["end"] - p["start"] >= RUN_LEAST)
+
+
+def _widened(run: Column, parts: Column) -> Column:
+    """The parts of a run out to the separators around them, those that meet joined, as spans of the text."""
+    span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    wide = F.transform(
+        parts,
+        lambda p: span(
+            p["start"] - F.length(F.regexp_extract(F.substr(run["hit"], F.lit(1), p["start"]), "[^/=_-]*$", 0)), p["end"] + F.length(F.regexp_extract(F.substr(run["hit"], p["end"] + 1), "^[^/=_-]*", 0))
+        ),
+    )
+    last = lambda acc: F.element_at(acc, -1)
+    joined = F.aggregate(
+        wide,
+        F.array().cast("array<struct<start:int,end:int>>"),
+        lambda acc, p: F.when((F.size(acc) > 0) & (p["start"] < F.get(acc, F.size(acc) - 1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(span(last(acc)["start"], F.greatest(last(acc)["end"], p["end"]))))).otherwise(
+            F.concat(acc, F.array(p))
+        ),
+    )
+    return F.transform(joined, lambda p: F.struct((run["start"] + p["start"]).alias("start"), (run["start"] + p["end"]).alias("end"), F.substr(run["hit"], p["start"] + 1, p["end"] - p["start"]).alias("hit")))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,28 @@ def test_markov_tells_random_from_ordinary(docs, model):
     assert not any(found[len(random) :])
 
 
+def test_random_parts_of_joined_runs(docs, model):
+    rng = np.random.default_rng(6)
+    letters = list(string.ascii_letters + string.digits)
+    shapes = ["SERVER_SESSION={}", "SERVER_SESSION_BACKUP={}", "SERVER_SESSION_BACKUP_HOST={}", "/report/archive/{}", "/report/archive/monthly/{}", "/a/report/of/the/monthly/archive/server/files/{}", "{}/report/archive/monthly"]
+    secrets = [("".join(rng.choice(letters, 24 + 8 * (k % 3))), shapes[k % len(shapes)]) for k in range(140)]
+    ordinary = ["SERVER_SESSION_BACKUP_HOST=localhost", "/report/archive/monthly/summary-of-the-year", "parseDocumentFromInputStreamReader/withDefaultOptions"]
+    texts = [f"see {shape.format(x)} there" for x, shape in secrets] + ordinary
+    out = spans(scan_secrets(docs(texts), model))
+    whole = [any(k == "markov" and t[a:b].find(x) >= 0 for k, a, b in out[n]) for n, (t, (x, _)) in enumerate(zip(texts, secrets), 1)]
+    assert np.mean(whole) > 0.9
+    assert not any(out[n] for n in range(len(secrets) + 1, len(texts) + 1))
+
+
+def test_secrets_beside_each_other_and_beside_base_spans(docs, model):
+    a, b = "q7Zk2WxV9tLr4BnJ0sHd8FgYc3MpT6Ue", "X5vRj1KwQ8zNf7DyC2hGt4LbS9mPa0Ex"
+    apart = f"SERVER_SESSION={a}/the/report/of/the/monthly/archive/{b}/server/host/backup/files/report"
+    beside = f"{a}/AKIA{'ABCDEFGH' * 2}"
+    out = spans(scan_secrets(docs([apart, beside]), model))
+    assert [apart[i:j] for _, i, j in out[1]] == [a, b]
+    assert [(k, beside[i:j]) for k, i, j in out[2]] == [("markov", a + "/"), ("access", beside[33:])]
+
+
 def test_edges(spark, docs, model):
     assert scan_secrets(docs([]), model).count() == 0
     df = spark.createDataFrame([(None, "token=abcdefgh", 1), (7, "token=abcdefgh", 2), (7, "token=abcdefgh", 2)], "doc_id long, text string, spans int")
