@@ -189,18 +189,30 @@ def deduce_templates(pages: DataFrame, url_col: str, html_col: str) -> DataFrame
     )
 
 
+def in_named(path: str) -> bool:
+    return any(p.split(".")[0] in MAIN_TAGS for p in path.split("/"))
+
+
+def copies(template: list[dict], host_pages: int) -> bool:
+    """Whether the host has one page, or copies of one: under 1 - MAIN_SHARE of the words that could be prose vary,
+    so what varies doesn't tell the article."""
+    words = [(t["words"], t["varies"]) for t in template if not t["outside"] and t["links"] <= MOST_LINKS * t["words"]]
+    return host_pages < 2 or sum(w for w, varies in words if varies) < (1 - MAIN_SHARE) * sum(w for w, _ in words)
+
+
 def main_container(template: list[dict], host_pages: int) -> str:
     """The path of the main container ('' if the template has none).
 
     The tokens are grouped by occurrence vector. The frame is every class whose tokens occur at most once a page; a
-    container must belong to it. Prose is the words of slots that aren't outside, whose text varies (on hosts
-    of one page: any) and that aren't mostly links. An article or main element that holds most of the prose is
+    container must belong to it. Prose is the words of slots that aren't outside, whose text varies or is in an
+    article or main element (on hosts of one page or of copies: any) and that aren't mostly links. An article or main element that holds most of the prose is
     taken as the container, else the deepest frame token that does."""
     classes: dict[tuple, list[dict]] = {}
     for t in template:
         classes.setdefault((t["pages"], t["v1"], t["v2"]), []).append(t)
     frame = [t for members in classes.values() for t in members if t["most"] == 1 and not t["outside"]]
-    prose = {t["path"]: t["words"] for t in template if not t["outside"] and (t["varies"] or host_pages < 2) and t["links"] <= MOST_LINKS * t["words"]}
+    alike = copies(template, host_pages)
+    prose = {t["path"]: t["words"] for t in template if not t["outside"] and (t["varies"] or alike or in_named(t["path"])) and t["links"] <= MOST_LINKS * t["words"]}
     under = lambda p: sum(w for q, w in prose.items() if q == p or q.startswith(p + "/"))
     total = sum(prose.values())
     good = [(t["path"], under(t["path"])) for t in frame if t["path"]]
@@ -212,8 +224,10 @@ def main_container(template: list[dict], host_pages: int) -> str:
 
 
 def menu_slots(template: list[dict], host_pages: int) -> frozenset[str]:
-    """Slots of the frame whose text is the same on every page, or that are mostly links; used where no article is named."""
-    return frozenset(t["path"] for t in template if (host_pages > 1 and t["pages"] > 1 and t["words"] and not t["varies"]) or t["links"] > MOST_LINKS * t["words"])
+    """Slots of the frame whose text is the same on every page (unless the pages are copies), or that are mostly links;
+    used where no article is named."""
+    alike = copies(template, host_pages)
+    return frozenset(t["path"] for t in template if (not alike and t["pages"] > 1 and t["words"] and not t["varies"]) or t["links"] > MOST_LINKS * t["words"])
 
 
 def page_text(page: str, container: str, menus: frozenset[str]) -> str:
@@ -260,7 +274,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Character references are decoded once, white space becomes one space, blocks are joined by one space. The
     template is deduced from all pages of a host. Null and empty pages give an empty text; a null url is the
-    host ''; a host of one page uses that page's own structure; a page without the container uses its own
+    host ''; a host of one page, or of copies of one, uses that page's own structure; a page without the container uses its own
     article or main element, or else all text outside menus and the like; repeated rows give a row each and
     exact copies of a page with the same url cancel or repeat each other's part of the occurrence vectors
     alike for all tokens; a null id stays null; other columns are ignored; an empty table gives no rows. The whole page is read, whatever its length.

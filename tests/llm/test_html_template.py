@@ -42,6 +42,19 @@ def test_same_article_on_every_page_stays(spark):
     assert set(texts(spark, rows).values()) == {"Same text"}
 
 
+def test_copies_without_an_article_element(spark):
+    page = SHELL.format(body="<div id=page><h1>Head</h1><p>The same long text on every page of the host</p></div>")
+    rows = [(k, f"{scheme}://copies.example/?utm_source={k}", page) for k, scheme in enumerate(("http", "https", "http"))]
+    assert set(texts(spark, rows).values()) == {"Head The same long text on every page of the host"}
+
+
+def test_small_varying_text_beside_copies(spark):
+    words = "The same long text on every page of the host"
+    for body in ("<article><p>{}</p></article>", "<div class=text><p>{}</p></div>"):
+        rows = [(k, f"http://views.example/{k}", SHELL.format(body=f"{body.format(words)}<div class=meta>Views {k}</div>")) for k in range(5)]
+        assert all(words in t for t in texts(spark, rows).values())
+
+
 def test_broken_and_missing_pages(spark):
     rows = [
         (1, "http://a.example/", None),
