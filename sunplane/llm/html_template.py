@@ -3,7 +3,7 @@
 A token is an element's path of containers (tag names with class and id). The tokens of one host that occur
 equally often on every page have equal occurrence vectors and form an equivalence class. Classes with one
 occurrence a page are the frame of the template; the others are nested in it by their paths. The text under
-each token is a slot. The main container is the frame token whose slots hold the host's varying prose.
+each token is a slot. The main container is the frame token whose slots hold all of the host's varying prose.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from sunplane.llm.common import in_batches, staged
 
 #: A class is frequent, and so part of a template, if its tokens are on so many pages and this share of the host's.
 LEAST_PAGES, LEAST_SHARE = 2, 0.1
-#: The main container is the deepest frame token that has at least this share of the host's prose.
+#: The core is the deepest frame token that has at least this share of the host's prose.
 MAIN_SHARE = 0.8
 #: A slot of which more than this share is link text is a menu.
 MOST_LINKS = 0.6
@@ -193,6 +193,12 @@ def in_named(path: str) -> bool:
     return any(p.split(".")[0] in MAIN_TAGS for p in path.split("/"))
 
 
+def in_header(path: str) -> bool:
+    """Whether the slot is in a header element that is the page's, and not in the headline."""
+    tags = {p.split(".")[0] for p in path.split("/")}
+    return "header" in tags and not tags & (MAIN_TAGS | {"h1"})
+
+
 def copies(template: list[dict], host_pages: int) -> bool:
     """Whether the host has one page, or copies of one: under 1 - MAIN_SHARE of the words that could be prose vary,
     so what varies doesn't tell the article."""
@@ -200,39 +206,43 @@ def copies(template: list[dict], host_pages: int) -> bool:
     return host_pages < 2 or sum(w for w, varies in words if varies) < (1 - MAIN_SHARE) * sum(w for w, _ in words)
 
 
-def main_container(template: list[dict], host_pages: int) -> str:
-    """The path of the main container ('' if the template has none).
+def main_container(template: list[dict], host_pages: int) -> tuple[str, str]:
+    """The paths of the main container, the deepest frame token that holds all prose, and of its core, where every
+    slot is the article's ('' if the template has none).
 
     The tokens are grouped by occurrence vector. The frame is every class whose tokens occur at most once a page; a
     container must belong to it. Prose is the words of slots that aren't outside, whose text varies or is in an
-    article or main element (on hosts of one page or of copies: any) and that aren't mostly links. An article or main element that holds most of the prose is
-    taken as the container, else the deepest frame token that does."""
+    article or main element (on hosts of one page or of copies: any but
+    a page header's) and that aren't mostly links. An article
+    or main element that holds much of the prose is taken as the core, else the deepest frame token that holds
+    most of it."""
     classes: dict[tuple, list[dict]] = {}
     for t in template:
         classes.setdefault((t["pages"], t["v1"], t["v2"]), []).append(t)
     frame = [t for members in classes.values() for t in members if t["most"] == 1 and not t["outside"]]
     alike = copies(template, host_pages)
-    prose = {t["path"]: t["words"] for t in template if not t["outside"] and (t["varies"] or alike or in_named(t["path"])) and t["links"] <= MOST_LINKS * t["words"]}
+    prose = {t["path"]: t["words"] for t in template if not t["outside"] and (t["varies"] or (alike and not in_header(t["path"])) or in_named(t["path"])) and t["links"] <= MOST_LINKS * t["words"]}
     under = lambda p: sum(w for q, w in prose.items() if q == p or q.startswith(p + "/"))
     total = sum(prose.values())
     good = [(t["path"], under(t["path"])) for t in frame if t["path"]]
     named = [p for p, w in good if w > 0 and w >= MAIN_SHARE / 2 * total and p.rpartition("/")[2].split(".")[0] in MAIN_TAGS]
-    if named:
-        return max(named, key=lambda p: (p.rpartition("/")[2].startswith("article"), p.count("/"), p))
-    deep = [p for p, w in good if total and w >= MAIN_SHARE * total]
-    return max(deep, key=lambda p: (p.count("/"), p)) if deep else ""
+    deepest = lambda paths: max(paths, key=lambda p: (p.count("/"), p), default="")
+    core = max(named, key=lambda p: (p.rpartition("/")[2].startswith("article"), p.count("/"), p)) if named else deepest([p for p, w in good if total and w >= MAIN_SHARE * total])
+    every = [p for p, w in good if total and w == total]
+    return deepest([p for p in every if core == p or core.startswith(p + "/")] or every), core
 
 
 def menu_slots(template: list[dict], host_pages: int) -> frozenset[str]:
-    """Slots of the frame whose text is the same on every page (unless the pages are copies), or that are mostly links;
+    """Slots of the frame whose text is the same on every page (if the pages are copies: of the page header), or that are mostly links;
     used where no article is named."""
     alike = copies(template, host_pages)
-    return frozenset(t["path"] for t in template if (not alike and t["pages"] > 1 and t["words"] and not t["varies"]) or t["links"] > MOST_LINKS * t["words"])
+    return frozenset(t["path"] for t in template if (not t["varies"] and t["words"] and (in_header(t["path"]) if alike else t["pages"] > 1)) or t["links"] > MOST_LINKS * t["words"])
 
 
-def page_text(page: str, container: str, menus: frozenset[str]) -> str:
-    """The text of the slots under the container. On a page that lacks it: under its own article or main element, or
-    else all text that isn't outside."""
+def page_text(page: str, container: str, core: str, menus: frozenset[str]) -> str:
+    """The text of the slots under the core, and of those under the container that aren't menus. On a page that lacks
+    the container: under its own article or main element, or else all text that isn't outside. Where no element
+    holds all prose, the core and all other text that isn't outside or a menu."""
     inside: list[str] = []
     named: list[str] = []
     rest: list[str] = []
@@ -240,14 +250,14 @@ def page_text(page: str, container: str, menus: frozenset[str]) -> str:
         piece = html.unescape(piece) if event == "text" else " "
         if event == "text" and outside:
             continue
-        if container and (path == container or path.startswith(container + "/")):
+        mine = bool(core) and (path == core or path.startswith(core + "/"))
+        if mine or (container and path.startswith(container + "/") and path not in menus) or path == container != "":
             inside.append(piece)
-        tags = {p.split(".")[0] for p in path.split("/")}
-        if tags & MAIN_TAGS:
+        if in_named(path):
             named.append(piece)
-        if path not in menus:
+        if mine or path not in menus:
             rest.append(piece)
-    for part in (inside, named, rest):
+    for part in (inside, named, rest) if container or not core else (rest, named):
         if text := " ".join("".join(part).split()):
             return text
     return ""
@@ -255,15 +265,15 @@ def page_text(page: str, container: str, menus: frozenset[str]) -> str:
 
 def _roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(h, main_container(t, n), sorted(menu_slots(t, n))) for h, n, t in zip(*[batch.column(k).to_pylist() for k in range(3)])]
+        rows = [(h, *main_container(t, n), sorted(menu_slots(t, n))) for h, n, t in zip(*[batch.column(k).to_pylist() for k in range(3)])]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.list_(pa.string())))], ["host", "container", "menus"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.list_(pa.string())))], ["host", "container", "core", "menus"])
 
 
 def _fill(id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [page_text(page or "", container or "", frozenset(menus or ())) for page, container, menus in zip(*[batch.column(k).to_pylist() for k in (2, 3, 4)])]
+            out = [page_text(page or "", container or "", core or "", frozenset(menus or ())) for page, container, core, menus in zip(*[batch.column(k).to_pylist() for k in (2, 3, 4, 5)])]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), batch.column(1), pa.array(out, pa.string())], ["id", "url", "text"])
 
     return run
@@ -279,13 +289,13 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     exact copies of a page with the same url cancel or repeat each other's part of the occurrence vectors
     alike for all tokens; a null id stays null; other columns are ignored; an empty table gives no rows. The whole page is read, whatever its length.
     """
-    templates = staged(deduce_templates(pages, url_col, html_col).select("host", "host_pages", "template").mapInArrow(_roles, "host string, container string, menus array<string>"), "templates")
+    templates = staged(deduce_templates(pages, url_col, html_col).select("host", "host_pages", "template").mapInArrow(_roles, "host string, container string, core string, menus array<string>"), "templates")
     rows = in_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     joined = rows.withColumn("_host", host).join(templates.withColumnRenamed("host", "_template_host"), F.col("_host") == F.col("_template_host"), "left")
     id_type = to_arrow_schema(rows.select("id").schema).field(0).type
     kind = pages.schema[id_col].dataType.simpleString()
-    return joined.select("id", "url", "html", "container", "menus").mapInArrow(_fill(id_type), f"id {kind}, url string, text string").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
+    return joined.select("id", "url", "html", "container", "core", "menus").mapInArrow(_fill(id_type), f"id {kind}, url string, text string").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

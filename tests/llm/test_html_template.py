@@ -55,6 +55,21 @@ def test_small_varying_text_beside_copies(spark):
         assert all(words in t for t in texts(spark, rows).values())
 
 
+def test_the_container_holds_all_prose(spark):
+    few, many = "Intro of {k} here", "Much longer own text of page {k} with some more words about {k} than the headline and lead have"
+    bodies = [
+        f"<main><article class=intro><p>{few}</p></article><section><p>Other words of {{k}} at more length</p></section></main>",
+        f"<main><h1>Head {{k}}</h1><article><p>{many}</p></article></main>",
+        f"<div class=page><h1>Head {{k}}</h1><div class=lead>Lead {{k}}</div><div id=content><p>{many}</p></div></div>",
+        f"<h1>Head {{k}}</h1><article><p>{many}</p></article>",
+    ]
+    for body in bodies:
+        for shell in (SHELL, "{body}"):
+            rows = [(k, f"http://whole.example/{k}", shell.format(body=body.replace("{k}", f"v{k}"))) for k in range(6)]
+            want = {k: " ".join(re.sub("<[^>]+>", " ", body.replace("{k}", f"v{k}")).split()) for k in range(6)}
+            assert texts(spark, rows) == want, (body, shell)
+
+
 def test_broken_and_missing_pages(spark):
     rows = [
         (1, "http://a.example/", None),
