@@ -21,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-ITERATIONS, SAMPLES = 20, 8
+ITERATIONS, SAMPLES = 200, 50
 
 
 def query(oracle: str | None = None):

@@ -193,3 +193,11 @@ def test_entry_has_rows(spark):
 def test_point_joins_are_equi_joins(spark):
     plan = __spark_entry__.queries()["panel_clip"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_consensus_queries_do_the_whole_job(spark, monkeypatch):
+    asked, fit = [], queries.planes.fit_groups
+    monkeypatch.setattr(queries.planes, "fit_groups", lambda *a, **k: asked.append(k) or fit(*a, **k))
+    for name in ("ransac_lcg", "bootstrap_lcg", "multi_plane_lcg"):
+        queries.QUERIES[name](spark, SF)
+    assert [k["iterations"] for k in asked] == [200] * 3 and asked[1]["samples"] == 50
