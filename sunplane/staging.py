@@ -5,23 +5,37 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written under spark.checkpoint.dir (a folder of this session's own if that is unset) and read again."""
-    conf = df.sparkSession.conf
-    root = conf.get("spark.checkpoint.dir", None)
+def staging_root(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables, spark.checkpoint.dir. If that is unset: a folder of this session's own
+    where driver and executors are one process, else an error, as executors would write to disks of their own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="sunplane-")
-        conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written under the shared folder and read again, so that lost executors don't repeat what is above it."""
+    path = f"{staging_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a staged table that no plan to come reads."""
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(df: DataFrame, order: list[str], column: str) -> DataFrame:
     """df with each row's place in the order, from 0. Rows are sorted by range and numbered in their partitions; only the
     partitions' counts meet in one task. The sorted rows are staged, so that both passes see the same partitions."""
