@@ -1,4 +1,4 @@
-"""Shared pieces of the text operators: byte-level word hashing in numpy, staged tables, small model IO.
+"""Shared pieces of the text operators: byte-level word hashing in numpy, and marks of rows.
 
 A *word* of the shingle operators is a maximal run of ASCII letters, ASCII digits and code points from
 U+0080 up, lower-cased; ASCII punctuation and white space separate words. A text with at least one word but
@@ -7,22 +7,19 @@ fewer words than a shingle has one shingle, made of all its words.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 #: Bytes of text that the numpy kernels take at once; their scratch memory is about 60 times this.
 CHUNK_BYTES = 1 << 20
 #: Rows of an Arrow batch that are copied at once.
 SLICE_ROWS = 1024
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 #: Separator bytes of the two word definitions.
@@ -32,22 +29,6 @@ ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
-def staging_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or one set here if that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="sunplane-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again, so that lost executors don't repeat what is above it."""
-    path = f"{staging_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def in_batches(df: DataFrame) -> DataFrame:
     """df, after its session's Arrow batches are set to 8 MB if they are at Spark's default of 64 MB: long texts then
     take little memory outside the heap and in the Python workers."""
@@ -67,26 +48,53 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: The bits of a block of which only so many bytes count.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
 
+def _blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The byte ranges in blocks of eight bytes, zeros after a range's end: the blocks of all ranges one after the other,
+    the place of each in its range, and the first block of each range (one more entry than there are ranges)."""
+    sizes = ends - starts
+    first = np.concatenate([[0], np.cumsum(-(-sizes // 8))])
+    place = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
+    at = np.repeat(starts, np.diff(first)) + 8 * place
+    words = np.frombuffer(data.tobytes() + bytes(16 - len(data) % 8), "<u8")
+    k, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+    blocks = (words[k] >> shift) | ((words[k + 1] << (np.uint64(63) - shift)) << np.uint64(1))
+    blocks &= _LOW[np.minimum(np.repeat(sizes, np.diff(first)) - 8 * place, 8)]
+    return blocks, place, first
 
-def power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            p = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers
+
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sum of each group of values, modulo 2^64; first: the first value of each group, and the end."""
+    out, full = np.zeros(len(first) - 1, np.uint64), np.flatnonzero(np.diff(first))
+    if len(full):
+        out[full] = np.add.reduceat(values, first[full])
+    return out
+
+
+def list_hashes(values: np.ndarray, place: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each group of uint64 values in order. Every value is mixed with its place before the values are
+    added, so no structure of the values makes sums meet, as it does for polynomials modulo a power of two."""
+    mixed = mix(mix(values + _M1) ^ mix((place.astype(np.uint64) + np.uint64(1)) * _STEP))
+    return mix(_sums(mixed, first) ^ (np.diff(first).astype(np.uint64) * _M2))
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte range [start, end) of data, equal for equal ranges wherever they lie."""
-    up, down = power_tables(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) * _M2))
+    h = list_hashes(*_blocks(data, starts, ends))
+    return mix(h ^ ((ends - starts).astype(np.uint64) * _STEP))
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether the byte ranges numbered left[k] and right[k] hold the same bytes."""
+    out = (ends - starts)[left] == (ends - starts)[right]
+    pairs = np.flatnonzero(out)
+    a, _, first = _blocks(data, starts[left[pairs]], ends[left[pairs]])
+    b, _, _ = _blocks(data, starts[right[pairs]], ends[right[pairs]])
+    out[pairs[_sums((a != b).astype(np.uint64), first) > 0]] = False
+    return out
 
 
 def runs(data: np.ndarray, bounds: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,7 +132,7 @@ def text_chunks(texts: pa.Array, lower: bool = False, size: int = CHUNK_BYTES) -
             row = end
 
 
-_SHIFT = mix(np.arange(1, 65, dtype=np.uint64) * _BASE) | np.uint64(1)
+_SHIFT = mix(np.arange(1, 65, dtype=np.uint64) * _STEP) | np.uint64(1)
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:

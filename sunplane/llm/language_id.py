@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from sunplane.llm.common import ALNUM, in_batches, staged, text_chunks
+from sunplane.llm.common import ALNUM, in_batches, text_chunks
+from sunplane.staging import staged
 
 BUCKET_BITS, DIM, ORDERS = 15, 12, (2, 3, 4)
 #: The fit's bound: at most so many documents of a language, and of each so many segments, spread over the whole text.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sunplane.llm.common import staged
+from sunplane.staging import staged
 
 
 def _lines(text: Column) -> Column:
@@ -14,8 +14,8 @@ def _lines(text: Column) -> Column:
 
 
 def line_windows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """A row for each `width` consecutive lines that aren't blank: id, index of the first and the last line
-    among all lines of the text, and a 128-bit hash. Blanks, tabs and CRs at a line's ends don't count."""
+    """A row for each `width` consecutive lines that aren't blank: id, mark of the text, index of the first and the last
+    line among all lines of the text, and a 128-bit hash. Blanks, tabs and CRs at a line's ends don't count."""
     bare = lambda line: F.btrim(line, F.lit(" \t\r"))
     solid = F.filter(
         F.transform(_lines(F.col("body")), lambda line, i: F.struct(i.alias("i"), bare(line).alias("s"))), lambda x: x["s"] != ""
@@ -31,24 +31,24 @@ def line_windows(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
         F.xxhash64(*[at(k, j)["b"] for j in range(width)]).alias("h2"),
     )
     return (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-        .select("id", hashed.alias("solid"))
+        docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("body"))
+        .select("id", "t", hashed.alias("solid"))
         .filter(F.size("solid") >= width)
-        .select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("solid") - width), window)).alias("w"))
-        .select("id", "w.s", "w.e", "w.h1", "w.h2")
+        .select("id", "t", F.explode(F.transform(F.sequence(F.lit(0), F.size("solid") - width), window)).alias("w"))
+        .select("id", "t", "w.s", "w.e", "w.h1", "w.h2")
     )
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """docs with the lines of repeated windows removed from `text_col`, plus `n_lines` and `n_removed`.
 
-    A window is `width` consecutive lines that aren't blank. Its first occurrence, by id and then position,
-    stays; the lines from first to last of every later occurrence are removed, blank lines between them
+    A window is `width` consecutive lines that aren't blank. Its first occurrence, by id (a null id first), then text
+    (by its hash, among rows that share an id) and then position, stays; the lines from first to last of every later occurrence are removed, blank lines between them
     included, overlapping occurrences merged. Other lines stay as they are.
 
     Defined results: a null text stays null with 0 lines; a text with fewer than `width` lines that aren't
-    blank stays as it is; a text all of whose lines go becomes empty; rows with a null id pass unchanged, yet
-    an occurrence in them can be the first one; rows that share an id count as one document. Other columns
+    blank stays as it is; a text all of whose lines go becomes empty; rows that share an id are documents of their
+    own if their texts differ, and equal ones, which lose the same lines, if their texts are equal. Other columns
     pass through, except earlier ones named n_lines or n_removed, which are replaced. An empty table gives an
     empty result.
 
@@ -58,16 +58,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spots = staged(line_windows(docs, id_col, text_col, width), "line-windows")
     first = (
         spots.groupBy("h1", "h2")
-        .agg(F.min(F.struct("id", "s")).alias("first"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct("id", "t", "s")).alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
-        .select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.s").alias("first_s"))
+        .select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.t").alias("first_t"), F.col("first.s").alias("first_s"))
     )
-    later = spots.join(first, ["h1", "h2"]).filter(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("s") == F.col("first_s"))))
-    past = F.coalesce(F.lag("e").over(Window.partitionBy("id").orderBy("s", "e")) + 1, F.lit(0))
+    later = spots.join(first, ["h1", "h2"]).filter(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("t") == F.col("first_t")) & (F.col("s") == F.col("first_s"))))
+    past = F.coalesce(F.lag("e").over(Window.partitionBy("id", "t").orderBy("s", "e")) + 1, F.lit(0))
     cuts = (
-        later.filter(F.col("id").isNotNull())
-        .select("id", "s", "e", past.alias("past"))
-        .groupBy(F.col("id").alias("_cut_id"))
+        later.select("id", "t", "s", "e", past.alias("past"))
+        .groupBy(F.col("id").alias("_cut_id"), F.col("t").alias("_cut_mark"))
         .agg(
             F.sort_array(F.collect_list(F.when(F.col("s") > F.col("past"), F.struct("past", "s")))).alias("_cut_gaps"),
             (F.max("e") + 1).alias("_cut_tail"),
@@ -82,8 +81,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = F.coalesce(F.length("_cut_text") - F.length(F.replace("_cut_text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
     return (
         docs.select(*rest, F.col(text_col).alias("_cut_text"))
-        .join(cuts, F.col(id_col) == F.col("_cut_id"), "left")
-        .select(*rest, "_cut_text", whole.cast("long").alias("n_lines"), F.when(F.col("_cut_id").isNotNull(), kept).alias("_cut_kept"))
+        .join(cuts, F.col(id_col).eqNullSafe(F.col("_cut_id")) & (F.xxhash64("_cut_text") == F.col("_cut_mark")), "left")
+        .select(*rest, "_cut_text", whole.cast("long").alias("n_lines"), F.when(F.col("_cut_mark").isNotNull(), kept).alias("_cut_kept"))
         .select(
             *rest,
             F.when(F.col("_cut_kept").isNull(), F.col("_cut_text")).otherwise(F.array_join("_cut_kept", "\n")).alias(text_col),

@@ -8,8 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from sunplane.llm.common import doc_shingles, in_batches, mix, set_similar, staged
+from sunplane.llm.common import doc_shingles, in_batches, mix, set_similar
+from sunplane.staging import discard, staged
 
 WIDTH = 5
 THRESHOLD = (4, 5)
@@ -57,7 +59,7 @@ def _prints(hasher: MinHasher, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, marks, bands = [], [], []
-            for _, shingles in doc_shingles(batch.column(1), width):
+            for _, shingles in doc_shingles(batch.column("text"), width):
                 s = np.unique(shingles)
                 sizes.append(len(s))
                 marks.append(set_print(s) if len(s) else (0, 0))
@@ -65,13 +67,13 @@ def _prints(hasher: MinHasher, width: int):
             a, b = zip(*marks) if marks else ((), ())
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in bands])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists, batch.column(2)], ["id", "n", "f1", "f2", "bands", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists, batch.column("bytes")], ["id", "mark", "n", "f1", "f2", "bands", "bytes"])
 
     return run
 
 
 def _linked_in_cell(left: list[dict], right: list[dict] | None, band: int, threshold: tuple[int, int]) -> Iterator[tuple]:
-    """(id, root, links) of the documents of one unit of work that have a link in it. Links whose documents meet
+    """(node, root, links) of the documents of one unit of work that have a link in it. Links whose documents meet
     in an earlier band are left to that one, so that each counts once."""
     rows = left + (right or [])
     sizes = np.array([len(r["set"]) for r in rows])
@@ -114,17 +116,19 @@ def _linked_in_cell(left: list[dict], right: list[dict] | None, band: int, thres
         if (root == before).all():
             break
     for k in np.flatnonzero(links):
-        yield rows[k]["id"], rows[root[k]]["id"], int(links[k])
+        yield rows[k]["node"], rows[root[k]]["node"], int(links[k])
 
 
 def _verify(hasher: MinHasher, width: int, threshold: tuple[int, int], id_type: pa.DataType):
-    names = ["id", "root", "links"]
+    names, node = ["id", "root", "links"], pa.struct([("rep", id_type), ("f1", pa.int64()), ("f2", pa.int64())])
+    types = (node, node, pa.int64())
+    told = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     def cell(rows: list[dict], meta: tuple) -> Iterator[tuple]:
         seen, kept = set(), []
-        for r in sorted(rows, key=lambda r: (r["id"], r["side"])):
-            if (r["id"], r["side"]) not in seen:
-                seen.add((r["id"], r["side"]))
+        for r in sorted(rows, key=lambda r: (*r["node"].values(), r["side"])):  # repeated rows bring a set's text more than once
+            if (key := (*r["node"].values(), r["side"])) not in seen:
+                seen.add(key)
                 kept.append(r)
         for k, r in enumerate(kept):
             r["rank"] = k
@@ -148,14 +152,14 @@ def _verify(hasher: MinHasher, width: int, threshold: tuple[int, int], id_type:
                     now, rows = meta[k], []
                 s = np.unique(shingles)
                 if set_print(s) == (rest["f1"][k], rest["f2"][k]):
-                    rows.append({"id": rest["id"][k], "side": rest["side"][k], "copies": rest["copies"][k], "set": s, "bands": hasher(s)})
+                    rows.append({"node": {"rep": rest["id"][k], "f1": rest["f1"][k], "f2": rest["f2"][k]}, "side": rest["side"][k], "copies": rest["copies"][k], "set": s, "bands": hasher(s)})
             if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (id_type, id_type, pa.int64()))], names)
+                yield told(out)
                 out = []
         if now:
             out += cell(rows, now)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (id_type, id_type, pa.int64()))], names)
+            yield told(out)
 
     return run
 
@@ -163,7 +167,7 @@ def _verify(hasher: MinHasher, width: int, threshold: tuple[int, int], id_type:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, root) for each id of the edges (id, root): the least id that it is connected with. Large-star and
     small-star steps over staged tables, until a round changes nothing; stars of any size are joined, never
-    gathered. Null ids aren't edges."""
+    gathered. Null ids aren't edges. The ids may be of any type that has an order; each round's table goes with the next."""
     least, most = F.least("a", "b"), F.greatest("a", "b")
     edges = staged(edges.select(F.col("id").alias("a"), F.col("root").alias("b")).filter("a <> b").select(most.alias("a"), least.alias("b")).distinct(), "edges")
     told = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -173,84 +177,101 @@ def connected_components(edges: DataFrame) -> DataFrame:
         heads = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         stars = both.join(heads, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = stars.groupBy("a").agg(F.min("b").alias("m"))
-        edges = staged(
+        before, edges = edges, staged(
             stars.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").select(most.alias("a"), least.alias("b")).distinct(),
             "edges",
         )
         new = told(edges)
+        discard(before)
         if new == state:
             break
         state = new
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
-def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
-    """One row for each row of docs: the id, `class_id`, the least id of its group, and `n_links`, the number of
-    other documents whose sets of `width`-word shingles have a Jaccard similarity of at least the threshold.
-    A group is a connected component of these links.
-
-    Documents of equal sets collapse to one representative first; only representatives are hashed into buckets.
-    A bucket's documents are compared in blocks, in numpy, without writing its pairs; a link counts in the first
-    band that its documents share. Buckets with the same members are compared once. Text is sent only for
-    documents that share a bucket. Links at the threshold are found with a probability of `recall` or more, and
-    closer ones with a higher one; every reported link is exact.
-
-    Null and empty texts and null ids have no link and are classes of their own (a null id has a null class);
-    rows that share an id count as one document each for n_links and share its class; other columns are
-    ignored; texts of any length are compared whole; an empty table gives an empty result.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: tuple[int, int], recall: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs as (id, mark of the text, n, f1, f2: size and fingerprint of its set), and for each set that
+    occurs, known by its node (rep, f1, f2), rep being its least id: the node, the least node of its group, and its links."""
     bands, rows = choose_bands(threshold[0] / threshold[1], recall, MOST_HASHES)
     hasher = MinHasher(bands, rows)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints = staged(
-        texts.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).mapInArrow(_prints(hasher, width), f"id {kind}, n long, f1 long, f2 long, bands array<long>, bytes long"), "prints"
+        texts.withColumns({"bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "mark": F.xxhash64("text")}).mapInArrow(_prints(hasher, width), f"id {kind}, mark long, n long, f1 long, f2 long, bands array<long>, bytes long"),
+        "prints",
     )
     solid = prints.filter("n > 0 and id is not null")
-    reps = staged(solid.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("bands").alias("bands"), F.min("bytes").alias("bytes")), "representatives")
-    places = reps.select("rep", "f1", "f2", "copies", "bytes", F.posexplode("bands").alias("band", "key"))
+    reps = staged(
+        solid.groupBy("f1", "f2").agg(F.min(F.struct("id", "mark")).alias("least"), F.count(F.lit(1)).alias("copies"), F.min("bands").alias("bands"), F.min("bytes").alias("bytes")).select(F.struct(F.col("least.id").alias("rep"), "f1", "f2").alias("node"), "least", "copies", "bands", "bytes"),
+        "representatives",
+    )
+    places = reps.select("node", "least", "copies", "bytes", F.posexplode("bands").alias("band", "key"))
     buckets = (
         places.groupBy("key", "band")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total"), F.bit_xor(F.xxhash64("rep", "f1")).alias("x"), F.bit_xor(F.xxhash64("f2", "rep")).alias("y"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total"), F.bit_xor(F.xxhash64("node.f1", "node.f2")).alias("x"), F.bit_xor(F.xxhash64("node.f2", "node.f1")).alias("y"))
         .filter("n > 1")
         .groupBy("n", "x", "y")
         .agg(F.min(F.struct("band", "key")).alias("first"), F.min("total").alias("total"))
         .select("first.key", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_BYTES)).cast("int").alias("blocks"))
     )
-    own = F.pmod(F.xxhash64("f1", "f2"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node.f1", "node.f2"), F.col("blocks")).cast("int")
     cells = (
         places.join(buckets, "key")
         .withColumn("own", own)
-        .select("rep", "f1", "f2", "copies", "band", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("rep", "f1", "f2", "copies", "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+        .select("node", "least", "copies", "band", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("node", "least", "copies", "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     )
     work = (
-        cells.join(texts, F.col("rep") == F.col("id"))
+        cells.join(texts, (F.col("least.id") == F.col("id")) & (F.col("least.mark") == F.xxhash64("text")))
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
-        .select("key", "i", "j", "band", "id", "side", "copies", "f1", "f2", "text")
-    )
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    found = staged(work.mapInArrow(_verify(hasher, width, threshold, to_arrow_type(docs.schema[id_col].dataType)), f"id {kind}, root {kind}, links long"), "links")
-    groups = connected_components(found.select("id", "root"))
-    links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
-    told = (
-        reps.select("f1", "f2", "rep", "copies")
-        .join(links, "rep", "left")
-        .join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-        .select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select("key", "i", "j", "band", "id", "side", "copies", "node.f1", "node.f2", "text")
     )
+    node = f"struct<rep:{kind},f1:bigint,f2:bigint>"
+    found = staged(work.mapInArrow(_verify(hasher, width, threshold, to_arrow_type(docs.schema[id_col].dataType)), f"id {node}, root {node}, links long"), "links")
+    groups = connected_components(found.select("id", "root")).select(F.col("id").alias("node"), "root")
+    links = found.groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("links"))
+    told = reps.select("node", "copies").join(links, "node", "left").join(groups, "node", "left")
+    return prints.drop("bands", "bytes"), told.select("node", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+
+
+def join_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
+    """One row for each row of docs: the id, `class_id`, the least id of its group, and `n_links`, the number of
+    other documents whose sets of `width`-word shingles have a Jaccard similarity of at least the threshold.
+    A group is a connected component of these links.
+
+    Documents of equal sets collapse to one representative first; only representatives are hashed into buckets.
+    A bucket's documents are compared in blocks, in numpy, without writing its pairs; a link counts in the first
+    band that its documents share. Buckets with the same members are compared once. Text is sent only for
+    documents that share a bucket. Links at the threshold are found with a probability of `recall` or more, and
+    closer ones with a higher one; every reported link is exact.
+
+    Null and empty texts and null ids have no link and are classes of their own (a null id has a null class);
+    rows that share an id are documents of their own, told apart by their sets, and equal ones count one each for
+    n_links; other columns are ignored; texts of any length are compared whole; an empty table gives an empty result.
+    """
+    prints, told = _classes(docs, id_col, text_col, width, threshold, recall)
+    told = told.select(F.col("node.f1").alias("g1"), F.col("node.f2").alias("g2"), F.col("root.rep").alias("class_id"), "links")
     return prints.join(told, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left").select(
-        F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
+#: Whether a text has a word as common.py defines it.
+_WORDED = r"[0-9A-Za-z]|[^\x00-\x7F]"
+
+
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of join_near, the one with the least id; rows with a null id stay."""
-    keep = join_near(docs, id_col, text_col).filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_keep_id")).distinct()
-    kept = docs.join(keep, F.col(id_col) == F.col("_keep_id"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    """docs with one row of each group of join_near: of the rows with the group's least id, and among these the least set,
+    one. Rows with a null id or a text without words are no copies and stay."""
+    prints, told = _classes(docs, id_col, text_col, WIDTH, THRESHOLD, TARGET_RECALL)
+    roots = told.filter("node = root").select(F.col("node.rep").alias("rep"), F.col("node.f1").alias("g1"), F.col("node.f2").alias("g2"))
+    chosen = prints.filter("n > 0").join(roots, (F.col("id") == F.col("rep")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))).groupBy("g1", "g2").agg(F.min(F.struct("id", "mark")).alias("least"))
+    keep = chosen.select(F.col("least.id").alias("_near_id"), F.col("least.mark").alias("_near_mark"))
+    worded = F.col(id_col).isNotNull() & F.coalesce(F.col(text_col).rlike(_WORDED), F.lit(False))
+    marked = docs.filter(worded).withColumn("_near_text", F.xxhash64(text_col))
+    kept = marked.join(keep, (F.col(id_col) == F.col("_near_id")) & (F.col("_near_text") == F.col("_near_mark")), "left_semi").dropDuplicates([id_col, "_near_text"]).drop("_near_text")
+    return kept.unionByName(docs.filter(~worded))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

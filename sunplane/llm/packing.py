@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sunplane.llm.common import in_batches, run_hashes, text_chunks
+from sunplane.llm.common import in_batches, run_hashes, same_bytes, text_chunks
 
 #: Units whose ids a worker remembers; at more it starts anew, so its memory is bounded.
 REMEMBERED = 450_000
@@ -52,7 +52,8 @@ def _grown(a: np.ndarray, size: int) -> np.ndarray:
 
 class WordEncoder:
     """Token ids of texts, for tokenizers that drop white space, fold case and never join tokens across white space or
-    between letters and punctuation. Units are looked up by a 64-bit hash; each is encoded once and remembered."""
+    between letters and punctuation. Equal units of a chunk are found by hash and compared byte by byte; each different
+    one is looked up by its bytes, encoded once and remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,12 +64,12 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.code: dict[int, int] = {}
+        self.code: dict[bytes, int] = {}
         self.ids, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.n_ids = 0
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        flat = np.array(self.tokenizer.encode_batch_fast([MARK.join(words) + MARK], add_special_tokens=False)[0].ids, np.uint32)
+    def _learn(self, words: list[bytes]) -> None:
+        flat = np.array(self.tokenizer.encode_batch_fast([MARK.join(w.decode() for w in words) + MARK], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(flat == self.mark)
         lengths = np.diff(np.concatenate([[-1], ends])) - 1
         k, n = len(self.code), int(lengths.sum())
@@ -77,7 +78,7 @@ class WordEncoder:
         self.lengths[k : k + len(words)] = lengths
         self.ids[self.n_ids : self.n_ids + n] = flat[flat != self.mark]
         self.n_ids += n
-        self.code.update(zip(hashes, range(k, k + len(hashes))))
+        self.code.update(zip(words, range(k, k + len(words))))
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the UTF-8 texts between the bounds one after the other, and the bounds of the texts among them."""
@@ -85,20 +86,26 @@ class WordEncoder:
             self.forget()
         starts, ends, first = units(data, bounds)
         high = np.concatenate([[0], np.cumsum(data >= 0x80)])
-        folded = run_hashes(_LOWER[data], starts, ends)
+        plain = _LOWER[data]
         foreign = high[ends] > high[starts]
-        if foreign.any():
-            folded[foreign] = run_hashes(data, starts[foreign], ends[foreign])
-        which, different = pd.factorize(folded)
-        known = [self.code.get(h, -1) for h in different.tolist()]
-        codes = np.array(known, np.int64)
-        if len(new := np.flatnonzero(codes < 0)):
-            at = np.zeros(len(different), np.int64)
+        if foreign.any():  # only ASCII units are told apart by lower case alone
+            edge = np.zeros(len(data) + 1, np.int8)
+            edge[starts[foreign]] += 1
+            edge[ends[foreign]] -= 1
+            plain = np.where(np.cumsum(edge[:-1]) > 0, data, plain)
+        which, _ = pd.factorize(run_hashes(plain, starts, ends))
+        at = np.zeros(which.max(initial=-1) + 1, np.int64)
+        at[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+        if not same_bytes(plain, starts, ends, at[which], np.arange(len(which))).all():  # two units share a hash: number them by their bytes
+            which, _ = pd.factorize(np.array([plain[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())], object))
+            at = np.zeros(which.max(initial=-1) + 1, np.int64)
             at[which[::-1]] = np.arange(len(which) - 1, -1, -1)
-            raw = data.tobytes()
+        raw = plain.tobytes()
+        different = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+        codes = np.array([self.code.get(w, -1) for w in different], np.int64)
+        if len(new := np.flatnonzero(codes < 0)):
             for k in range(0, len(new), 4096):
-                part = new[k : k + 4096]
-                self._learn(different[part].tolist(), [raw[a:b].decode() for a, b in zip(starts[at[part]].tolist(), ends[at[part]].tolist())])
+                self._learn([different[i] for i in new[k : k + 4096]])
             codes[new] = np.arange(len(self.code) - len(new), len(self.code))
         codes = codes[which]
         lengths = self.lengths[codes].astype(np.int64)

@@ -6,15 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunplane.llm.common import WHITE, in_batches, mix, power_tables, run_hashes, runs, staged, text_chunks, windows
+from sunplane.llm.common import WHITE, in_batches, list_hashes, mix, run_hashes, runs, same_bytes, text_chunks, windows
+from sunplane.staging import staged
 
 # The symbols that count, and the limits of the base rules.
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEAT_PERCENT = 20, 8, 30
-#: A line in more than this many different documents of a host is removed from all but the first of them.
+#: A line in more than this many documents of a host is removed from all of them.
 MOST_DOCS = 10
 #: A document is depleted if fewer than LEAST_WORDS words or less than this share of its words are left.
 LEAST_LEFT_PERCENT = 30
@@ -24,11 +25,11 @@ _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.u
 
 
 def _repeats(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each key whether it occurs twice or more, and whether it occurred before."""
+    """Of each key whether it occurs twice or more, and the one equal to it just before it, or -1."""
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
-    twice, before = np.zeros(len(key), bool), np.zeros(len(key), bool)
-    before[order[1:][same]] = True
+    twice, before = np.zeros(len(key), bool), np.full(len(key), -1)
+    before[order[1:][same]] = order[:-1][same]
     twice[order[1:][same]] = twice[order[:-1][same]] = True
     return twice, before
 
@@ -37,8 +38,8 @@ def _line_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, head: n
     """A hash of the words of each line; head: the index of each line's first word."""
     if not len(head):
         return np.zeros(0, np.uint64)
-    place = np.arange(len(starts)) - np.repeat(head, np.diff(np.concatenate([head, [len(starts)]])))
-    return mix(np.add.reduceat(run_hashes(data, starts, ends) * power_tables(len(starts) + 1)[0][place], head))
+    first = np.append(head, len(starts))
+    return list_hashes(run_hashes(data, starts, ends), np.arange(len(starts)) - np.repeat(head, np.diff(first)), first)
 
 
 def chunk_stats(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
@@ -66,8 +67,10 @@ def chunk_stats(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
     line_of, k = of[head], after[head]
     edges = np.concatenate([[-1], breaks, [len(data)]])
-    whole = run_hashes(data, np.maximum(edges[k] + 1, bounds[line_of]), np.minimum(edges[k + 1], bounds[line_of + 1]))
-    out["n_dup_lines"] = np.bincount(line_of[_repeats(whole ^ seed[line_of])[1]], minlength=n)
+    low, high = np.maximum(edges[k] + 1, bounds[line_of]), np.minimum(edges[k + 1], bounds[line_of + 1])
+    before = _repeats(run_hashes(data, low, high) ^ seed[line_of])[1]
+    again = np.flatnonzero(before >= 0)
+    out["n_dup_lines"] = np.bincount(line_of[again[same_bytes(data, low, high, again, before[again])]], minlength=n)
 
     words = np.diff(np.concatenate([head, [len(starts)]]))
     bare = _line_hashes(_LOWER[data], starts, ends, head)
@@ -75,71 +78,83 @@ def chunk_stats(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     new = np.concatenate([[True], (bare[order][1:] != bare[order][:-1]) | (line_of[order][1:] != line_of[order][:-1])]) if len(order) else np.zeros(0, bool)
     out["line_of"], out["line_hash"] = line_of[order][new], bare[order][new]
     out["line_words"] = np.add.reduceat(words[order], np.flatnonzero(new)) if len(order) else words
-    out["text_hash"] = run_hashes(data, bounds[:-1], bounds[1:])
     return out
 
 
+_KEY = ("id", "host", "t1", "t2")
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row, end, data, bounds in text_chunks(batch.column(2)):
+        for row, end, data, bounds in text_chunks(batch.column("text")):
             s = chunk_stats(data, bounds)
             offsets = pa.array(np.searchsorted(s["line_of"], np.arange(end - row + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row)]
+                [batch.column(c).slice(row, end - row) for c in _KEY]
                 + [pa.array(s[c].astype(np.int64)) for c in _COUNTS]
-                + [pa.array(s["text_hash"].view(np.int64))]
                 + [pa.ListArray.from_arrays(offsets, pa.array(s["line_hash"].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(s["line_words"].astype(np.int32)))],
-                ["id", "host", *_COUNTS, "text_hash", "line_hash", "line_words"],
+                [*_KEY, *_COUNTS, "line_hash", "line_words"],
             )
 
 
-def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = MOST_DOCS) -> tuple[DataFrame, DataFrame]:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), *[c.alias(k) for k, c in zip(_KEY[1:], _marks(text_col, host_col))], F.col(text_col).alias("text"))
+
+
+def _marks(text_col: str, host_col: str) -> list[Column]:
+    """The host, null as '', and 128 bits of the text: what a verdict depends on."""
+    return [F.coalesce(F.col(host_col).cast("string"), F.lit("")), F.xxhash64(text_col), F.xxhash64(F.lit("t"), text_col)]
+
+
+def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = MOST_DOCS, copies_count: bool = False) -> tuple[DataFrame, DataFrame]:
     """Verdicts and removed lines. Verdicts: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, n_removed_words, kept, one row for each row of docs. Removed lines: for each id that loses any,
-    their hashes (as line_keys makes them).
+    base_failed, n_removed_words, kept, one row for each row of docs. Removed lines: for each host and text (by its marks
+    t1, t2) that loses any, `lines`, their hashes (as line_keys makes them), and `lost`, the number of their words.
 
     Words are runs of anything but space and U+0009 to U+000D. base_failed: fewer than LEAST_WORDS words, or
     over MOST_REPEAT_PERCENT percent of the words in REPEAT_WINDOW-word windows found twice in the text. A line
-    (ASCII case and white space set aside) is common if over `most_docs` documents of different text have it
-    in one host; all but the document with the least id lose it. A document that loses so many words that fewer
-    than LEAST_WORDS or LEAST_LEFT_PERCENT percent are left is rejected as depleted.
-
-    Null texts count as empty, with no words, and fail the base rules; a null host is a host of its own; rows
-    that share an id share the loss of their lines; exact copies count once; other columns are ignored; an
-    empty table gives empty results. Counts are made with map-side aggregates over (host, line, text), so a
-    line that every document has is never gathered in one task.
+    (ASCII case and white space set aside) is common if more than `most_docs` distinct documents of one host have it; all
+    documents of the host lose it. A document that loses so many words that fewer than LEAST_WORDS or
+    LEAST_LEFT_PERCENT percent are left is rejected as depleted.
+
+    Distinct documents have different texts, so that exact copies, which a later stage reduces to one, don't reject each
+    other; with `copies_count`, different ids are distinct documents too. Equal rows always count once.
+
+    Null texts count as empty, with no words, and fail the base rules; a null host is a host of its own together with
+    the empty one; a verdict depends on the row's host and text alone, so rows that share an id are judged each, and a
+    null id is as good as any; other columns are ignored; an empty table gives empty results. Counts are
+    map-side aggregates over (host, line, text), so a line that every document has is never gathered in one task.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {id_type}, host string, {', '.join(f'{c} long' for c in _COUNTS)}, text_hash long, line_hash array<long>, line_words array<int>"
-    rows = in_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"))
-    digest = staged(rows.mapInArrow(_digest, schema), "quality-digest")
-    lines = digest.select("id", "host", "text_hash", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")).select("id", "host", "text_hash", F.col("l.line_hash").alias("line"), F.col("l.line_words").alias("words"))
-    common = (
-        lines.groupBy("host", "line", "text_hash").agg(F.min("id").alias("id")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min("id").alias("first_id")).filter(F.col("n_docs") > most_docs)
-    )
-    lost = staged(lines.join(common, ["host", "line"]).filter(F.col("id") != F.col("first_id")).groupBy("id").agg(F.sum("words").alias("lost"), F.collect_set("line").alias("lines")), "lost-lines")
-    left = F.col("n_words") - F.coalesce("lost", F.lit(0))
+    schema = f"id {id_type}, host string, t1 long, t2 long, {', '.join(f'{c} long' for c in _COUNTS)}, line_hash array<long>, line_words array<int>"
+    digest = staged(_keyed(in_batches(docs), id_col, text_col, host_col).mapInArrow(_digest, schema), "quality-digest")
+    lines = digest.select("id", "host", "t1", "t2", F.explode(F.arrays_zip("line_hash", "line_words")).alias("l")).select("id", "host", "t1", "t2", F.col("l.line_hash").alias("line"), F.col("l.line_words").alias("words"))
+    each = lines.groupBy("host", "line", "t1", "t2", *["id"] * copies_count).agg(F.max("words").alias("words"))
+    common = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > most_docs).drop("n_docs")
+    losses = lines.groupBy("host", "line", "t1", "t2").agg(F.max("words").alias("words")).join(common, ["host", "line"])
+    lost = staged(losses.groupBy("host", "t1", "t2").agg(F.sum("words").alias("lost"), F.collect_list("line").alias("lines")), "lost-lines")
+    n_lost = F.coalesce("lost", F.lit(0))
+    left = F.col("n_words") - n_lost
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
     verdicts = (
-        digest.drop("line_hash", "line_words", "text_hash")
-        .join(lost.select(F.col("id").alias("lost_id"), "lost"), F.col("id") == F.col("lost_id"), "left")
+        digest.drop("line_hash", "line_words")
+        .join(lost.drop("lines"), list(_KEY[1:]), "left")
         .select(
             F.col("id").alias(id_col),
             *_COUNTS,
             failed.alias("base_failed"),
-            F.coalesce("lost", F.lit(0)).cast("long").alias("n_removed_words"),
+            n_lost.cast("long").alias("n_removed_words"),
             (~failed & (left >= LEAST_WORDS) & (100 * left >= LEAST_LEFT_PERCENT * F.col("n_words"))).alias("kept"),
+            *_KEY[1:],
         )
     )
     return verdicts, lost
 
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """docs without rejected documents and without common lines (see judge_documents), columns as they are.
-    Rows with a null id are rejected. Texts that lose no line stay as they are."""
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = MOST_DOCS, copies_count: bool = False) -> DataFrame:
+    """docs without rejected documents and without common lines (see judge_documents), columns as they are, one row
+    for each row that is kept. Texts that lose no line stay as they are."""
 
     @F.pandas_udf("string")
     def cut(texts, lines):
@@ -149,10 +164,12 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append("\n".join(x for x, key in zip(text.split("\n"), line_keys(text)) if key not in gone))
         return texts.__class__(out, dtype=object)
 
-    verdicts, gone = judge_documents(docs, id_col, text_col, host_col)
-    keep = verdicts.filter("kept").select(F.col(id_col).alias("_keep_id")).distinct().join(gone.select(F.col("id").alias("_gone_id"), F.col("lines").alias("_gone")), F.col("_keep_id") == F.col("_gone_id"), "left")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(cut(F.coalesce(text_col, F.lit("")), F.coalesce("_gone", F.array().cast("array<bigint>"))))
-    return docs.join(keep, F.col(id_col) == F.col("_keep_id")).select(*[text.alias(c) if c == text_col else c for c in docs.columns])
+    verdicts, gone = judge_documents(docs, id_col, text_col, host_col, most_docs, copies_count)
+    hidden = [f"_rules_{k}" for k in _KEY[1:]]
+    keep = verdicts.filter("kept").select(*_KEY[1:]).distinct().join(gone.select(*_KEY[1:], "lines"), list(_KEY[1:]), "left").select(*[F.col(k).alias(h) for k, h in zip(_KEY[1:], hidden)], F.col("lines").alias("_rules_lines"))
+    match = [m == F.col(h) for m, h in zip(_marks(text_col, host_col), hidden)]
+    text = F.when(F.col("_rules_lines").isNull(), F.col(text_col)).otherwise(cut(F.coalesce(text_col, F.lit("")), F.coalesce("_rules_lines", F.array().cast("array<bigint>"))))
+    return docs.join(keep, match).select(*[text.alias(c) if c == text_col else c for c in docs.columns])
 
 
 def line_keys(text: str) -> list[int | None]:
@@ -169,7 +186,7 @@ def line_keys(text: str) -> list[int | None]:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0]
+    return judge_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0].drop(*_KEY[1:])
 
 
 OP3_SQL = r"""
@@ -185,8 +202,8 @@ l0 AS (SELECT doc_id, host, md5(text) AS t, unnest(string_split(text, chr(10)))
 l AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM l0),
 dup AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, count(*) AS n FROM l WHERE len(lw) > 0 GROUP BY doc_id, line) GROUP BY doc_id),
 norm AS (SELECT doc_id, host, t, len(lw) AS n, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line FROM l WHERE len(lw) > 0),
-common AS (SELECT host, line, min(doc_id) AS first_id FROM norm GROUP BY host, line HAVING count(DISTINCT t) > 10),
-lost AS (SELECT n.doc_id, sum(n.n) AS n FROM norm n JOIN common c ON n.host = c.host AND n.line = c.line AND n.doc_id <> c.first_id GROUP BY n.doc_id),
+common AS (SELECT host, line FROM norm GROUP BY host, line HAVING count(DISTINCT t) > 10),
+lost AS (SELECT n.doc_id, sum(n.n) AS n FROM norm n JOIN common c ON n.host = c.host AND n.line = c.line GROUP BY n.doc_id),
 s AS (SELECT ws.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed_words

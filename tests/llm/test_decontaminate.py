@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from sunplane.llm.decontaminate import RADIUS, build_index, drop_leaks, find_leaks, op1_benchmark_decontamination, simhash
+from sunplane.llm.decontaminate import RADIUS, build_index, drop_leaks, find_leaks, op1_benchmark_decontamination, simhash, window_prints, window_starts
 
 
 def words(text):
@@ -55,7 +55,7 @@ def made():
         for _ in range(rng.randrange(0, 3) if len(leak) > 30 else 0):
             leak[rng.choice([0, -1, rng.randrange(len(leak))])] = "edit"
         docs.append(" ".join(text(rng.randrange(0, 80))) + "\n" + "*** ".join(leak).title() + ". " + " ".join(text(rng.randrange(0, 80))))
-    docs += [" ".join(text(200)) for _ in range(20)] + [None, "", "Tiny, WORDS", "a " * 30, items[5][: len(items[5]) * 9 // 10], " ".join(text(30_000)) + " " + items[7]]
+    docs += [" ".join(text(200)) for _ in range(20)] + [None, "", "Tiny, WORDS", "a " * 30, items[5][: len(items[5]) * 9 // 10], " ".join(text(6_000)) + " " + items[7]]
     return docs, items
 
 
@@ -77,13 +77,45 @@ def test_index_returns_all_within_the_radius():
     rng = random.Random(1)
     index = build_index([" ".join(f"q{rng.randrange(999)}" for _ in range(40)) for _ in range(500)])[0]
     for _ in range(50):
-        mark = int(index.prints[rng.randrange(500)])
+        mark = int(index.prints[0, rng.randrange(500)])
         for _ in range(rng.randrange(0, 24)):
             mark ^= 1 << rng.randrange(64)
-        want = [k for k, p in enumerate(index.prints.tolist()) if bin(p ^ mark).count("1") <= RADIUS]
+        want = [k for k, p in enumerate(index.prints[0].tolist()) if bin(p ^ mark).count("1") <= RADIUS]
         assert index.within(mark).tolist() == want
 
 
+def test_window_starts_against_all_windows():
+    rng = np.random.default_rng(3)
+    for _ in range(500):
+        size = int(rng.integers(1, 60))
+        near, width = np.flatnonzero(rng.random(size) < rng.random()), int(rng.integers(1, size + 1))
+        need = int(rng.integers(1, width + 1))
+        want = [s for s in range(size - width + 1) if ((near >= s) & (near < s + width)).sum() >= need]
+        assert window_starts(near, width, need, size).tolist() == want
+
+
+def test_window_prints_against_each_window():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        shingles = np.array([hash((7, int(x))) & (1 << 63) - 1 for x in rng.integers(0, int(rng.integers(2, 60)), 50)], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        n = int(rng.integers(1, 50))
+        starts = np.arange(0, 51 - n, 2)
+        for s, (a, b) in zip(starts, window_prints(shingles, starts, n).tolist()):
+            assert (a, b) == (simhash(shingles[s : s + n]), simhash(np.unique(shingles[s : s + n])))
+
+
+def test_copies_that_differ_by_a_repeated_word(spark, docs):
+    words = [f"m{k}" for k in range(300)]
+    texts = ["pre " + " ".join(words[:at] + ["x"] * 24 + words[at + 24 :]) + " post" for at in (0, 100, 200, 276)]
+    assert len(found(find_leaks(docs(texts), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")))) == 4
+
+
+def test_a_long_text_that_repeats_an_item(spark, docs):
+    item = " ".join(f"i{k}" for k in range(300))
+    got = found(find_leaks(docs([f"{item} " * 400]), spark.createDataFrame([(7, item)], "item_id long, text string")))
+    assert got == {(1, 7): 1.0}
+
+
 def test_simhash_weighs_repeats():
     a, b = np.array([1, 2], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     assert simhash(np.array([a, a, b])) == simhash(np.array([a]))
@@ -104,4 +136,4 @@ def test_edges(spark, docs):
     df = spark.createDataFrame([(None, "aa bb cc dd ee ff", 1, 2), (2, "aa bb cc dd ee ff", 1, 2), (2, "x", 1, 2), (3, "clean", 1, 2)], "doc_id long, text string, item int, similarity int")
     assert find_leaks(df, one).count() == 4
     out = drop_leaks(df, one)
-    assert out.columns == df.columns and sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 3]
+    assert out.columns == df.columns and sorted(r["text"] for r in out.collect()) == ["clean", "x"]

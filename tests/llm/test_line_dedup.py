@@ -43,4 +43,14 @@ def test_null_ids_extra_columns_and_empty(spark, docs):
     assert set(out.columns) == {"doc_id", "text", "_cut", "n_lines", "n_removed"}
     rows = sorted((r["doc_id"] or 0, r["text"]) for r in out.collect())
     assert rows[0] == (0, "a\nb\nc") and rows[1] == (1, "") and rows[2:] == [(2, "d")] * 2
+
+
+def test_rows_that_share_an_id_lose_their_own_lines_only(spark):
+    rows = [(1, "a\nb\nc"), (2, "a\nb\nc"), (2, "x\ny\nz\nw"), (None, "q\nr\ns\na\nb\nc"), (None, "q\nr\ns\nt")]
+    got = sorted(r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    first = ["q\nr\ns\na\nb\nc", "t"], ["a\nb\nc", "q\nr\ns\nt"]  # which of the two without an id comes first
+    assert got in [sorted([*f, "", "", "x\ny\nz\nw"]) for f in first]
+
+
+def test_empty(docs):
     assert dedup_lines(docs([])).count() == 0

@@ -105,3 +105,21 @@ def test_edges(spark, docs):
     assert sorted(tuple(r) for r in join_near(df).collect() if r[0]) == [(4, 4, 2), (4, 4, 2), (5, 4, 2)]
     out = drop_near(df)
     assert out.columns == df.columns and sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 4]
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(f"{p}{k}" for k in range(40)) for p in "abc")
+    rows = [(0, a), (1, a), (1, b), (1, b), (2, f"{b} end"), (3, c), (None, c), (4, ""), (4, c + " x"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in join_near(df).collect() if r["doc_id"] is not None)
+    assert got == [(0, 0, 1), (1, 0, 1), (1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 3, 1), (4, 4, 0), (4, 4, 0)]
+    kept = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "") for r in drop_near(df).collect())
+    assert kept == sorted([(0, a), (1, b), (3, c), (-1, c), (4, ""), (4, "")])
+
+
+def test_long_words_that_a_polynomial_hash_confuses(docs):
+    word = "a"
+    for _ in range(11):
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    assert collected(join_near(docs([f"{word} x y z w", f"{other} x y z w"]))) == {1: (1, 0), 2: (2, 0)}

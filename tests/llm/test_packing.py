@@ -37,6 +37,20 @@ def test_odd_texts(text):
     assert encode(text) == ids(text)
 
 
+def test_words_that_a_polynomial_hash_confuses_are_told_apart():
+    word = "a"
+    for _ in range(11):
+        word += word.translate({97: 98, 98: 97})
+    text = f"{word} {word.translate({97: 98, 98: 97})} {word}"
+    assert encode(text) == ids(text)
+
+
+def test_units_that_share_a_hash_are_compared(monkeypatch):
+    monkeypatch.setattr("sunplane.llm.packing.run_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    for text in ("one two the six", "é à one two ok"):
+        assert encode(text) == ids(text)
+
+
 def test_forgetting_keeps_ids():
     small = WordEncoder(PATH)
     for text in ("alpha beta", "gamma alpha"):

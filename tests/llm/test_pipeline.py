@@ -13,7 +13,7 @@ from test_packing import check as check_pieces  # noqa: E402
 from test_quality_rules import WORD  # noqa: E402
 from test_quality_rules import brute as brute_stats  # noqa: E402
 
-from sunplane.llm.common import staged  # noqa: E402
+from sunplane.staging import staged  # noqa: E402
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -22,14 +22,14 @@ def brute_rules(rows):
     """id -> text of the documents that the rules keep. rows: id, source, text."""
     key = lambda line: " ".join(WORD.findall(line)).translate({k: k + 32 for k in range(65, 91)})
     seen = {}
-    for k, source, text in rows:
+    for _, source, text in rows:
         for line in {key(x) for x in text.split("\n")} - {""}:
-            seen.setdefault((source, line), []).append((k, text))
-    common = {k: min(d for d, _ in v) for k, v in seen.items() if len({t for _, t in v}) > 10}
+            seen.setdefault((source, line), set()).add(text)
+    common = {k for k, v in seen.items() if len(v) > 10}
     out = {}
     for k, source, text in rows:
         lines = text.split("\n")
-        kept = [x for x in lines if common.get((source, key(x)), k) == k]
+        kept = [x for x in lines if (source, key(x)) not in common]
         n, *_, failed = brute_stats(text)
         left = sum(len(WORD.findall(x)) for x in kept)
         if not failed and left >= 20 and 100 * left >= 30 * n:
