@@ -1,31 +1,37 @@
 """HTML extraction: the template that the pages of a host share is deduced from equivalence classes of tokens.
 
-A token is an element's path of containers (tag names with class and id). The tokens of one host that occur
-equally often on every page have equal occurrence vectors and form an equivalence class. Classes with one
-occurrence a page are the frame of the template; the others are nested in it by their paths. The text under
-each token is a slot. The main container is the frame token whose slots hold all of the host's varying prose.
+A token is an element's path of containers (tag names with class and id), or a path and the whole text of a block in it.
+The tokens of one host that occur equally often on every page have equal occurrence vectors and form an equivalence
+class. A class with an element (so with two tags at least) on enough pages is part of the template: its elements that
+occur once a page are its frame, its texts are template text. A class is valid for pages on which its frame stands in one
+order; pages of another order are an instance of their own. Classes nest by the tree of paths. All other text is in slots, and
+the article is in the deepest frame element, of the classes that a page instantiates, whose slots hold the instance's data.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from sunplane.llm.common import in_batches
 from sunplane.staging import staged
 
-#: A class is frequent, and so part of a template, if its tokens are on so many pages and this share of the host's.
-LEAST_PAGES, LEAST_SHARE = 2, 0.1
-#: The core is the deepest frame token that has at least this share of the host's prose.
-MAIN_SHARE = 0.8
-#: A slot of which more than this share is link text is a menu.
+#: The support that a class and an instance of it need: so many pages (all of a host with fewer), and this share of the
+#: host's. It bounds a template to 100 times the tokens of a page; pages of rarer layouts have those classes that they share.
+LEAST_PAGES, LEAST_SHARE = 2, 0.01
+#: The core is the deepest frame element whose slots hold this share of the data, the whole the one that holds all.
+CORE_SHARE, WHOLE_SHARE = 0.8, 0.995
+#: A host on which less than this share of the prose is data has copies of one page: there texts aren't template.
+LEAST_DATA = 0.2
+#: A block of which more than this share is link text is a menu's.
 MOST_LINKS = 0.6
 
 # HTML's elements by kind, and words that name what isn't the article.
@@ -43,24 +49,27 @@ ROLE_WORDS = frozenset(
 )
 MAIN_TAGS = frozenset(["article", "main"])
 
+PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+PAGE_TAGS = frozenset(["", "html", "body"])
+
 #: Comments; declarations; tags with balanced quotes; other tags; a tag that the page's end cuts off.
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"""
     r"""|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|</?[A-Za-z][^>]*\Z""",
     re.S,
 )
-#: Deeper elements have the path of the one at this depth, so that paths stay short.
-DEEPEST = 64
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 
+
+
 class Node:
-    """An open element: its tag, the path of containers down to it, and whether it is outside the article."""
+    """An open element: its tag, its token, and whether it is outside the article, in a link, in an article or main element."""
 
-    __slots__ = ("tag", "path", "outside", "link", "main")
+    __slots__ = ("tag", "at", "outside", "link", "main")
 
-    def __init__(self, tag: str, path: str, outside: bool, link: bool, main: bool):
-        self.tag, self.path, self.outside, self.link, self.main = tag, path, outside, link, main
+    def __init__(self, tag: str, at: int, outside: bool, link: bool, main: bool):
+        self.tag, self.at, self.outside, self.link, self.main = tag, at, outside, link, main
 
 
 def _label(tag: str, attributes: str, in_main: bool) -> tuple[str, bool]:
@@ -80,53 +89,120 @@ def _label(tag: str, attributes: str, in_main: bool) -> tuple[str, bool]:
     return tag + "".join("." + re.sub(r"\d+", "", n) for n in sorted(set(names))), outside
 
 
-def walk(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
-    """(event, path, text, outside, in a link) in page order: `open` for each container, `text` for each piece of text
-    and `break` where a block begins or ends. Unclosed elements end with the element around them; end tags without a start are
-    skipped; the text of scripts, styles and the like isn't reported."""
-    stack = [Node("", "", False, False, False)]
-    at = 0
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text:
-            top = stack[-1]
-            yield "text", top.path, text, top.outside, top.link
-        if not m:
-            return
-        at = m.end()
-        slash, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
-            continue
-        tag = name.lower()
-        if slash:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if k and not (tag in INLINE and any(n.tag not in INLINE for n in stack[k + 1 :])):
-                del stack[k:]
+class Page:
+    """A parsed page. Of each element token (0 is the page itself): id, tag, the token around it, depth, occurrences, and
+    whether it is in an article or main element, in the page's header, outside the article. `pieces` are (token, text or
+    None where a block ends, outside, in a link) in page order; `blocks` are (token, text hash, words, is a menu's, the
+    slice of pieces) of the blocks that aren't outside."""
+
+    def __init__(self, source: str):
+        self.ids, self.tags, self.up, self.depth, self.n = [0], [""], [0], [0], [1]
+        self.main, self.header, self.outside = [False], [False], [False]
+        self.pieces: list[tuple[int, str | None, bool, bool]] = []
+        self._known: dict[tuple[int, str], int] = {}
+        self._parse(source)
+        self.blocks: list[tuple[int, int, int, bool, int, int]] = []
+        begin = 0
+        for k in range(len(self.pieces) + 1):
+            if k == len(self.pieces) or self.pieces[k][1] is None:
+                self._block(begin, k)
+                begin = k + 1
+
+    def _block(self, a: int, b: int) -> None:
+        words, linked = [], 0
+        for at, text, outside, link in self.pieces[a:b]:
+            if not outside:
+                found = text.split()
+                words += found
+                linked += len(found) * link
+        if words:
+            self.blocks.append((self.pieces[a][0], _hash(" ".join(words)), len(words), linked > MOST_LINKS * len(words), a, b))
+
+    def _open(self, tag: str, label: str, around: Node, outside: bool) -> int:
+        at = self._known.get((around.at, label))
+        if at is None:
+            at = self._known[around.at, label] = len(self.ids)
+            self.ids.append(_hash(f"{self.ids[around.at]} {label}"))
+            self.tags.append(tag)
+            self.up.append(around.at)
+            self.depth.append(self.depth[around.at] + 1)
+            self.n.append(0)
+            self.main.append(self.main[around.at] or tag in MAIN_TAGS)
+            self.header.append((self.header[around.at] or tag == "header") and not self.main[-1] and tag != "h1")
+            self.outside.append(outside)
+        self.n[at] += 1
+        return at
+
+    def _parse(self, page: str) -> None:
+        """Unclosed elements end with the element around them; end tags without a start are skipped; the text of scripts,
+        styles and the like isn't reported."""
+        stack = [Node("", 0, False, False, False)]
+        at = 0
+        while at < len(page):
+            m = _TOKEN.search(page, at)
+            if text := page[at : m.start() if m else len(page)]:
+                top = stack[-1]
+                self.pieces.append((top.at, html.unescape(text), top.outside, top.link))
+            if not m:
+                return
+            at = m.end()
+            slash, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            if not name:
+                continue
+            tag = name.lower()
             if tag not in INLINE:
-                yield "break", stack[-1].path, "", stack[-1].outside, False
-            continue
-        if tag not in INLINE:
-            yield "break", stack[-1].path, "", stack[-1].outside, False
-        if tag in VOID:
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        shut = "p" if tag in CLOSES_P else tag if tag in ("li", "option", "tr") else "dd" if tag in ("dt", "dd") else None
-        for k in range(len(stack) - 1, 0, -1) if shut else ():
-            if stack[k].tag == shut or (shut == "dd" and stack[k].tag == "dt"):
-                del stack[k:]
-                break
-            if stack[k].tag not in INLINE and stack[k].tag not in ("p",):
-                break
-        top = stack[-1]
-        label, outside = _label(tag, attributes, top.main)
-        path = top.path if tag in INLINE or len(stack) > DEEPEST else f"{top.path}/{label}"
-        stack.append(Node(tag, path, top.outside or outside, top.link or tag == "a", top.main or tag in MAIN_TAGS))
-        if tag not in INLINE:
-            yield "open", path, "", stack[-1].outside, False
+                self.pieces.append((stack[-1].at, None, stack[-1].outside, False))
+            if slash:
+                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+                if k and not (tag in INLINE and any(n.tag not in INLINE for n in stack[k + 1 :])):
+                    del stack[k:]
+                continue
+            if tag in VOID:
+                continue
+            if tag in RAW:
+                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = end.end() if end else len(page)
+                continue
+            shut = "p" if tag in CLOSES_P else tag if tag in ("li", "option", "tr") else "dd" if tag in ("dt", "dd") else None
+            for k in range(len(stack) - 1, 0, -1) if shut else ():
+                if stack[k].tag == shut or (shut == "dd" and stack[k].tag == "dt"):
+                    del stack[k:]
+                    break
+                if stack[k].tag not in INLINE and stack[k].tag not in ("p",):
+                    break
+            top = stack[-1]
+            label, outside = _label(tag, attributes, top.main)
+            outside = top.outside or outside
+            token = top.at if tag in INLINE else self._open(tag, label, top, outside)
+            stack.append(Node(tag, token, outside, top.link or tag == "a", top.main or tag in MAIN_TAGS))
+
+    def texts(self) -> Counter:
+        """Occurrences of each text token (id of its element, text hash)."""
+        return Counter((self.ids[at], text) for at, text, *_ in self.blocks)
+
+    def instances(self, frame: dict[int, int]) -> dict[tuple[int, int], list[int]]:
+        """The page's instances of the template's classes, (class, hash of the order of its frame), with their elements in
+        page order. frame: the class of each frame element's id."""
+        found: dict[int, list[int]] = {}
+        for at, k in enumerate(self.ids):
+            if k in frame and self.n[at] == 1:
+                found.setdefault(frame[k], []).append(at)
+        return {(c, _hash(" ".join(str(self.ids[at]) for at in places))): places for c, places in found.items()}
+
+    def data(self, template: set[tuple[int, int]], alike: bool) -> list[bool]:
+        """Of each block whether it is data: no menu and no template text; on hosts of copies all but the header's."""
+        return [not menu and (not self.header[at] if alike else (self.ids[at], text) not in template) for at, text, _, menu, _, _ in self.blocks]
+
+    def under(self, core: int) -> list[bool]:
+        """Of each token whether it is in the token `core`, or is it."""
+        out = [False] * len(self.ids)
+        for at in range(len(out)):
+            out[at] = at == core or (at > 0 and out[self.up[at]])
+        return out
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
 def host_of(url: str | None) -> str:
@@ -134,169 +210,195 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page a row for each token: host, page number, path, occurrences, words and link words directly
-    under it, a hash of that text, whether it is outside."""
+_TOKENS = pa.list_(pa.struct([("id", pa.int64()), ("text", pa.int64()), ("n", pa.int32())]))
+_SHAPES = {"host": pa.string(), "page": pa.int64(), "tokens": _TOKENS}
+
+
+def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], list(types))
+
+
+def _ddl(types: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in from_arrow_schema(pa.schema(types.items())))
+
+
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page a row: host, page, tokens that aren't outside with their occurrences (text 0: an element)."""
     for batch in batches:
-        out: list[tuple] = []
-        for page, url, text in zip(*[batch.column(k).to_pylist() for k in range(3)]):
-            rows: dict[str, list] = {"": [1, 0, 0, 0, False]}
-            for event, path, piece, outside, link in walk(text or ""):
-                row = rows.setdefault(path, [0, 0, 0, 0, outside])
-                if event == "open":
-                    row[0] += 1
-                elif event == "text" and (words := piece.split()):
-                    row[1] += len(words)
-                    row[2] += len(words) * link
-                    row[3] = (row[3] * 31 + hash_text(piece)) & 0x7FFFFFFFFFFFFFFF
-            out += [(host_of(url), page, p, *r) for p, r in rows.items()]
-        if out:
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["host", "page", "path", "n", "words", "links", "text", "outside"])
+        rows = []
+        for number, url, source in zip(*[batch.column(k).to_pylist() for k in ("page", "url", "html")]):
+            page = Page(source or "")
+            tokens = [(k, 0, n) for k, n, outside in zip(page.ids, page.n, page.outside) if not outside]
+            rows.append((host_of(url), number, [{"id": k, "text": t, "n": n} for k, t, n in tokens + [(*key, n) for key, n in page.texts().items()]]))
+        yield _batch(rows, _SHAPES)
 
 
-def hash_text(s: str) -> int:
-    raw = s.encode()
-    return zlib.crc32(raw) << 31 | zlib.adler32(raw) >> 1
+_TEMPLATE = {"host": pa.string(), "host_pages": pa.int64(), "frame": pa.list_(pa.int64()), "classes": pa.list_(pa.int32()), "owners": pa.list_(pa.int64()), "texts": pa.list_(pa.int64())}
 
 
-def deduce_templates(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """For each host its `template`: the array of (path, kind, words, links, outside, varies) of the tokens in frequent
-    equivalence classes. kind is the number of the token's class, 0 for the frame, the class with one
-    occurrence on every page of the largest support.
+def template_of(tokens: list[dict]) -> tuple[list[int], list[int], list[int], list[int]]:
+    """The frame elements with the numbers of their classes, and the template texts with their elements. `tokens`: id, text,
+    most (occurrences on a page) and the occurrence vector (pages, v1 to v4). A class without an element is no part of
+    the template, so a text is part of it only if it occurs as often as some element does on every page."""
+    classes: dict[tuple, list[dict]] = {}
+    for t in sorted(tokens, key=lambda t: (t["pages"], t["v1"], t["v2"], t["id"], t["text"])):
+        classes.setdefault((t["pages"], t["v1"], t["v2"], t["v3"], t["v4"]), []).append(t)
+    valid = [members for members in classes.values() if any(t["text"] == 0 for t in members)]
+    frame = [(t["id"], k) for k, members in enumerate(valid) for t in members if t["text"] == 0 and t["most"] == 1]
+    texts = [(t["id"], t["text"]) for members in valid for t in members if t["text"] != 0]
+    return [i for i, _ in frame], [k for _, k in frame], [i for i, _ in texts], [t for _, t in texts]
 
-    Occurrence vectors are compared by a 128-bit fingerprint that is an aggregate over pages, so a host with any
-    share of all pages is counted on the map side. Only frequent tokens are gathered for a host, at most the
-    number on a page over LEAST_SHARE.
-    """
-    numbered = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("page", F.xxhash64("url", "html"))
-    rows = numbered.select("page", "url", "html").mapInArrow(_slots, "host string, page long, path string, n long, words long, links long, text long, outside boolean")
-    tokens = rows.groupBy("host", "path").agg(
-        F.count(F.lit(1)).alias("pages"),
-        F.bit_xor(F.xxhash64("page", "n")).alias("v1"),
-        F.bit_xor(F.xxhash64("n", "page")).alias("v2"),
-        F.max("n").alias("most"),
-        F.sum("words").alias("words"),
-        F.sum("links").alias("links"),
-        (F.min("text") != F.max("text")).alias("varies"),
-        F.min("outside").alias("outside"),
-    )
-    tokens = staged(tokens, "tokens")
-    sizes = tokens.filter("path = ''").select("host", F.col("pages").alias("host_pages"))
-    frequent = tokens.join(sizes, "host").filter((F.col("pages") >= F.least(F.lit(LEAST_PAGES), "host_pages")) & (F.col("pages") >= LEAST_SHARE * F.col("host_pages")))
-    return frequent.groupBy("host").agg(
-        F.max("host_pages").alias("host_pages"),
-        F.collect_list(F.struct("path", "pages", "v1", "v2", "most", "words", "links", "outside", "varies")).alias("template"),
-    )
 
+def _deduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _batch([(h, n, *template_of(t)) for h, n, t in zip(*[batch.column(k).to_pylist() for k in range(3)])], _TEMPLATE)
 
-def in_named(path: str) -> bool:
-    return any(p.split(".")[0] in MAIN_TAGS for p in path.split("/"))
 
+def frequent(pages: str | Column, host_pages: Column) -> Column:
+    pages = F.col(pages) if isinstance(pages, str) else pages
+    return (pages >= F.least(F.lit(LEAST_PAGES), host_pages)) & (pages >= LEAST_SHARE * host_pages)
 
-def in_header(path: str) -> bool:
-    """Whether the slot is in a header element that is the page's, and not in the headline."""
-    tags = {p.split(".")[0] for p in path.split("/")}
-    return "header" in tags and not tags & (MAIN_TAGS | {"h1"})
 
+def occurrence_hashes() -> tuple[Column, Column]:
+    """Two hashes of a page and a token's occurrences on it, whose sums over pages stand for the occurrence vector."""
+    return F.xxhash64("page", "n"), F.xxhash64("n", "page", F.lit(1))
 
-def copies(template: list[dict], host_pages: int) -> bool:
-    """Whether the host has one page, or copies of one: under 1 - MAIN_SHARE of the words that could be prose vary,
-    so what varies doesn't tell the article."""
-    words = [(t["words"], t["varies"]) for t in template if not t["outside"] and t["links"] <= MOST_LINKS * t["words"]]
-    return host_pages < 2 or sum(w for w, varies in words if varies) < (1 - MAIN_SHARE) * sum(w for w, _ in words)
 
+def deduce_templates(rows: DataFrame) -> DataFrame:
+    """For each host of rows (page, url, html, host) its number of pages and its template (see template_of). Occurrence vectors are
+    compared by sums over pages of four 32-bit hashes of page and occurrences, so a host with any share of all
+    pages is counted on the map side; only tokens with support are gathered for a host."""
+    shapes = staged(rows.mapInArrow(_shapes, _ddl(_SHAPES)), "page-tokens")
+    sizes = shapes.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    each = shapes.select("host", "page", F.explode("tokens").alias("t")).select("host", "page", "t.id", "t.text", "t.n")
+    low, high = (lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))), (lambda h: F.shiftrightunsigned(h, 32))
+    one, two = occurrence_hashes()
+    tokens = each.groupBy("host", "id", "text").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum(low(one)).alias("v1"), F.sum(high(one)).alias("v2"), F.sum(low(two)).alias("v3"), F.sum(high(two)).alias("v4"), F.max("n").alias("most")
+    )
+    kept = tokens.join(sizes, "host").filter(frequent("pages", F.col("host_pages")))
+    gathered = kept.groupBy("host").agg(F.max("host_pages").alias("host_pages"), F.collect_list(F.struct("id", "text", "pages", "v1", "v2", "v3", "v4", "most")).alias("tokens"))
+    return gathered.mapInArrow(_deduce, _ddl(_TEMPLATE))
 
-def main_container(template: list[dict], host_pages: int) -> tuple[str, str]:
-    """The paths of the main container, the deepest frame token that holds all prose, and of its core, where every
-    slot is the article's ('' if the template has none).
 
-    The tokens are grouped by occurrence vector. The frame is every class whose tokens occur at most once a page; a
-    container must belong to it. Prose is the words of slots that aren't outside, whose text varies or is in an
-    article or main element (on hosts of one page or of copies: any but
-    a page header's) and that aren't mostly links. An article
-    or main element that holds much of the prose is taken as the core, else the deepest frame token that holds
-    most of it."""
-    classes: dict[tuple, list[dict]] = {}
-    for t in template:
-        classes.setdefault((t["pages"], t["v1"], t["v2"]), []).append(t)
-    frame = [t for members in classes.values() for t in members if t["most"] == 1 and not t["outside"]]
-    alike = copies(template, host_pages)
-    prose = {t["path"]: t["words"] for t in template if not t["outside"] and (t["varies"] or (alike and not in_header(t["path"])) or in_named(t["path"])) and t["links"] <= MOST_LINKS * t["words"]}
-    under = lambda p: sum(w for q, w in prose.items() if q == p or q.startswith(p + "/"))
-    total = sum(prose.values())
-    good = [(t["path"], under(t["path"])) for t in frame if t["path"]]
-    named = [p for p, w in good if w > 0 and w >= MAIN_SHARE / 2 * total and p.rpartition("/")[2].split(".")[0] in MAIN_TAGS]
-    deepest = lambda paths: max(paths, key=lambda p: (p.count("/"), p), default="")
-    core = max(named, key=lambda p: (p.rpartition("/")[2].startswith("article"), p.count("/"), p)) if named else deepest([p for p, w in good if total and w >= MAIN_SHARE * total])
-    every = [p for p, w in good if total and w == total]
-    return deepest([p for p in every if core == p or core.startswith(p + "/")] or every), core
-
-
-def menu_slots(template: list[dict], host_pages: int) -> frozenset[str]:
-    """Slots of the frame whose text is the same on every page (if the pages are copies: of the page header), or that are mostly links;
-    used where no article is named."""
-    alike = copies(template, host_pages)
-    return frozenset(t["path"] for t in template if (not t["varies"] and t["words"] and (in_header(t["path"]) if alike else t["pages"] > 1)) or t["links"] > MOST_LINKS * t["words"])
-
-
-def page_text(page: str, container: str, core: str, menus: frozenset[str]) -> str:
-    """The text of the slots under the core, and of those under the container that aren't menus. On a page that lacks
-    the container: under its own article or main element, or else all text that isn't outside. Where no element
-    holds all prose, the core and all other text that isn't outside or a menu."""
-    inside: list[str] = []
-    named: list[str] = []
-    rest: list[str] = []
-    for event, path, piece, outside, _ in walk(page):
-        piece = html.unescape(piece) if event == "text" else " "
-        if event == "text" and outside:
-            continue
-        mine = bool(core) and (path == core or path.startswith(core + "/"))
-        if mine or (container and path.startswith(container + "/") and path not in menus) or path == container != "":
-            inside.append(piece)
-        if in_named(path):
-            named.append(piece)
-        if mine or path not in menus:
-            rest.append(piece)
-    for part in (inside, named, rest) if container or not core else (rest, named):
-        if text := " ".join("".join(part).split()):
-            return text
-    return ""
+_SHARES = {"host": pa.string(), "alike": pa.int64(), "data": pa.int64(), "prose": pa.int64(), "class": pa.int32(), "instance": pa.int64(), "id": pa.int64(), "depth": pa.int32(), "under": pa.int64()}
+
 
+def _template(row: dict) -> tuple[dict[int, int], set[tuple[int, int]]]:
+    return dict(zip(row["frame"] or (), row["classes"] or ())), set(zip(row["owners"] or (), row["texts"] or ()))
 
-def _roles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page, with (alike 0) and without (1) template text, and of each frame element of its instances: the data under the element, of
+    all data."""
     for batch in batches:
-        rows = [(h, *main_container(t, n), sorted(menu_slots(t, n))) for h, n, t in zip(*[batch.column(k).to_pylist() for k in range(3)])]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.list_(pa.string())))], ["host", "container", "core", "menus"])
+        out = []
+        for row in batch.to_pylist():
+            page, (frame, template) = Page(row["html"] or ""), _template(row)
+            instances = page.instances(frame)
+            prose = sum(words for _, _, words, menu, _, _ in page.blocks if not menu)
+            for alike in (0, 1):
+                under = [0] * len(page.ids)
+                for (at, _, words, *_), data in zip(page.blocks, page.data(template, bool(alike))):
+                    under[at] += words * data
+                for at in range(len(under) - 1, 0, -1):
+                    under[page.up[at]] += under[at]
+                for (c, instance), places in instances.items() if under[0] else ():
+                    out += [(row["host"], alike, under[0], prose, c, instance, page.ids[at], page.depth[at], under[at]) for at in places if under[at]]
+                if not under[0]:
+                    out.append((row["host"], alike, 0, prose, None, None, 0, 0, 0))
+        if out:
+            yield _batch(out, _SHARES)
+
+
+def choose_elements(joined: DataFrame, templates: DataFrame) -> DataFrame:
+    """For each host: alike (1: its pages are copies), and for each frequent instance of a class its core and its whole, the ids of the deepest elements that
+    hold CORE_SHARE and all of the instance's data, with their depths. `joined`: pages with their host's template."""
+    told = staged(
+        joined.mapInArrow(_shares, _ddl(_SHARES)).groupBy("host", "alike", "class", "instance", "id", "depth").agg(F.count(F.lit(1)).alias("pages"), F.sum("under").alias("under"), F.sum("data").alias("data"), F.sum("prose").alias("prose")), "shares"
+    )
+    page = (F.col("id") == 0) & (F.col("depth") == 0)  # each page has one such row
+    hosts = told.filter(page).groupBy("host").agg(F.sum(F.when(F.col("alike") == 0, F.col("data")).otherwise(0)).alias("data"), F.sum(F.when(F.col("alike") == 0, F.col("prose")).otherwise(0)).alias("prose"))
+    hosts = hosts.join(templates.select("host", "host_pages"), "host").select("host", "host_pages", ((F.col("host_pages") < 2) | (F.col("data") < LEAST_DATA * F.col("prose"))).cast("long").alias("alike"))
+    deep = lambda share: F.max(F.when(F.col("under") >= share * F.col("data"), F.struct("depth", "id")))
+    chosen = (
+        told.join(hosts, ["host", "alike"])
+        .filter(F.col("class").isNotNull() & frequent("pages", F.col("host_pages")))
+        .groupBy("host", "alike", "class", "instance")
+        .agg(deep(CORE_SHARE).alias("core"), deep(WHOLE_SHARE).alias("whole"))
+        .filter("core is not null")
+    )
+    return hosts.join(chosen.groupBy("host").agg(F.collect_list(F.struct("class", "instance", "core", "whole")).alias("roles")), "host", "left").select("host", "alike", "roles")
+
+
+def page_text(page: Page, frame: dict[int, int], template: set[tuple[int, int]], alike: bool, roles: list[dict]) -> str:
+    """The text of the slots under the page's core, the deepest of its instances' cores; if that is no article or main
+    element, without template text and menus. Of the slots around the core, in the deepest whole, those are the article's that are
+    data and headings or paragraphs, or between a heading and the core. A page without a core gives the text of its article
+    or main element, or else all that isn't outside."""
+    mine = {(r["class"], r["instance"]): r for r in roles}
+    found = [(mine[i], places) for i, places in page.instances(frame).items() if i in mine]
+    place = {page.ids[at]: at for _, places in found for at in places}
+    data = page.data(template, alike)
+    if found:
+        core = max((r["core"]["depth"], place[r["core"]["id"]]) for r, _ in found)[1]
+        inside = page.under(core)
+        wholes = [(r["whole"]["depth"], place[r["whole"]["id"]]) for r, _ in found if r["whole"]]
+        around = [page.under(at) for _, at in sorted(wholes, reverse=True)]
+        around = next((u for u in around if u[core]), inside)
+        named = page.main[core]
+        first = next((k for k, b in enumerate(page.blocks) if inside[b[0]]), len(page.blocks))
+        top = next((k for k, b in enumerate(page.blocks[:first]) if around[b[0]] and data[k] and page.tags[b[0]] == "h1"), first)
+
+        def wanted(k: int, at: int, menu: bool) -> bool:
+            prose = page.tags[at] in PROSE_TAGS
+            if inside[at]:
+                return named or data[k] or (prose and menu and page.tags[core] not in PAGE_TAGS)
+            return around[at] and data[k] and (prose or page.main[at] or top <= k < first)
+
+        if text := _joined(page, [wanted(k, b[0], b[3]) for k, b in enumerate(page.blocks)]):
+            return text
+    return _joined(page, [page.main[b[0]] for b in page.blocks]) or _joined(page, [alike or d for d in data]) or _joined(page, [True] * len(data))
+
+
+def _joined(page: Page, wanted: list[bool]) -> str:
+    out = []
+    for want, (_, _, _, _, a, b) in zip(wanted, page.blocks):
+        if want:
+            out += "".join(text for _, text, outside, _ in page.pieces[a:b] if not outside).split()
+    return " ".join(out)
 
 
 def _fill(id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [page_text(page or "", container or "", core or "", frozenset(menus or ())) for page, container, core, menus in zip(*[batch.column(k).to_pylist() for k in (2, 3, 4, 5)])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(id_type), batch.column(1), pa.array(out, pa.string())], ["id", "url", "text"])
+            out = [page_text(Page(r["html"] or ""), *_template(r), bool(r["alike"]), r["roles"] or []) for r in batch.drop_columns(["id"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(id_type), batch.column("url"), pa.array(out, pa.string())], ["id", "url", "text"])
 
     return run
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row for each row of pages: the id, url and `text`, the article under the host's main container.
+    """One row for each row of pages: the id, url and `text`, the article in the host's template.
 
     Character references are decoded once, white space becomes one space, blocks are joined by one space. The
     template is deduced from all pages of a host. Null and empty pages give an empty text; a null url is the
-    host ''; a host of one page, or of copies of one, uses that page's own structure; a page without the container uses its own
+    host ''; a host of one page, or of copies of one, has no template text; a page without a core uses its own
     article or main element, or else all text outside menus and the like; repeated rows give a row each and
-    exact copies of a page with the same url cancel or repeat each other's part of the occurrence vectors
-    alike for all tokens; a null id stays null; other columns are ignored; an empty table gives no rows. The whole page is read, whatever its length.
+    count as a page each; a null id stays null; other columns are ignored; an empty table gives no rows. The
+    whole page is read, whatever its length and depth.
     """
-    templates = staged(deduce_templates(pages, url_col, html_col).select("host", "host_pages", "template").mapInArrow(_roles, "host string, container string, core string, menus array<string>"), "templates")
-    rows = in_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    joined = rows.withColumn("_host", host).join(templates.withColumnRenamed("host", "_template_host"), F.col("_host") == F.col("_template_host"), "left")
+    host = F.coalesce(F.lower(F.regexp_extract(url_col, r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+    rows = in_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("_host"))
+    numbered = rows.select(F.xxhash64("url", "html").alias("page"), "url", "html")
+    templates = staged(deduce_templates(numbered), "templates")
+    joined = rows.join(templates.drop("host_pages"), F.col("_host") == F.col("host"), "left")
+    roles = staged(choose_elements(joined.select("host", "html", "frame", "classes", "owners", "texts"), templates), "roles").withColumnRenamed("host", "_role_host")
+    filled = joined.join(roles, F.col("_host") == F.col("_role_host"), "left").select("id", "url", "html", "frame", "classes", "owners", "texts", "alike", "roles")
     id_type = to_arrow_schema(rows.select("id").schema).field(0).type
     kind = pages.schema[id_col].dataType.simpleString()
-    return joined.select("id", "url", "html", "container", "core", "menus").mapInArrow(_fill(id_type), f"id {kind}, url string, text string").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
+    return filled.mapInArrow(_fill(id_type), f"id {kind}, url string, text string").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

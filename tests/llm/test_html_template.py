@@ -1,7 +1,10 @@
 import html
 import re
 
-from sunplane.llm.html_template import extract_text, op7_html_extraction
+from pyspark.sql import functions as F
+
+from sunplane.llm import html_template
+from sunplane.llm.html_template import Page, extract_text, op7_html_extraction, template_of
 
 SCHEMA = "page_id long, url string, html string"
 SHELL = (
@@ -15,6 +18,74 @@ def texts(spark, rows):
     return {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
 
 
+LEGAL = "These many words of terms and conditions are the same on every page of this site and nobody reads any of them at all " * 3
+
+
+def article(k, n):
+    return f"<h1>Title {k}</h1>" + "".join(f"<p>Sentence {j} of page {k} with <a href=x>some</a> own words w{k}x{j}</p>" for j in range(n))
+
+
+def plain(source):
+    return " ".join(html.unescape(re.sub("<[^>]+>", " ", source)).split())
+
+
+def opaque(k, deep=0):
+    """A page without any name that tells: only the classes of tokens can."""
+    body = article(f"n{k}", 4 + k % 3)
+    wrap = "".join(f"<div class=d{chr(97 + j % 26)}>" for j in range(deep))
+    return f"<html><body><div class=ka>Buy v{k} now</div><div class=kb>{wrap}{body}{'</div>' * deep}</div><div class=kc>{LEGAL}</div><div class=kd>At {k} o'clock</div></body></html>", plain(body)
+
+
+def test_opaque_names_without_an_article_element(spark):
+    for deep in (0, 150):
+        made = {k: opaque(k, deep) for k in range(8)}
+        assert texts(spark, [(k, "http://opaque.example/", page) for k, (page, _) in made.items()]) == {k: want for k, (_, want) in made.items()}
+
+
+def test_without_the_vectors_the_template_is_lost(spark, monkeypatch):
+    made = {k: opaque(k) for k in range(8)}
+    monkeypatch.setattr(html_template, "occurrence_hashes", lambda: (F.xxhash64("id", "text"), F.xxhash64("text", "id")))
+    assert all(LEGAL.split()[0] in t for t in texts(spark, [(k, "http://opaque.example/", page) for k, (page, _) in made.items()]).values())
+
+
+def test_two_layouts_of_one_host(spark):
+    rows, want = [], {}
+    for k in range(12):
+        body = article(f"n{k}", 3 + k % 4)
+        want[k] = plain(body)
+        one = f"<div class=al>Hot v{k}</div><div class=am>{body}</div><div class=an>{LEGAL}</div>"
+        two = f"<div class=bl><div class=bm>{LEGAL.upper()}</div><div class=bn>Call v{k}</div><div class=bo><div class=bp>{body}</div></div></div><div class=bq>Seen {k}</div>"
+        rows.append((k, "http://layouts.example/", f"<html><body>{two if k % 3 else one}</body></html>"))
+    assert texts(spark, rows) == want
+
+
+def test_blocks_in_another_order_are_another_instance(spark):
+    rows, want = [], {}
+    for k in range(9):
+        body = article(f"n{k}", 5)
+        want[k] = plain(body)
+        parts = [f"<div class=sa>Hot v{k}</div>", f"<div class=sb>{body}</div>", f"<div class=sc>{LEGAL}</div>"]
+        rows.append((k, "http://order.example/", "<html><body>" + "".join(parts[k % 3 :] + parts[: k % 3]) + "</body></html>"))
+    assert texts(spark, rows) == want
+
+
+def test_classes_against_vectors():
+    pages = [Page(opaque(k)[0]) for k in range(5)] + [Page("<html><body><div class=ka>other</div></body></html>")]
+    vectors = {}
+    for n, page in enumerate(pages):
+        for i, c in zip(page.ids, page.n):
+            vectors.setdefault((i, 0), [0] * 6)[n] = c
+        for key, c in page.texts().items():
+            vectors.setdefault(key, [0] * 6)[n] = c
+    tokens = [{"id": i, "text": t, "most": max(v), "pages": sum(map(bool, v)), "v1": hash(tuple(v)), "v2": 0, "v3": 0, "v4": 0} for (i, t), v in vectors.items() if sum(map(bool, v)) > 1]
+    frame, classes, owners, found = template_of(tokens)
+    assert len(frame) == len(set(frame)) and set(frame) == {i for (i, t), v in vectors.items() if t == 0 and max(v) == 1}
+    for a, i in zip(classes, frame):
+        for b, j in zip(classes, frame):
+            assert (a == b) == (vectors[i, 0] == vectors[j, 0])
+    assert [html_template._hash(LEGAL.strip())] == found and len(owners) == 1
+
+
 def test_query_against_the_articles(spark, sample_dir):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sample_dir}/pages.parquet").collect()}
     out = {r["page_id"]: r for r in op7_html_extraction(spark, sample_dir).collect()}
