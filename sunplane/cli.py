@@ -25,7 +25,7 @@ class JsonLines(logging.Formatter):
 def _session(config: Config):
     from pyspark.sql import SparkSession
 
-    return SparkSession.builder.master(config.compute.master).appName("sunplane").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    return SparkSession.builder.master(config.compute.spark_master).appName("sunplane").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
 def _parser() -> argparse.ArgumentParser:

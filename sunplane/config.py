@@ -12,6 +12,8 @@ from sunplane.operators.mounting import Thresholds
 
 log = logging.getLogger(__name__)
 
+# The sections, keys and defaults that a configuration file has.
+
 
 @dataclass(frozen=True)
 class Crs:
@@ -56,28 +58,114 @@ class Heights:
     use_whitebox_dem: bool = False
 
 
+@dataclass(frozen=True)
+class FlushMount:
+    panel_roof_angle_deg_max: float = 5.0
+    height_above_roof_m_max: float = 0.5
+
+
+@dataclass(frozen=True)
+class RoofRack:
+    panel_roof_angle_deg_min: float = 5.0
+    height_above_roof_m_max: float = 1.5
+    fallback_tilt_deg_min: float = 5.0
+    fallback_height_above_ground_m_min: float = 2.5
+
+
+@dataclass(frozen=True)
+class Carport:
+    height_above_ground_m_min: float = 2.0
+    aspect_ratio_min: float = 2.0
+
+
+@dataclass(frozen=True)
+class Tracker:
+    aspect_ratio_min: float = 4.0
+    tilt_deg_max: float = 35.0
+    height_above_ground_m_max: float = 2.0
+
+
+@dataclass(frozen=True)
+class FixedGround:
+    tilt_deg_min: float = 5.0
+    height_above_ground_m_max: float = 2.0
+
+
+@dataclass(frozen=True)
+class MountingRules:
+    R1: FlushMount = field(default_factory=FlushMount)
+    R2: RoofRack = field(default_factory=RoofRack)
+    R3: Carport = field(default_factory=Carport)
+    R4: Tracker = field(default_factory=Tracker)
+    R5: FixedGround = field(default_factory=FixedGround)
+    confidence_margin: float = 0.5
+
+    @property
+    def thresholds(self) -> Thresholds:
+        flush, rack, port, track, fixed = self.R1, self.R2, self.R3, self.R4, self.R5
+        return Thresholds(
+            flush_angle=flush.panel_roof_angle_deg_max,
+            flush_height=flush.height_above_roof_m_max,
+            rack_angle=rack.panel_roof_angle_deg_min,
+            rack_height=rack.height_above_roof_m_max,
+            rack_tilt=rack.fallback_tilt_deg_min,
+            rack_ground_height=rack.fallback_height_above_ground_m_min,
+            carport_height=port.height_above_ground_m_min,
+            carport_aspect=port.aspect_ratio_min,
+            tracker_height=track.height_above_ground_m_max,
+            tracker_aspect=track.aspect_ratio_min,
+            tracker_tilt=track.tilt_deg_max,
+            fixed_height=fixed.height_above_ground_m_max,
+            fixed_tilt=fixed.tilt_deg_min,
+            margin=self.confidence_margin,
+        )
+
+
+@dataclass(frozen=True)
+class S3:
+    requester_pays: bool = False
+    region: str = "us-east-2"
+
+
 @dataclass(frozen=True)
 class Classification:
-    panel_class: int = 6
-    fallback_class: int = 1
+    panel_class_primary: int = 6
+    panel_class_fallback: int = 1
     ground_class: int = 2
-    fallback_height_m: float = 1.5
+    fallback_height_above_ground_m: float = 1.5
 
 
 @dataclass(frozen=True)
 class Io:
+    """lidar_reader: native reads LAS, laspy also LAZ where that package and a LAZ backend are installed."""
+
     lidar_reader: str = "laspy"
-    requester_pays: bool = False
-    region: str = "us-west-2"
+    s3: S3 = field(default_factory=S3)
     classification: Classification = field(default_factory=Classification)
 
 
+@dataclass(frozen=True)
+class Workers:
+    n_workers: int = 8
+    threads_per_worker: int = 2
+
+
 @dataclass(frozen=True)
 class Compute:
-    master: str = "local[*]"
+    """backend local runs on as many threads as `local` tells, unless `master` names a Spark master; any other backend needs
+    one. Sections of other backends are kept in `other` and tell nothing here. The cell sizes are for joins."""
+
+    backend: str = "local"
+    local: Workers = field(default_factory=Workers)
+    master: str = ""
+    other: dict = field(default_factory=dict)
     cell_size_m: float = 25.0
     tile_cell_size_m: float = 1000.0
 
+    @property
+    def spark_master(self) -> str:
+        return self.master or f"local[{self.local.n_workers * self.local.threads_per_worker}]"
+
 
 @dataclass(frozen=True)
 class Output:
@@ -93,7 +181,7 @@ class Config:
     multi_plane: MultiPlane = field(default_factory=MultiPlane)
     roof_plane: RoofPlane = field(default_factory=RoofPlane)
     heights: Heights = field(default_factory=Heights)
-    mounting_rules: Thresholds = field(default_factory=Thresholds)
+    mounting_rules: MountingRules = field(default_factory=MountingRules)
     io: Io = field(default_factory=Io)
     compute: Compute = field(default_factory=Compute)
     output: Output = field(default_factory=Output)
@@ -110,8 +198,13 @@ class Config:
             raise ValueError(f"uncertainty_method: {out.panel_plane.uncertainty_method!r} is neither bootstrap nor covariance")
         if out.panel_plane.uncertainty_method == "covariance":
             log.warning("uncertainty_method covariance gives no uncertainties")
-        if out.heights.use_whitebox_dem:
-            log.warning("heights.use_whitebox_dem has no effect")
+        if out.io.lidar_reader not in ("native", "laspy"):
+            raise ValueError(f"io.lidar_reader: {out.io.lidar_reader!r} is neither laspy nor native")
+        if out.compute.backend != "local" and not out.compute.master:
+            raise ValueError(f"compute.backend: name the Spark master of {out.compute.backend!r} in compute.master")
+        for path, given, default in (("heights.use_whitebox_dem", out.heights.use_whitebox_dem, False), ("io.s3", out.io.s3, S3()), ("output.write_geoparquet", out.output.write_geoparquet, True)):
+            if given != default:
+                log.warning("%s has no effect", path)
         return out
 
     @classmethod
@@ -127,6 +220,9 @@ class Config:
 
 def _build(kind, values: dict, where: str):
     fields = {f.name: f for f in dataclasses.fields(kind)}
+    if "other" in fields:
+        sections = {k: v for k, v in values.items() if k not in fields and (v is None or isinstance(v, dict))}
+        values = {k: v for k, v in values.items() if k not in sections} | ({"other": sections | values.get("other", {})} if sections else {})
     if unknown := set(values) - set(fields):
         raise ValueError(f"unknown configuration keys: {', '.join(sorted(where + k for k in unknown))}")
     given = {}

@@ -71,14 +71,14 @@ def pending(groups: DataFrame, done: DataFrame) -> DataFrame:
     return groups.join(done.select("partition_id").distinct(), "partition_id", "left_anti")
 
 
-def explode_parts(polygons: DataFrame, parts: str, order: str, explode: bool = True) -> DataFrame:
+def explode_parts(polygons: DataFrame, parts: str, order: str | list[str], explode: bool = True) -> DataFrame:
     """One row for each part of multi-part polygons: rings, parent_polygon_id, and polygon_id with `__p<n>`
-    where the parent id has several rows. Without `explode` the parts stay together and the parent is the id itself."""
+    where the parent id has several rows, n counting in the order of `order` and then of the parts. Without `explode` the parts stay together and the parent is the id itself."""
     if not explode:
         return polygons.withColumn("parent_polygon_id", F.col("polygon_id"))
     rows = polygons.select("*", F.posexplode(parts).alias("_pos", "rings"))
     by = Window.partitionBy("polygon_id")
-    nth = F.row_number().over(by.orderBy(order, "_pos")) - 1
+    nth = F.row_number().over(by.orderBy(*([order] if isinstance(order, str) else order), "_pos")) - 1
     many = F.count(F.lit(1)).over(by) > 1
     return (
         rows.withColumns({"_nth": nth, "_many": many, "parent_polygon_id": F.col("polygon_id")})

@@ -6,18 +6,33 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sunplane.functions import shapes
 
 GROUND, UNCLASSIFIED, BUILDING = 2, 1, 6
 
-#: A joined side goes to every executor only if its rows, counted first, are at most this many.
-BROADCAST_ROWS = 200_000
+#: A joined side goes to every executor only if its rows and their bytes, counted first, are at most this many.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
-def small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    """About as many bytes as the value takes: eight for a number, and what nested values take."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(c[f.name], f.dataType) for f in kind), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StructType) and all(isinstance(f.dataType, T.DoubleType) for f in kind.elementType):
+            return F.coalesce(F.size(c), F.lit(0)) * (8 * len(kind.elementType) + 16)
+        return F.coalesce(F.aggregate(c, F.lit(8).cast("long"), lambda total, x: total + _bytes(x, kind.elementType).cast("long")), F.lit(8))
+    return F.lit(8)
+
+
+def small(df: DataFrame, most_rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """df marked for broadcast if it is small enough, else as it is, to be joined by a shuffle."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    told = df.limit(most_rows + 1).select(sum((_bytes(F.col(f.name), f.dataType) for f in df.schema), F.lit(0)).cast("long").alias("b")).agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return F.broadcast(df) if told[0] <= most_rows and told[1] <= most_bytes else df
 
 
 def of_classes(points: DataFrame, classes: list[int]) -> DataFrame:
@@ -25,17 +40,26 @@ def of_classes(points: DataFrame, classes: list[int]) -> DataFrame:
     return points.filter(F.col("cls").isin(*classes))
 
 
-def class_choice(points: DataFrame, fetch: DataFrame, height: float = 1.5) -> DataFrame:
-    """For each group of fetch (group, tile_id): panel_class, 6 if any of the group's points has it, else 1, and least_z,
-    null for class 6 or without ground, else the median ground height plus `height`; class 1 points must be above it.
+def survey_tiles(points: DataFrame, panel_class: int = BUILDING) -> DataFrame:
+    """Of each tile that has points: whether any is of the panels' class. One pass over two columns."""
+    return points.groupBy("tile_id").agg(F.bool_or(F.col("cls") == panel_class).alias("has_panel"))
+
+
+def class_choice(points: DataFrame, fetch: DataFrame, height: float = 1.5, panel_class: int = BUILDING, fallback_class: int = UNCLASSIFIED, ground_class: int = GROUND, surveyed: DataFrame | None = None) -> DataFrame:
+    """For each group of fetch (group, tile_id): panel_class, that of the panels if any of the group's points has it, else
+    the fallback, and least_z, null for the first or without ground, else the median ground height plus `height`;
+    points of the fallback class must be above it. surveyed: the points' survey_tiles, staged, if it is at hand.
 
-    Only tiles without class 6 need their ground heights: the exact median is taken over these groups alone.
+    Only groups without the panels' class need their ground heights: the exact median is taken over the ground points of their
+    tiles alone, and with `surveyed` the points aren't read at all where there is no such group.
     """
-    tiles = points.groupBy("tile_id").agg(F.bool_or(F.col("cls") == BUILDING).alias("has_6"))
-    choice = fetch.join(tiles, "tile_id", "left").groupBy("group").agg(F.coalesce(F.bool_or("has_6"), F.lit(False)).alias("has_6"))
-    bare = fetch.join(choice.filter(~F.col("has_6")).select("group"), "group", "left_semi")
-    ground = points.filter(F.col("cls") == GROUND).select("tile_id", "z").join(bare, "tile_id").groupBy("group").agg((F.median("z") + F.lit(height)).alias("least_z"))
-    return choice.join(ground, "group", "left").select("group", F.when(F.col("has_6"), BUILDING).otherwise(UNCLASSIFIED).alias("panel_class"), F.when(~F.col("has_6"), F.col("least_z")).alias("least_z"))
+    tiles = survey_tiles(points, panel_class) if surveyed is None else surveyed
+    choice = fetch.join(tiles, "tile_id", "left").groupBy("group").agg(F.coalesce(F.bool_or("has_panel"), F.lit(False)).alias("has_panel"))
+    bare = fetch.join(choice.filter(~F.col("has_panel")).select("group"), "group", "left_semi")
+    if surveyed is not None and bare.isEmpty():
+        return choice.select("group", F.lit(panel_class).alias("panel_class"), F.lit(None).cast("double").alias("least_z"))
+    ground = points.filter(F.col("cls") == ground_class).select("tile_id", "z").join(small(bare), "tile_id").groupBy("group").agg((F.median("z") + F.lit(height)).alias("least_z"))
+    return choice.join(ground, "group", "left").select("group", F.when(F.col("has_panel"), panel_class).otherwise(fallback_class).alias("panel_class"), F.when(~F.col("has_panel"), F.col("least_z")).alias("least_z"))
 
 
 def is_panel(cls: Column, z: Column, panel_class: Column, least_z: Column) -> Column:

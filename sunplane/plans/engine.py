@@ -15,7 +15,7 @@ from sunplane.functions import shapes
 from sunplane.functions.angles import height_over_plane, plane_angle
 from sunplane.functions.kernels import boundary_distance, contains
 from sunplane.operators import assign, planes, points as pt
-from sunplane.operators.mounting import RuleClassifier, is_tracker_suspected
+from sunplane.operators.mounting import Classifier, RuleClassifier, is_tracker_suspected
 from sunplane.schema import VERSION, conform
 from sunplane.staging import staged
 
@@ -89,26 +89,44 @@ FITS = pa.schema(
 )
 
 
-def build_rows(points: DataFrame, polygons: DataFrame, footprints: DataFrame, tiles: DataFrame, config: Config = Config(), run_id: str = "", only: DataFrame | None = None) -> DataFrame:
+def _fetched(points: DataFrame, groups: DataFrame) -> DataFrame:
+    """The points of tiles that some group fetches."""
+    return points.join(pt.small(assign.tiles_touched(groups)), "tile_id", "left_semi")
+
+
+def survey(points: DataFrame, groups: DataFrame, config: Config = Config()) -> DataFrame:
+    """What points.survey_tiles tells of the tiles that the groups fetch, staged."""
+    return staged(pt.survey_tiles(_fetched(points, groups), config.io.classification.panel_class_primary), "survey")
+
+
+def build_rows(
+    points: DataFrame, polygons: DataFrame, footprints: DataFrame, tiles: DataFrame, config: Config = Config(), run_id: str = "", only: DataFrame | None = None, classifier: Classifier | None = None, surveyed: DataFrame | None = None
+) -> DataFrame:
     """One output row for each polygon with a primary tile that has points.
 
     points: tile_id, x, y, z, cls. polygons: polygon_id, rings, optionally geometry (WKB). footprints:
-    building_id, rings. tiles: tile_id, rings. only: partition_ids to restrict the run to (for resuming).
-
-    The points are read twice: once for a small aggregate that chooses each group's class, once for one join by
-    grid cell and a few comparisons that give every polygon the points near it. Only these are shuffled, by
-    polygon, to one numpy kernel that tells panel from ring points and fits the planes.
-    What is known of the polygons alone is staged, so that it is made once.
+    building_id, rings. tiles: tile_id, rings. only: partition_ids to restrict the run to (for resuming). classifier: what
+    tells the mounting class; the configured rules if it is left out. surveyed: the survey, where one is at hand.
+
+    The points are read twice, and only tiles that a group fetches (a table laid out by tile_id skips the others'
+    files): once for the survey of classes by tile, which is staged, once for one join by grid cell and a few
+    comparisons that give every polygon the points near it. A third pass reads the ground points of those groups that lack the
+    panels' class. Only points near polygons are shuffled, by polygon, to one numpy kernel that tells panel from ring
+    points and fits the planes. What is known of groups and polygons is staged, so that it is made once.
     """
     c = config
     shaped = with_measures(polygons)
     located = with_measures(tiles) if "edges" not in tiles.columns else tiles
     groups = assign.tile_groups(assign.assign(shaped, located, c.compute.tile_cell_size_m))
-    groups = assign.with_data(groups, points.select("tile_id"))
     if only is not None:
         groups = groups.join(only, "partition_id", "left_semi")
+    groups = staged(groups, "groups")
+    k = c.io.classification
+    seen = survey(points, groups, c) if surveyed is None else surveyed
+    groups = staged(assign.with_data(groups, seen), "groups")
+    points = _fetched(points, groups)
     fetch = groups.select(F.col("primary_tile_id").alias("group"), F.explode("fetch_tile_ids").alias("tile_id"))
-    choice = pt.class_choice(points, fetch, c.io.classification.fallback_height_m)
+    choice = pt.class_choice(points, fetch, k.fallback_height_above_ground_m, k.panel_class_primary, k.panel_class_fallback, k.ground_class, seen)
     member = groups.select(F.col("primary_tile_id").alias("group"), "fetch_tile_ids", "partition_id", F.explode("polygon_ids").alias("polygon_id")).join(choice, "group")
     mine = shaped.join(member, "polygon_id")
     buildings = footprints if "edges" in footprints.columns else with_measures(footprints)
@@ -120,16 +138,16 @@ def build_rows(points: DataFrame, polygons: DataFrame, footprints: DataFrame, ti
     near = pt.near_polygons(points, wanted, max(reach, c.heights.ground_search_radius_m), c.compute.cell_size_m)
     x, y, r = F.col("x"), F.col("y"), c.heights.ground_search_radius_m
     dx, dy = x - F.col("cx"), y - F.col("cy")
-    soil = (F.col("cls") == c.io.classification.ground_class) & (dx * dx + dy * dy <= r * r)
+    soil = (F.col("cls") == k.ground_class) & (dx * dx + dy * dy <= r * r)
     panel = pt.is_panel(F.col("cls"), F.col("z"), F.col("panel_class"), F.col("least_z"))
     close = (x >= F.col("x0") - reach) & (x <= F.col("x1") + reach) & (y >= F.col("y0") - reach) & (y <= F.col("y1") + reach)
     near = near.filter((soil | (panel & close)) & F.array_contains("fetch_tile_ids", F.col("tile_id"))).select("polygon_id", "x", "y", "z", panel.alias("is_panel"))
     outlines = mine.select(F.col("polygon_id").alias("outline_id"), "edges", "building_edges", "other_edges")
     fits = near.groupBy("polygon_id").cogroup(outlines.groupBy("outline_id")).applyInArrow(_measure_group(c), from_arrow_schema(FITS))
-    return _rows(mine.join(fits, "polygon_id", "left"), c, run_id)
+    return _rows(mine.join(fits, "polygon_id", "left"), c, run_id, classifier or RuleClassifier(c.mounting_rules.thresholds))
 
 
-def _rows(joined: DataFrame, c: Config, run_id: str) -> DataFrame:
+def _rows(joined: DataFrame, c: Config, run_id: str, classifier: Classifier) -> DataFrame:
     n_total, n_inliers = (F.coalesce(F.col(f"panel.{k}"), F.lit(0)) for k in ("n_total", "n_inliers"))
     on = F.col("building_id").isNotNull() if c.roof_plane.enabled else F.lit(False)
     available = F.coalesce(F.col("roof.tilt").isNotNull(), F.lit(False))
@@ -158,7 +176,7 @@ def _rows(joined: DataFrame, c: Config, run_id: str) -> DataFrame:
         "height_above_ground": F.col("height_above_ground_m"),
         "aspect_ratio": F.col("aspect_ratio"),
     }
-    rows = rows.withColumn("mount", RuleClassifier(c.mounting_rules).classify(features))
+    rows = rows.withColumn("mount", classifier.classify(features))
     planes_found = F.when(F.col("second").isNotNull(), 2).when(tilt.isNotNull(), 1).otherwise(0)
     geometry = F.col("geometry") if "geometry" in joined.columns else _wkb()(F.col("rings"))
     return conform(

@@ -16,6 +16,7 @@ from sunplane.operators import points as pt
 from sunplane.operators.mounting import RuleClassifier, is_tracker_suspected
 from sunplane.plans import engine, scene
 from sunplane.plans.scene import sql
+from sunplane.schema import VERSION
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -507,9 +508,10 @@ FEATURE_SQL = """f AS (SELECT p_partkey AS p, p_partkey % 2 = 0 AS on_b, p_partk
   CASE WHEN p_partkey % 23 <> 0 THEN 1 + ((p_partkey * 17) % 60) / 10::DOUBLE END AS asp, p_size FROM part),"""
 
 
-def _rules_sql() -> str:
+def _rules_tail() -> str:
+    """Expressions that give each row of f its rule, confidence and label, in rows_."""
     le, ge = (lambda v, t: _conf_sql(v, t, abs(t) / 2, False)), (lambda v, t: _conf_sql(v, t, abs(t) / 2, True))
-    return f"""WITH {FEATURE_SQL}
+    return f"""
   c AS (SELECT *, CASE WHEN on_b AND roof THEN least({le('ang', 5.0)}, {le('har', 0.5)}) ELSE 0 END AS r1,
     CASE WHEN NOT on_b THEN 0 WHEN roof THEN least({ge('ang', 5.0)}, {le('har', 1.5)}) ELSE least({ge('tilt', 5.0)}, {ge('hag', 2.5)}) END AS r2,
     CASE WHEN on_b THEN 0 ELSE least({ge('hag', 2.0)}, {ge('asp', 2.0)}) END AS r3,
@@ -520,6 +522,10 @@ def _rules_sql() -> str:
     CASE rule WHEN 'R1' THEN 'flush_mount_rooftop' WHEN 'R2' THEN 'tilted_rack_rooftop' WHEN 'R3' THEN 'carport' WHEN 'R4' THEN 'ground_mount_tracker_suspected' WHEN 'R5' THEN 'ground_mount_fixed' ELSE 'ambiguous' END AS label FROM m)"""
 
 
+def _rules_sql() -> str:
+    return f"WITH {FEATURE_SQL}{_rules_tail()}"
+
+
 def _features(spark, d) -> DataFrame:
     p = F.col("p_partkey")
     tenth = lambda v: v / F.lit(10.0)
@@ -609,8 +615,96 @@ def size_sweep(spark, d):
 
 # --- whole runs
 
+ROOF_POINTS = 40
+ROUNDED = {
+    "panel_tilt_deg": 3, "panel_azimuth_deg": 2, "panel_rmse_m": 4, "panel_tilt_unc_deg": 2, "panel_azimuth_unc_deg": 1, "secondary_tilt_deg": 3, "secondary_azimuth_deg": 2,
+    "roof_tilt_deg": 3, "roof_azimuth_deg": 2, "roof_rmse_m": 4, "panel_roof_angle_deg": 3, "height_above_roof_m": 3, "height_above_ground_m": 4, "area_m2": 3, "aspect_ratio": 4, "mounting_confidence": 3,
+}
 
-@query()
+
+def _bootstrap_sql(fit: str) -> str:
+    """Expressions for bo: polygon_id, tilt_unc and azimuth_unc of the plane `fit`."""
+    return f"""
+  bi AS (SELECT polygon_id, x, y, z, row_number() OVER (PARTITION BY polygon_id ORDER BY x, y, z) - 1 AS i, count(*) OVER (PARTITION BY polygon_id) AS m, ('0x' || substr(md5(polygon_id), 1, 7))::BIGINT AS seed FROM {fit}_a WHERE inl),
+  b0 AS (SELECT polygon_id, m, rep, {step_sql('((seed + 1000003 * (rep + 1) + 7919 * (i + 1)) % 2147483648)')} AS s0 FROM bi, range({SAMPLES}) g(rep) WHERE m >= 3),
+  b1 AS (SELECT polygon_id, m, rep, {step_sql('s0')} AS s FROM b0),
+  b2 AS (SELECT b1.polygon_id, rep, x, y, z FROM b1 JOIN bi ON bi.polygon_id = b1.polygon_id AND bi.i = (s // 256) % b1.m),
+  b3 AS (SELECT polygon_id, rep, {MOMENTS} FROM b2 GROUP BY 1, 2),{normal_sql('bn', 'b3', 'polygon_id, rep, xx + yy AS spread')},
+  b4 AS (SELECT polygon_id, rep, {TILT} AS t, radians({AZ}) AS a FROM bn),
+  b5 AS (SELECT polygon_id, stddev_samp(t) AS tilt_unc, sqrt(avg(sin(a)) * avg(sin(a)) + avg(cos(a)) * avg(cos(a))) AS r FROM b4 GROUP BY 1),
+  bo AS (SELECT polygon_id, tilt_unc, degrees(sqrt(-2 * ln(least(r, 1)))) AS azimuth_unc FROM b5)"""
+
+
+def _full_sql() -> str:
+    """Every output column of a whole run over the scene, from polygons, tiles, footprints and points to classes and flags."""
+    single = lambda x, k: srnd(f"(({x})::FLOAT)::DOUBLE", ROUNDED[k]) + f" AS {k}"
+    return sql(
+        ASSIGN_SQL
+        + """,
+  avail AS (SELECT DISTINCT tile_id FROM points),
+  ft AS (SELECT fet.* FROM fet JOIN avail USING (tile_id) WHERE primary_tile_id IN (SELECT tile_id FROM avail)),
+  ch AS (SELECT primary_tile_id, bool_or(cls = 6) AS has6, median(z) FILTER (WHERE cls = 2) + 1.5 AS lz FROM ft JOIN points USING (tile_id) GROUP BY 1),
+  ids AS (SELECT primary_tile_id, string_agg(tile_id, ',' ORDER BY tile_id) AS lidar_tile_ids FROM ft GROUP BY 1),
+  mine AS (SELECT g.*, prim.primary_tile_id, has6, lz, partition_id, lidar_tile_ids FROM polygons g JOIN prim USING (polygon_id) JOIN ch USING (primary_tile_id) JOIN grp USING (primary_tile_id) JOIN ids USING (primary_tile_id)),
+  around AS (SELECT g.polygon_id, g.x0, g.y0, g.x1, g.y1, g.cx AS gx, g.cy AS gy, has6, lz, g.primary_tile_id, pt.cls, pt.x, pt.y, pt.z
+    FROM points pt JOIN ft USING (tile_id) JOIN mine g ON g.primary_tile_id = ft.primary_tile_id AND pt.x BETWEEN g.x0 - 10 AND g.x1 + 10 AND pt.y BETWEEN g.y0 - 10 AND g.y1 + 10),
+  panels AS (SELECT * FROM around WHERE CASE WHEN has6 THEN cls = 6 ELSE cls = 1 AND (lz IS NULL OR z > lz) END),
+  clip AS (SELECT polygon_id, x, y, z FROM panels WHERE x > x0 + 0.15 AND x < x1 - 0.15 AND y > y0 + 0.15 AND y < y1 - 0.15),
+  soil AS (SELECT polygon_id, median(z) AS gz FROM around WHERE cls = 2 AND (x - gx) * (x - gx) + (y - gy) * (y - gy) <= 100 GROUP BY 1),"""
+        + PICK_SQL
+        + """,
+  near AS (SELECT g.polygon_id, g.primary_tile_id, g.x, g.y, g.z, sqrt(greatest(g.x0 - g.x, g.x - g.x1, 0) ** 2 + greatest(g.y0 - g.y, g.y - g.y1, 0) ** 2) AS d
+    FROM panels g JOIN pick f ON f.polygon_id = g.polygon_id AND g.x > f.x0 AND g.x < f.x1 AND g.y > f.y0 AND g.y < f.y1),
+  ring AS (SELECT * FROM near n WHERE d > 0 AND d < 5 AND NOT EXISTS (
+    SELECT 1 FROM mine o WHERE o.primary_tile_id = n.primary_tile_id AND o.polygon_id <> n.polygon_id AND n.x > o.x0 AND n.x < o.x1 AND n.y > o.y0 AND n.y < o.y1)),
+  buf AS (SELECT polygon_id, min(w) AS buffer FROM (SELECT polygon_id, w FROM ring, (VALUES (3.0::DOUBLE), (3.5::DOUBLE), (4.0::DOUBLE), (4.5::DOUBLE), (5.0::DOUBLE)) v(w) WHERE d < w GROUP BY 1, 2 HAVING count(*) >= """
+        + f"{ROOF_POINTS}) GROUP BY 1),\n  base AS (SELECT ring.polygon_id, x, y, z FROM ring JOIN buf USING (polygon_id) WHERE d < buffer),"
+        + consensus_sql("fit", "clip", 0.05, 0.6)
+        + ","
+        + _bootstrap_sql("fit")
+        + """,
+  rest AS (SELECT a.polygon_id, a.x, a.y, a.z FROM fit_a a JOIN fit USING (polygon_id) WHERE NOT inl AND n_inliers >= 10 AND tilt IS NOT NULL),"""
+        + consensus_sql("two", "rest", 0.10, 0.5)
+        + ","
+        + consensus_sql("roof", "base", 0.15, 0.6)
+        + """,
+  second AS (SELECT t.polygon_id, t.tilt AS tilt2, t.azimuth AS azimuth2 FROM two t JOIN fit f USING (polygon_id)
+    WHERE t.tilt IS NOT NULL AND least(t.n_total, t.n_inliers) >= greatest(round_even(0.2::DOUBLE * f.n_total, 0), 10)),
+  top AS (SELECT a.polygon_id, median(a.z) AS tz, median(a.x) FILTER (WHERE n_inliers > 0) AS mx, median(a.y) FILTER (WHERE n_inliers > 0) AS my, median(a.z) FILTER (WHERE n_inliers > 0) AS mz
+    FROM fit_a a JOIN fit USING (polygon_id) WHERE n_inliers = 0 OR inl GROUP BY 1),
+  f AS (SELECT g.polygon_id, g.area, g.partition_id, g.lidar_tile_ids, p.building_id, p.building_id IS NOT NULL AS on_b, fit.* EXCLUDE (polygon_id), tilt_unc, azimuth_unc, tilt2, azimuth2,
+      s.polygon_id IS NOT NULL AS two, r.polygon_id IS NOT NULL AS has_roof, r.tilt AS roof_tilt, r.azimuth AS roof_azimuth, r.rmse AS roof_rmse, r.tilt IS NOT NULL AS roof,
+      CASE WHEN r.tilt IS NOT NULL AND fit.tilt IS NOT NULL THEN degrees(acos(greatest(least(fit.nx * r.nx + fit.ny * r.ny + fit.nz * r.nz, 1), -1))) END AS ang,
+      CASE WHEN r.tilt IS NOT NULL AND abs(r.nz) >= 1e-9 THEN mz - (r.cz - (r.nx * (mx - r.cx) + r.ny * (my - r.cy)) / r.nz) END AS har,
+      coalesce(tz - gz, 0) AS hag, greatest(g.w, g.h) / least(g.w, g.h) AS asp
+    FROM mine g LEFT JOIN pick p USING (polygon_id) LEFT JOIN fit USING (polygon_id) LEFT JOIN bo USING (polygon_id) LEFT JOIN second s USING (polygon_id)
+    LEFT JOIN roof r USING (polygon_id) LEFT JOIN top USING (polygon_id) LEFT JOIN soil USING (polygon_id)),"""
+        + _rules_tail()
+        + f"""
+  SELECT polygon_id, 93 AS geometry_bytes, CAST(coalesce(n_total, 0) AS INT) AS n_points_panel, CAST(coalesce(n_inliers, 0) AS INT) AS n_inliers_panel, {single('tilt', 'panel_tilt_deg')}, {single('azimuth', 'panel_azimuth_deg')},
+    {single('rmse', 'panel_rmse_m')}, CASE WHEN n_inliers >= 12 THEN {single('tilt_unc', 'panel_tilt_unc_deg').rpartition(' AS ')[0]} END AS panel_tilt_unc_deg, CASE WHEN n_inliers >= 12 THEN {single('azimuth_unc', 'panel_azimuth_unc_deg').rpartition(' AS ')[0]} END AS panel_azimuth_unc_deg, CAST(CASE WHEN two THEN 2 WHEN tilt IS NOT NULL THEN 1 ELSE 0 END AS INT) AS n_planes_detected,
+    {single('tilt2', 'secondary_tilt_deg')}, {single('azimuth2', 'secondary_azimuth_deg')}, {single('roof_tilt', 'roof_tilt_deg')}, {single('roof_azimuth', 'roof_azimuth_deg')}, {single('roof_rmse', 'roof_rmse_m')},
+    {single('ang', 'panel_roof_angle_deg')}, {single('har', 'height_above_roof_m')}, {single('hag', 'height_above_ground_m')}, on_b AS on_building, building_id, {single('area', 'area_m2')}, {single('asp', 'aspect_ratio')},
+    label AS mounting_type, {single('conf', 'mounting_confidence')}, rule AS mounting_rule, lidar_tile_ids, CAST(partition_id AS INT) AS partition_id, '{FULL_CONFIG.hash}' AS config_hash, '{VERSION}' AS pkg_version, 'sample' AS run_id,
+    concat_ws(',', CASE WHEN coalesce(n_total, 0) / area < 3 OR coalesce(n_total, 0) < 30 THEN 'low_density' END, CASE WHEN tilt IS NULL THEN 'poor_fit' WHEN azimuth IS NULL THEN 'near_horizontal' END,
+      CASE WHEN coalesce(abs(azimuth - azimuth2 - 360 * floor((azimuth - azimuth2) / 360) - 180) < 25 AND abs(tilt - tilt2) < 5, false) THEN 'east_west_rack' END,
+      CASE WHEN on_b AND NOT has_roof THEN 'roof_insufficient' WHEN on_b AND (roof_tilt IS NULL OR roof_rmse > 0.1::DOUBLE) THEN 'roof_complex' END,
+      CASE WHEN NOT on_b AND asp >= 4 AND hag < 2 AND coalesce(tilt, 0) < 35 THEN 'tracker_suspected' END) AS flags
+  FROM rows_"""
+    )
+
+
+FULL_CONFIG = Config.from_dict({"compute": {"tile_cell_size_m": scene.CELL}, "roof_plane": {"min_points": ROOF_POINTS}})
+
+
+@query(_full_sql())
 def full_row(spark, d):
-    config = Config.from_dict({"compute": {"tile_cell_size_m": scene.CELL}, "roof_plane": {"min_points": 40}})
-    return engine.build_rows(scene.points(spark, d), scene.polygons(spark, d).select("polygon_id", "rings"), scene.footprints(spark, d).select("building_id", "rings"), scene.tiles(spark, d).select("tile_id", "rings"), config, "sample")
+    """Every output column of the whole run, numbers rounded, lists joined, the geometry by its size. Deviations are told from 12
+    inliers on: resamples of fewer can be collinear, and their normals are then any engine's own."""
+    rows = engine.build_rows(
+        scene.points(spark, d), scene.polygons(spark, d).select("polygon_id", "rings"), scene.footprints(spark, d).select("building_id", "rings"), scene.tiles(spark, d).select("tile_id", "rings"), FULL_CONFIG, "sample"
+    )
+    told = {"flags": _joined("flags"), "lidar_tile_ids": _joined("lidar_tile_ids"), "n_planes_detected": F.col("n_planes_detected").cast("int"), "geometry_bytes": F.octet_length("geometry")}
+    rounded = {k: rnd(F.col(k).cast("double"), n) for k, n in ROUNDED.items()}
+    rounded |= {k: F.when(F.col("n_inliers_panel") >= 12, rounded[k]) for k in ("panel_tilt_unc_deg", "panel_azimuth_unc_deg")}
+    return rows.withColumns(told).select(*[(rounded[k] if k in rounded else F.col(k)).alias(k) for k in [*(c for c in rows.columns if c != "geometry"), "geometry_bytes"]])

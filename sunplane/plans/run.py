@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
 import logging
 import uuid
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sunplane.config import Config
 from sunplane.operators import assign, stats
+from sunplane.operators.mounting import Classifier
 from sunplane.plans import engine
 from sunplane.plans.ship import ship
 from sunplane.schema import OUTPUT, VERSION
@@ -35,11 +37,15 @@ class Inputs:
     tile_name: str = "Name"
 
 
-def read_points(spark: SparkSession, path: str) -> DataFrame:
+#: Tiles that a filter on the points names one by one; beyond, only the join with the groups leaves tiles out.
+MOST_NAMED_TILES = 10_000
+
+
+def read_points(spark: SparkSession, path: str, config: Config = Config()) -> DataFrame:
     """Parquet points are better laid out by tile, so that tiles without polygons aren't read."""
     if path.lower().rstrip("/").endswith((".parquet", ".pq")):
         return spark.read.parquet(path).select("tile_id", "x", "y", "z", "cls")
-    return las.read_las(spark, path, ignore_missing=True)
+    return las.read_las(spark, path, ignore_missing=True, crs=config.crs.target, lidar_reader=config.io.lidar_reader)
 
 
 def ingest(spark: SparkSession, las_path: str, table: str) -> None:
@@ -60,7 +66,7 @@ def manifest(config: Config, inputs: Inputs, run_id: str, counts: dict, figures:
     return {
         "pkg_version": VERSION,
         "config_hash": config.hash,
-        "config": config.__class__.__name__,
+        "config": dataclasses.asdict(config),
         "run_id": run_id,
         "inputs": inputs.__dict__,
         "cluster": {"master": spark.sparkContext.master, "spark_version": spark.version},
@@ -82,7 +88,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
-def run_pipeline(spark: SparkSession, config: Config, inputs: Inputs, output: str, *, bbox=None, max_polygons: int | None = None, resume: bool = True, dry_run: bool = False, run_id: str | None = None) -> dict:
+def run_pipeline(spark: SparkSession, config: Config, inputs: Inputs, output: str, *, bbox=None, max_polygons: int | None = None, resume: bool = True, dry_run: bool = False, run_id: str | None = None, classifier: Classifier | None = None) -> dict:
     """Writes `output`/rows (Parquet by partition_id, by the executors) and `output`/manifest.json; returns the manifest.
 
     A resumed run skips groups whose partition has rows; with other inputs, use another output. A dry run only
@@ -101,15 +107,17 @@ def run_pipeline(spark: SparkSession, config: Config, inputs: Inputs, output: st
         out = manifest(config, inputs, run_id, counts, {"dry_run": True}, touched, spark)
     else:
         todo = assign.pending(groups, existing(spark, output)) if resume else groups
-        points = read_points(spark, inputs.points)
-        rows = engine.build_rows(points, polygons, footprints, tiles, config, run_id, only=todo.select("partition_id"))
-        rows.write.mode("append" if resume else "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("partition_id").parquet(f"{output}/rows")
+        points = read_points(spark, inputs.points, config)
+        if len(touched) <= MOST_NAMED_TILES:
+            points = points.filter(F.col("tile_id").isin(touched))
+        survey = engine.survey(points, groups, config)
+        rows = engine.build_rows(points, polygons, footprints, tiles, config, run_id, only=todo.select("partition_id"), classifier=classifier, surveyed=survey)
+        rows.write.option("maxRecordsPerFile", config.output.partition_size).mode("append" if resume else "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("partition_id").parquet(f"{output}/rows")
         done = existing(spark, output)
         if config.output.also_write_csv:
             text = done.withColumns({"flags": F.array_join("flags", ";"), "lidar_tile_ids": F.array_join("lidar_tile_ids", ";"), "geometry": F.hex("geometry")})
             text.write.mode("overwrite").option("header", True).csv(f"{output}/csv")
-        available = points.select("tile_id").distinct()
-        counted = stats.run_counts(polygons, groups, done, groups.join(available, F.col("primary_tile_id") == F.col("tile_id"), "left_anti")).first()
+        counted = stats.run_counts(polygons, groups, done, groups.join(survey.select("tile_id"), F.col("primary_tile_id") == F.col("tile_id"), "left_anti")).first()
         out = manifest(config, inputs, run_id, counted.asDict(), stats.run_stats(done), touched, spark)
     groups.unpersist()
     write_text(spark, f"{output}/manifest.json", json.dumps(out, indent=1, sort_keys=True, default=str))

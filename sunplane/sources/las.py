@@ -1,10 +1,12 @@
-"""The `las` data source: uncompressed LAS 1.0 to 1.4 files as rows (tile_id, x, y, z, cls), one partition for each
+"""The `las` data source: LAS 1.0 to 1.4 files (LAZ ones through laspy, where it is installed) as rows (tile_id, x, y, z, cls), one partition for each
 million points of a file, decoded in Arrow batches on the executors."""
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,10 +17,16 @@ from sunplane.sources.files import list_files, open_file
 
 SCHEMA = "tile_id string, x double, y double, z double, cls smallint"
 POINTS_PER_PARTITION, POINTS_PER_BATCH = 1_000_000, 100_000
+#: Headers that the driver reads at once.
+HEADERS_AT_ONCE = 32
 
 
 class CompressedPoints(ValueError):
-    """The file's points are LAZ-compressed, which needs a decoder that isn't here."""
+    """The file's points are LAZ-compressed, and laspy with a LAZ backend isn't installed or not wanted."""
+
+
+class WrongReference(ValueError):
+    """The file's reference system isn't the one that is asked for."""
 
 
 @dataclass(frozen=True)
@@ -67,8 +75,33 @@ def read_header(uri: str) -> Header:
     return Header(f"{h[24]}.{h[25]}", form & 0x3F, length, count, start, numbers[:3], numbers[3:6], (m[1], m[3], m[5]), (m[0], m[2], m[4]), crs, bool(form & 0xC0))
 
 
+def check_reference(header: Header, wanted: str, uri: str) -> None:
+    """Raises if the header names EPSG codes and the wanted one isn't among them. WKT without codes passes."""
+    codes = re.findall(r"EPSG:(\d+)", header.crs or "", re.I) or re.findall(r'(?:AUTHORITY|ID)\[\s*"EPSG"\s*,\s*"?(\d+)', header.crs or "")
+    if codes and wanted.upper().startswith("EPSG:") and wanted[5:] not in codes:
+        raise WrongReference(f"{uri} is in EPSG:{codes[-1]}, not in {wanted}")
+
+
+def _laz_points(uri: str, first: int, n: int) -> Iterator[dict[str, np.ndarray]]:
+    try:
+        import laspy
+    except ImportError as e:
+        raise CompressedPoints(f"{uri} is LAZ-compressed; install laspy with a LAZ backend, or convert it to LAS or Parquet") from e
+    with open_file(uri) as f, laspy.open(f) as points:
+        points.seek(first)
+        while n > 0:
+            rows = points.read_points(min(n, POINTS_PER_BATCH))
+            if not len(rows):
+                raise ValueError(f"{uri} ends before its last point")
+            n -= len(rows)
+            yield {k: np.asarray(getattr(rows, k), float) for k in "xyz"} | {"cls": np.asarray(rows.classification).astype(np.int16)}
+
+
 def read_points(uri: str, first: int, n: int, header: Header) -> Iterator[dict[str, np.ndarray]]:
     """x, y, z and class of points first to first + n, some at a time."""
+    if header.compressed:
+        yield from _laz_points(uri, first, n)
+        return
     kind = np.dtype({"names": ["X", "Y", "Z", "c"], "formats": ["<i4", "<i4", "<i4", "u1"], "offsets": [0, 4, 8, 16 if header.point_format >= 6 else 15], "itemsize": header.record_length})
     with open_file(uri) as f:
         f.seek(header.data_offset + first * header.record_length)
@@ -82,6 +115,10 @@ def read_points(uri: str, first: int, n: int, header: Header) -> Iterator[dict[s
             yield {k: rows[k.upper()] * header.scale[j] + header.offset[j] for j, k in enumerate("xyz")} | {"cls": cls.astype(np.int16)}
 
 
+def tile_of(uri: str) -> str:
+    return uri.rpartition("/")[2].rpartition(".")[0]
+
+
 @dataclass
 class Part(InputPartition):
     uri: str
@@ -96,11 +133,16 @@ class Part(InputPartition):
 class LasReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.missing_ok = options["path"], options.get("ignoreMissingFiles", "false").lower() == "true"
+        self.reference, self.laz = options.get("crs", ""), options.get("lidarReader", "laspy") == "laspy"
         self.classes: list[int] | None = None
+        self.tiles: set[str] | None = None
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("cls",):
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("tile_id",):
+                tiles = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.tiles = tiles if self.tiles is None else self.tiles & tiles
+            elif isinstance(f, EqualTo) and f.attribute == ("cls",):
                 self._keep([f.value])
             elif isinstance(f, In) and f.attribute == ("cls",):
                 self._keep(list(f.value))
@@ -111,18 +153,21 @@ class LasReader(DataSourceReader):
         self.classes = classes if self.classes is None else [c for c in self.classes if c in classes]
 
     def partitions(self) -> list[Part]:
-        out = []
+        files = []
         for path in self.path.split(","):
             try:
-                files = list_files(path.strip(), (".las", ".laz"))
+                files += [f for f in list_files(path.strip(), (".las", ".laz")) if self.tiles is None or tile_of(f) in self.tiles]
             except FileNotFoundError:
                 if self.missing_ok:
                     continue
                 raise
-            for uri in files:
-                h = read_header(uri)
-                if h.compressed:
-                    raise CompressedPoints(f"{uri} is LAZ-compressed; convert it to LAS or Parquet first")
+        out = []
+        with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:  # 400 bytes a file, of the wanted tiles only
+            for uri, h in zip(files, pool.map(read_header, files)):
+                if h.compressed and not self.laz:
+                    raise CompressedPoints(f"{uri} is LAZ-compressed; set lidar_reader to laspy, or convert it to LAS or Parquet")
+                if self.reference:
+                    check_reference(h, self.reference, uri)
                 out += [Part(uri, k, min(POINTS_PER_PARTITION, h.n_points - k), h) for k in range(0, h.n_points, POINTS_PER_PARTITION)]
         return out
 
@@ -131,7 +176,7 @@ class LasReader(DataSourceReader):
 
         if part is None:  # no file at all
             return
-        name = part.uri.rpartition("/")[2].rpartition(".")[0]
+        name = tile_of(part.uri)
         for p in read_points(part.uri, part.first, part.n, part.header):
             keep = np.isin(p["cls"], self.classes) if self.classes is not None else np.ones(len(p["cls"]), bool)
             yield pa.RecordBatch.from_arrays([pa.array([name] * int(keep.sum()), pa.string()), *[pa.array(p[k][keep]) for k in ("x", "y", "z", "cls")]], ["tile_id", "x", "y", "z", "cls"])
@@ -149,8 +194,10 @@ class LasSource(DataSource):
         return LasReader(self.options)
 
 
-def read_las(spark: SparkSession, path: str, ignore_missing: bool = False) -> DataFrame:
-    """Points of a LAS file, or of all in a folder; tile_id is the file's name without suffix. Filters on cls reach the reader."""
+def read_las(spark: SparkSession, path: str, ignore_missing: bool = False, crs: str = "", lidar_reader: str = "laspy") -> DataFrame:
+    """Points of a LAS file, or of all in a folder; tile_id is the file's name without suffix. Filters on tile_id and cls
+    reach the reader, so files of other tiles aren't opened. crs: the EPSG code that files must not contradict.
+    lidar_reader laspy also reads LAZ where laspy is installed."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(LasSource)
-    return spark.read.format("las").option("ignoreMissingFiles", str(ignore_missing).lower()).load(path)
+    return spark.read.format("las").options(ignoreMissingFiles=str(ignore_missing).lower(), crs=crs, lidarReader=lidar_reader).load(path)

@@ -264,11 +264,12 @@ def _boxed(df: DataFrame, bbox: tuple[float, float, float, float] | None) -> Dat
 
 def read_polygons(spark: SparkSession, uri: str, target_crs: str | None = None, *, explode_multipolygons: bool = True, bbox=None, max_polygons: int | None = None, order: list[str] | None = None) -> DataFrame:
     """polygon_id, parent_polygon_id, rings, geometry and the other columns. The box is tested before multi-part polygons
-    are taken apart, the number limited after, in the order of `order` (by default polygon_id)."""
+    are taken apart, the number limited after, in the order of `order` (by default polygon_id). Rows that share an id count their
+    parts in the order of `order` and then of the geometry's bytes."""
     rows = names.with_polygon_id(read_vector(spark, uri))
     rows = _boxed(with_parts(rows, crs_of(uri) if target_crs else None, target_crs), bbox)
     if explode_multipolygons:
-        rows = assign.explode_parts(rows, "parts", (order or ["polygon_id"])[0]).drop("_pos", "parts", "geometry")
+        rows = assign.explode_parts(rows, "parts", [*(order or []), "geometry"]).drop("_pos", "parts", "geometry")
     else:
         rows = rows.withColumns({"parent_polygon_id": F.col("polygon_id"), "rings": F.flatten("parts")}).drop("parts", "geometry")
     rows = rows.withColumn("geometry", wkb_of(F.col("rings")))

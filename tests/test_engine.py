@@ -137,6 +137,70 @@ def test_whole_row(spark):
     assert {k: v for k, v in r.asDict().items() if k != "config_hash"} == again.asDict()
 
 
+def scans(df):
+    """The file scans of the plan as it is built, before adaptive execution reuses any."""
+    return df._jdf.queryExecution().sparkPlan().toString().count("FileScan parquet")
+
+
+def test_points_are_read_twice_and_only_where_they_are_fetched(spark, tmp_path):
+    points, polygons, buildings, tiles = made_scene(spark)
+    far = points.withColumns({"tile_id": F.concat(F.lit("far"), (F.col("x") / 10).cast("int")), "x": F.col("x") + 1000})
+    path = str(tmp_path / "points")
+    points.unionByName(far).write.partitionBy("tile_id").parquet(path)
+    table = spark.read.parquet(path)
+    surveyed = []
+    find = pt.survey_tiles
+    pt.survey_tiles = lambda *a: surveyed.append(find(*a)) or surveyed[-1]
+    try:
+        rows = engine.build_rows(table, polygons, buildings, tiles, Config.from_dict({"compute": {"tile_cell_size_m": 100.0}}), "run")
+    finally:
+        pt.survey_tiles = find
+    of_points = lambda df: [p for p in df._jdf.queryExecution().sparkPlan().toString().split("\n") if "FileScan parquet" in p and path in p]
+    assert len(surveyed) == 1 and len(of_points(surveyed[0])) == 1 and len(of_points(rows)) == 1
+    assert all("dynamicpruning" in p for df in (surveyed[0], rows) for p in of_points(df))
+    assert rows.first()["n_points_panel"] > 500
+
+
+def test_a_classifier_of_the_callers(spark):
+    class Always:
+        def classify(self, features):
+            return F.struct(F.lit("carport").alias("label"), F.lit(0.75).alias("confidence"), F.lit("own").alias("rule"))
+
+    points, polygons, buildings, tiles = made_scene(spark)
+    r = engine.build_rows(points, polygons, buildings, tiles, Config.from_dict({"compute": {"tile_cell_size_m": 100.0}}), "run", classifier=Always()).first()
+    assert (r["mounting_type"], r["mounting_confidence"], r["mounting_rule"]) == ("carport", 0.75, "own")
+
+
+def test_configured_classes(spark):
+    points, polygons, buildings, tiles = made_scene(spark)
+    other = points.withColumn("cls", F.when(F.col("cls") == 6, 17).when(F.col("cls") == 2, 9).otherwise(F.col("cls")))
+    classes = {"panel_class_primary": 17, "ground_class": 9}
+    config = {"compute": {"tile_cell_size_m": 100.0}}
+    want = engine.build_rows(points, polygons, buildings, tiles, Config.from_dict(config), "run").drop("config_hash").first()
+    got = engine.build_rows(other, polygons, buildings, tiles, Config.from_dict(config | {"io": {"classification": classes}}), "run").drop("config_hash").first()
+    assert got == want
+    fallback = points.withColumn("cls", F.when(F.col("cls") == 6, 5).otherwise(F.col("cls")))
+    low = engine.build_rows(fallback, polygons, buildings, tiles, Config.from_dict(config | {"io": {"classification": {"panel_class_fallback": 5}}}), "run").drop("config_hash").first()
+    assert low["n_points_panel"] == want["n_points_panel"]
+
+
+def test_kernels_in_chunks(monkeypatch):
+    rng = np.random.default_rng(2)
+    turn = np.linspace(0, 2 * np.pi, 41)
+    ring = np.stack([np.cos(turn), np.sin(turn)], axis=1) * (1 + 0.3 * np.cos(5 * turn))[:, None]
+    edges = np.concatenate([ring[:-1], ring[1:]], axis=1)
+    x, y = rng.uniform(-1.5, 1.5, (2, 5000))
+    whole = kernels.contains(edges, x, y), kernels.boundary_distance(edges, x, y)
+    monkeypatch.setattr(kernels, "PAIRS_AT_ONCE", 100)
+    assert (kernels.contains(edges, x, y) == whole[0]).all() and (kernels.boundary_distance(edges, x, y) == whole[1]).all()
+
+
+def test_broadcast_is_bounded_by_rows_and_bytes(spark):
+    df = spark.range(10).select("id", F.array_repeat(F.struct(F.lit(1.0).alias("a"), F.lit(2.0).alias("b")), 100).alias("edges"), F.array(F.array(F.struct(F.lit(1.0).alias("a")))).alias("nested"))
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(pt.small(df)) and not hinted(pt.small(df, 9)) and not hinted(pt.small(df, 10, 20_000)) and hinted(pt.small(df, 10, 100_000))
+
+
 def test_polygons_without_points_and_missing_tiles(spark):
     points, polygons, buildings, tiles = made_scene(spark)
     config = Config.from_dict({"compute": {"tile_cell_size_m": 100.0}})
@@ -157,6 +221,26 @@ def test_statistics(spark):
     assert h == {0: 2, 1: 2}
 
 
+def test_a_configuration_file_with_every_section(tmp_path):
+    text = {
+        "crs": {"target": "EPSG:6341"},
+        "panel_plane": {"erosion_m": 0.15, "min_density_pts_per_m2": 3, "uncertainty_method": "bootstrap"},
+        "mounting_rules": {"R1": {"panel_roof_angle_deg_max": 6.0}, "R4": {"tilt_deg_max": 30.0}, "confidence_margin": 0.4},
+        "io": {"lidar_reader": "laspy", "s3": {"requester_pays": False, "region": "us-east-2"}, "classification": {"panel_class_primary": 6, "fallback_height_above_ground_m": 1.5}},
+        "compute": {"backend": "local", "elsewhere": {"n_workers": 40, "worker_memory": "8GiB"}, "local": {"n_workers": 3, "threads_per_worker": 2}},
+        "output": {"partition_size": 100000, "write_geoparquet": True},
+    }
+    (tmp_path / "c.json").write_text(json.dumps(text))
+    c = Config.from_file(str(tmp_path / "c.json"))
+    t = c.mounting_rules.thresholds
+    assert (t.flush_angle, t.tracker_tilt, t.margin, t.carport_height) == (6.0, 30.0, 0.4, 2.0)
+    assert c.compute.spark_master == "local[6]" and c.compute.other["elsewhere"]["n_workers"] == 40
+    assert Config().mounting_rules.thresholds == type(t)()
+    for bad in ({"io": {"lidar_reader": "pdal"}}, {"compute": {"backend": "elsewhere"}}, {"compute": {"masters": "x"}}, {"mounting_rules": {"R9": {}}}):
+        with pytest.raises(ValueError):
+            Config.from_dict(bad)
+
+
 def test_configuration(tmp_path):
     assert Config().hash == Config.from_dict({}).hash != Config.from_dict({"panel_plane": {"max_iter": 10}}).hash
     for bad in ({"panel_plane": {"max_itr": 1}}, {"nope": 1}, {"panel_plane": {"max_iter": "x"}}, {"panel_plane": {"uncertainty_method": "none"}}, {"multi_plane": {"enabled": 1}}):

@@ -1,8 +1,11 @@
 """Files written here and read back: LAS, GeoJSON, GeoPackage, shapefiles, Parquet; whole runs from files."""
 
+import dataclasses
 import json
 import sqlite3
 import struct
+import sys
+import types
 import zipfile
 
 import numpy as np
@@ -73,6 +76,52 @@ def test_las_errors(spark, tmp_path):
         las.read_las(spark, str(tmp_path / "missing.las")).count()
 
 
+def test_files_of_other_tiles_are_not_opened(spark, tmp_path):
+    write_las(tmp_path / "a.las", [(100.0, 200.0, 0.0, 2)])
+    (tmp_path / "broken.las").write_bytes(b"text")
+    df = las.read_las(spark, str(tmp_path))
+    assert df.filter("tile_id = 'a'").count() == 1 and df.filter(F.col("tile_id").isin("a", "none")).count() == 1
+    with pytest.raises(Exception, match="isn't a LAS file"):
+        df.count()
+
+
+def test_reference_systems_of_points(spark, tmp_path):
+    write_las(tmp_path / "a.las", [(100.0, 200.0, 0.0, 2)], wkt=b'COMPD_CS["x",PROJCS["y",AUTHORITY["EPSG","6341"]],VERT_CS["z",AUTHORITY["EPSG","5703"]]]')
+    assert las.read_las(spark, str(tmp_path), crs="EPSG:6341").count() == 1
+    with pytest.raises(Exception, match="not in EPSG:26912"):
+        las.read_las(spark, str(tmp_path), crs="EPSG:26912").count()
+
+
+def test_compressed_points_through_an_installed_decoder(tmp_path, monkeypatch):
+    class Rows:
+        x, y, z, classification = [1.0, 2.0], [3.0, 4.0], [5.0, 6.0], [2, 6]
+
+        def __len__(self):
+            return 2
+
+    class Points:
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return None
+
+        def seek(self, n):
+            self.at = n
+
+        def read_points(self, n):
+            return Rows()
+
+    write_las(tmp_path / "z.laz", [(100.0, 200.0, 0.0, 2)])
+    header = dataclasses.replace(las.read_header(str(tmp_path / "z.laz")), compressed=True, n_points=4)
+    monkeypatch.setitem(sys.modules, "laspy", types.SimpleNamespace(open=lambda f: Points()))
+    got = list(las.read_points(str(tmp_path / "z.laz"), 0, 4, header))
+    assert len(got) == 2 and got[0]["cls"].tolist() == [2, 6] and got[1]["z"].tolist() == [5.0, 6.0]
+    monkeypatch.setitem(sys.modules, "laspy", None)
+    with pytest.raises(las.CompressedPoints):
+        list(las.read_points(str(tmp_path / "z.laz"), 0, 4, header))
+
+
 def geojson(path, rows, crs="EPSG:6341"):
     features = [{"type": "Feature", "properties": p, "geometry": {"type": "MultiPolygon", "coordinates": parts} if parts else None} for p, parts in rows]
     path.write_text(json.dumps({"type": "FeatureCollection", "crs": {"properties": {"name": f"urn:ogc:def:crs:{crs.replace(':', '::')}"}}, "features": features}))
