@@ -89,11 +89,64 @@ def _label(tag: str, attributes: str, in_main: bool) -> tuple[str, bool]:
     return tag + "".join("." + re.sub(r"\d+", "", n) for n in sorted(set(names))), outside
 
 
-class Page:
-    """A parsed page. Of each element token (0 is the page itself): id, tag, the token around it, depth, occurrences, and
-    whether it is in an article or main element, in the page's header, outside the article. `pieces` are (token, text or
-    None where a block ends, outside, in a link) in page order; `blocks` are (token, text hash, words, is a menu's, the
-    slice of pieces) of the blocks that aren't outside."""
+class Shape:
+    """What the template needs of a page. Of each element token (0 is the page itself): id, the token around it, occurrences,
+    whether it is in the page's header, and outside the article; of each block that isn't outside, in page order, the facts
+    (token, text hash, words, whether it is a menu's)."""
+
+    ids: list[int]
+    up: list[int]
+    n: list[int]
+    header: list[bool]
+    outside: list[bool]
+    facts: list[tuple[int, int, int, bool]]
+
+    def texts(self) -> Counter:
+        """Occurrences of each text token (id of its element, text hash)."""
+        return Counter((self.ids[at], text) for at, text, _, _ in self.facts)
+
+    def instances(self, frame: dict[int, int]) -> dict[tuple[int, int], list[int]]:
+        """The page's instances of the template's classes, (class, hash of the order of its frame), with their elements in
+        page order. frame: the class of each frame element's id."""
+        found: dict[int, list[int]] = {}
+        for at, k in enumerate(self.ids):
+            if k in frame and self.n[at] == 1:
+                found.setdefault(frame[k], []).append(at)
+        return {(c, _hash(" ".join(str(self.ids[at]) for at in places))): places for c, places in found.items()}
+
+    def data(self, template: set[tuple[int, int]], alike: bool) -> list[bool]:
+        """Of each block whether it is data: no menu and no template text; on hosts of copies all but the header's."""
+        return [not menu and (not self.header[at] if alike else (self.ids[at], text) not in template) for at, text, _, menu in self.facts]
+
+    def under(self, core: int) -> list[bool]:
+        """Of each token whether it is in the token `core`, or is it."""
+        out = [False] * len(self.ids)
+        for at in range(len(out)):
+            out[at] = at == core or (at > 0 and out[self.up[at]])
+        return out
+
+    def row(self) -> dict:
+        at, text, words, menu = zip(*self.facts) if self.facts else ((), (), (), ())
+        return {"ids": self.ids, "up": self.up, "n": self.n, "header": self.header, "at": at, "text": text, "words": words, "menu": menu}
+
+    @classmethod
+    def of(cls, row: dict) -> Shape:
+        out = cls()
+        out.ids, out.up, out.n, out.header, out.outside = row["ids"], row["up"], row["n"], row["header"], []
+        out.facts = list(zip(row["at"], row["text"], row["words"], row["menu"]))
+        return out
+
+    def depths(self) -> list[int]:
+        out = [0] * len(self.ids)
+        for at in range(1, len(out)):
+            out[at] = out[self.up[at]] + 1
+        return out
+
+
+class Page(Shape):
+    """A parsed page: also the tag and depth of each element token, and whether it is in an article or main element. `pieces`
+    are (token, text or None where a block ends, outside, in a link) in page order; `blocks` are the slices of pieces
+    of the blocks that facts tells of."""
 
     def __init__(self, source: str):
         self.ids, self.tags, self.up, self.depth, self.n = [0], [""], [0], [0], [1]
@@ -101,7 +154,7 @@ class Page:
         self.pieces: list[tuple[int, str | None, bool, bool]] = []
         self._known: dict[tuple[int, str], int] = {}
         self._parse(source)
-        self.blocks: list[tuple[int, int, int, bool, int, int]] = []
+        self.facts, self.blocks = [], []
         begin = 0
         for k in range(len(self.pieces) + 1):
             if k == len(self.pieces) or self.pieces[k][1] is None:
@@ -116,7 +169,8 @@ class Page:
                 words += found
                 linked += len(found) * link
         if words:
-            self.blocks.append((self.pieces[a][0], _hash(" ".join(words)), len(words), linked > MOST_LINKS * len(words), a, b))
+            self.facts.append((self.pieces[a][0], _hash(" ".join(words)), len(words), linked > MOST_LINKS * len(words)))
+            self.blocks.append((a, b))
 
     def _open(self, tag: str, label: str, around: Node, outside: bool) -> int:
         at = self._known.get((around.at, label))
@@ -176,31 +230,6 @@ class Page:
             token = top.at if tag in INLINE else self._open(tag, label, top, outside)
             stack.append(Node(tag, token, outside, top.link or tag == "a", top.main or tag in MAIN_TAGS))
 
-    def texts(self) -> Counter:
-        """Occurrences of each text token (id of its element, text hash)."""
-        return Counter((self.ids[at], text) for at, text, *_ in self.blocks)
-
-    def instances(self, frame: dict[int, int]) -> dict[tuple[int, int], list[int]]:
-        """The page's instances of the template's classes, (class, hash of the order of its frame), with their elements in
-        page order. frame: the class of each frame element's id."""
-        found: dict[int, list[int]] = {}
-        for at, k in enumerate(self.ids):
-            if k in frame and self.n[at] == 1:
-                found.setdefault(frame[k], []).append(at)
-        return {(c, _hash(" ".join(str(self.ids[at]) for at in places))): places for c, places in found.items()}
-
-    def data(self, template: set[tuple[int, int]], alike: bool) -> list[bool]:
-        """Of each block whether it is data: no menu and no template text; on hosts of copies all but the header's."""
-        return [not menu and (not self.header[at] if alike else (self.ids[at], text) not in template) for at, text, _, menu, _, _ in self.blocks]
-
-    def under(self, core: int) -> list[bool]:
-        """Of each token whether it is in the token `core`, or is it."""
-        out = [False] * len(self.ids)
-        for at in range(len(out)):
-            out[at] = at == core or (at > 0 and out[self.up[at]])
-        return out
-
-
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
@@ -211,7 +240,9 @@ def host_of(url: str | None) -> str:
 
 
 _TOKENS = pa.list_(pa.struct([("id", pa.int64()), ("text", pa.int64()), ("n", pa.int32())]))
-_SHAPES = {"host": pa.string(), "page": pa.int64(), "tokens": _TOKENS}
+_LONGS, _INTS, _BOOLS = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_())
+_SHAPE = {"ids": _LONGS, "up": _INTS, "n": _INTS, "header": _BOOLS, "at": _INTS, "text": _LONGS, "words": _INTS, "menu": _BOOLS}
+_SHAPES = {"host": pa.string(), "page": pa.int64(), "tokens": _TOKENS} | _SHAPE
 
 
 def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -224,13 +255,13 @@ def _ddl(types: dict[str, pa.DataType]) -> str:
 
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page a row: host, page, tokens that aren't outside with their occurrences (text 0: an element)."""
+    """Of each page a row: host, page, tokens that aren't outside with their occurrences (text 0: an element), its shape."""
     for batch in batches:
         rows = []
         for number, url, source in zip(*[batch.column(k).to_pylist() for k in ("page", "url", "html")]):
             page = Page(source or "")
             tokens = [(k, 0, n) for k, n, outside in zip(page.ids, page.n, page.outside) if not outside]
-            rows.append((host_of(url), number, [{"id": k, "text": t, "n": n} for k, t, n in tokens + [(*key, n) for key, n in page.texts().items()]]))
+            rows.append((host_of(url), number, [{"id": k, "text": t, "n": n} for k, t, n in tokens + [(*key, n) for key, n in page.texts().items()]], *page.row().values()))
         yield _batch(rows, _SHAPES)
 
 
@@ -265,11 +296,10 @@ def occurrence_hashes() -> tuple[Column, Column]:
     return F.xxhash64("page", "n"), F.xxhash64("n", "page", F.lit(1))
 
 
-def deduce_templates(rows: DataFrame) -> DataFrame:
-    """For each host of rows (page, url, html, host) its number of pages and its template (see template_of). Occurrence vectors are
+def deduce_templates(shapes: DataFrame) -> DataFrame:
+    """For each host of the pages' shapes its number of pages and its template (see template_of). Occurrence vectors are
     compared by sums over pages of four 32-bit hashes of page and occurrences, so a host with any share of all
     pages is counted on the map side; only tokens with support are gathered for a host."""
-    shapes = staged(rows.mapInArrow(_shapes, _ddl(_SHAPES)), "page-tokens")
     sizes = shapes.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     each = shapes.select("host", "page", F.explode("tokens").alias("t")).select("host", "page", "t.id", "t.text", "t.n")
     low, high = (lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))), (lambda h: F.shiftrightunsigned(h, 32))
@@ -295,17 +325,17 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for row in batch.to_pylist():
-            page, (frame, template) = Page(row["html"] or ""), _template(row)
-            instances = page.instances(frame)
-            prose = sum(words for _, _, words, menu, _, _ in page.blocks if not menu)
+            page, (frame, template) = Shape.of(row), _template(row)
+            instances, depth = page.instances(frame), page.depths()
+            prose = sum(words for _, _, words, menu in page.facts if not menu)
             for alike in (0, 1):
                 under = [0] * len(page.ids)
-                for (at, _, words, *_), data in zip(page.blocks, page.data(template, bool(alike))):
+                for (at, _, words, _), data in zip(page.facts, page.data(template, bool(alike))):
                     under[at] += words * data
                 for at in range(len(under) - 1, 0, -1):
                     under[page.up[at]] += under[at]
                 for (c, instance), places in instances.items() if under[0] else ():
-                    out += [(row["host"], alike, under[0], prose, c, instance, page.ids[at], page.depth[at], under[at]) for at in places if under[at]]
+                    out += [(row["host"], alike, under[0], prose, c, instance, page.ids[at], depth[at], under[at]) for at in places if under[at]]
                 if not under[0]:
                     out.append((row["host"], alike, 0, prose, None, None, 0, 0, 0))
         if out:
@@ -314,7 +344,7 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def choose_elements(joined: DataFrame, templates: DataFrame) -> DataFrame:
     """For each host: alike (1: its pages are copies), and for each frequent instance of a class its core and its whole, the ids of the deepest elements that
-    hold CORE_SHARE and all of the instance's data, with their depths. `joined`: pages with their host's template."""
+    hold CORE_SHARE and all of the instance's data, with their depths. `joined`: pages' shapes with their host's template."""
     told = staged(
         joined.mapInArrow(_shares, _ddl(_SHARES)).groupBy("host", "alike", "class", "instance", "id", "depth").agg(F.count(F.lit(1)).alias("pages"), F.sum("under").alias("under"), F.sum("data").alias("data"), F.sum("prose").alias("prose")), "shares"
     )
@@ -348,8 +378,8 @@ def page_text(page: Page, frame: dict[int, int], template: set[tuple[int, int]],
         around = [page.under(at) for _, at in sorted(wholes, reverse=True)]
         around = next((u for u in around if u[core]), inside)
         named = page.main[core]
-        first = next((k for k, b in enumerate(page.blocks) if inside[b[0]]), len(page.blocks))
-        top = next((k for k, b in enumerate(page.blocks[:first]) if around[b[0]] and data[k] and page.tags[b[0]] == "h1"), first)
+        first = next((k for k, b in enumerate(page.facts) if inside[b[0]]), len(page.facts))
+        top = next((k for k, b in enumerate(page.facts[:first]) if around[b[0]] and data[k] and page.tags[b[0]] == "h1"), first)
 
         def wanted(k: int, at: int, menu: bool) -> bool:
             prose = page.tags[at] in PROSE_TAGS
@@ -357,14 +387,14 @@ def page_text(page: Page, frame: dict[int, int], template: set[tuple[int, int]],
                 return named or data[k] or (prose and menu and page.tags[core] not in PAGE_TAGS)
             return around[at] and data[k] and (prose or page.main[at] or top <= k < first)
 
-        if text := _joined(page, [wanted(k, b[0], b[3]) for k, b in enumerate(page.blocks)]):
+        if text := _joined(page, [wanted(k, b[0], b[3]) for k, b in enumerate(page.facts)]):
             return text
-    return _joined(page, [page.main[b[0]] for b in page.blocks]) or _joined(page, [alike or d for d in data]) or _joined(page, [True] * len(data))
+    return _joined(page, [page.main[b[0]] for b in page.facts]) or _joined(page, [alike or d for d in data]) or _joined(page, [True] * len(data))
 
 
 def _joined(page: Page, wanted: list[bool]) -> str:
     out = []
-    for want, (_, _, _, _, a, b) in zip(wanted, page.blocks):
+    for want, (a, b) in zip(wanted, page.blocks):
         if want:
             out += "".join(text for _, text, outside, _ in page.pieces[a:b] if not outside).split()
     return " ".join(out)
@@ -392,9 +422,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     host = F.coalesce(F.lower(F.regexp_extract(url_col, r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = in_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("_host"))
     numbered = rows.select(F.xxhash64("url", "html").alias("page"), "url", "html")
-    templates = staged(deduce_templates(numbered), "templates")
+    shapes = staged(numbered.mapInArrow(_shapes, _ddl(_SHAPES)), "page-shapes")
+    templates = staged(deduce_templates(shapes), "templates")
+    roles = staged(choose_elements(shapes.drop("page", "tokens").join(templates.drop("host_pages"), "host"), templates), "roles").withColumnRenamed("host", "_role_host")
     joined = rows.join(templates.drop("host_pages"), F.col("_host") == F.col("host"), "left")
-    roles = staged(choose_elements(joined.select("host", "html", "frame", "classes", "owners", "texts"), templates), "roles").withColumnRenamed("host", "_role_host")
     filled = joined.join(roles, F.col("_host") == F.col("_role_host"), "left").select("id", "url", "html", "frame", "classes", "owners", "texts", "alike", "roles")
     id_type = to_arrow_schema(rows.select("id").schema).field(0).type
     kind = pages.schema[id_col].dataType.simpleString()
