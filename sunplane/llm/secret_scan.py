@@ -1,12 +1,17 @@
-"""Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio; no Python on the rows."""
+"""Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio; no Python on the rows.
+
+The model of ordinary identifiers is trained on words of a tokenizer's vocabulary, whose path is a parameter."""
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sunplane.functions.angles import let
+
 # The base patterns.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -21,31 +26,25 @@ RUN_LEAST = 20
 #: LEAST_TOTAL, and over LEAST_STEP for each step of it. Parts are told apart by a loss of LEAST_TOTAL.
 LEAST_TOTAL, LEAST_STEP, PART_LEAST = 12.0, 0.5, 12
 
-#: Ordinary words that the samples of identifiers are joined from.
-WORDS = (
-    "account action active address admin after agent alert array async attribute author average backup balance batch before binary block border "
-    "branch bucket buffer builder button cache callback cancel category channel check child class client cluster code collection color column "
-    "command comment common compare component config connection content context controller convert count create current customer data database "
-    "date default delete depth device dialog directory display document domain driver editor element email empty enable encode engine entry error "
-    "event exception execute export factory field file filter first float folder format frame function gateway generate global graph group handler "
-    "hash header height helper history host image import index info init input insert instance integer interface internal invoice item iterator "
-    "job join key label language last layer layout length level library limit line link list listener load local location lock log login manager "
-    "map mask master match matrix max memory menu merge message method metric min mode model module monitor month name network node notify null "
-    "number object offset open operator option order output owner package page panel param parent parse partition path pattern payment percent "
-    "permission person phone pixel player plugin point policy pool position prefix preview price print private process product profile project "
-    "property provider proxy public query queue random range read record reference refresh region register release remote remove render replace "
-    "report request reset resource response result return review role root route rule sample scale schedule schema scope score screen script "
-    "search section select sender sequence server service session setting shape share signal size sort source space start state static status "
-    "storage store stream string style subject submit suffix summary switch symbol system table target task template test text theme thread time "
-    "title tool total track transaction transform trigger type unique unit update upload user util valid value vector version view visible "
-    "widget width window worker wrapper write year zone the and that this with from have which would there their about other into than"
-).split()
-
-
-def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
+#: Words of a vocabulary that the samples of identifiers are joined from, and how long these are.
+N_WORDS, WORD_LENGTHS = 6000, (3, 12)
+
+
+def ordinary_words(path: str) -> list[str]:
+    """N_WORDS whole lower-case words of a tokenizer's vocabulary (a tokenizers file whose word ends are marked </w>),
+    evenly spread over all such words by order."""
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    least, most = WORD_LENGTHS
+    words = sorted(w[:-4] for w in vocabulary if w.endswith("</w>") and least <= len(w) - 4 <= most and w[:-4].isascii() and w[:-4].isalpha())
+    return [words[k * len(words) // N_WORDS] for k in range(N_WORDS)] if len(words) > N_WORDS else words
+
+
+def labelled_samples(spark: SparkSession, words: list[str], n: int = 4000) -> DataFrame:
     """2 * n labelled strings, made by a rule: random ones in base64, hex and mixed letters and digits, and
-    identifiers in the usual spellings."""
-    word = lambda k: F.element_at(F.lit(WORDS), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(WORDS))) + 1).cast("int"))
+    identifiers in the usual spellings, joined from the words."""
+    every = F.split(F.lit(" ".join(words)), " ")
+    word = lambda k: F.element_at(every, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(words))) + 1).cast("int"))
     cap = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 99))
     digest = lambda k: F.unhex(F.sha2(F.concat_ws(":", "id", F.lit(k)), 256))
     b64 = F.base64(digest("b"))
@@ -107,20 +106,41 @@ def random_parts(run: Column, model: list[float]) -> Column:
     return F.aggregate(ratios, first, step, lambda acc: F.when(whole(acc), F.array(F.struct(F.lit(0).alias("start"), (acc["at"] - 1).alias("end")))).otherwise(acc["out"]))
 
 
+def running(values: Column) -> Column:
+    """For each whole number of an array the sum of those before it. Sums are made in blocks of about the root of the
+    length and the blocks' sums then added, so that n appends cost n to the 1.5, not n squared."""
+
+    def sums(numbers: Column) -> Column:
+        none = F.array().cast("array<int>")
+        return F.aggregate(numbers, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, v: F.struct((acc["at"] + v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def blocked(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v["of"]))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v["of"]) - 1) / size).cast("int")), lambda b: sums(F.slice(v["of"], b * size + 1, size)))
+
+    def joined(v: Column) -> Column:
+        before = sums(F.transform(v["blocks"], lambda b: b["at"]))["out"]
+        return F.flatten(F.zip_with(v["blocks"], before, lambda b, at: F.transform(b["out"], lambda x: x + at)))
+
+    return let({"of": values}, lambda v: F.when(F.size(v["of"]) == 0, F.array().cast("array<int>")).otherwise(let({"blocks": blocked(v)}, joined)))
+
+
 def find_spans(text: Column, pattern: str) -> Column:
     """(start, end, hit) of the leftmost non-overlapping matches in code points, end exclusive. U+0001 in the text
     is read as U+0002, which keeps lengths, so that U+0001 can mark the matches."""
     parts = F.split(F.regexp_replace(F.translate(text, "\x01", "\x02"), f"((?:{pattern}))" if not pattern.startswith("(?i)") else f"(?i)((?:{pattern[4:]}))", "\x01$1\x01"), "\x01", -1)
-    walked = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p)).alias("at"),
-            (acc["k"] + 1).alias("k"),
-            F.when(acc["k"] % 2 == 1, F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(p)).alias("end"), p.alias("hit"))))).otherwise(acc["out"]).alias("out"),
-        ),
-    )
-    return walked["out"]
+    span = lambda hit, at: F.struct(at.alias("start"), (at + F.length(hit)).alias("end"), hit.alias("hit"))
+    placed = lambda v: F.zip_with(v["parts"], running(F.transform(v["parts"], F.length)), span)
+    return F.filter(let({"parts": parts}, placed), lambda _, k: k % 2 == 1)
+
+
+def ranks(starts: Column, places: Column, equal: bool) -> Column:
+    """For each of the ascending places the number of starts (ascending) before it, or also at it."""
+    first, second = (0, 1) if equal else (1, 0)
+    event = lambda at, order, place: F.struct(at.alias("at"), F.lit(order).alias("order"), F.lit(place).alias("place"))
+    events = F.array_sort(F.concat(F.transform(starts, lambda x: event(x, first, 0)), F.transform(places, lambda x: event(x, second, 1))))
+    told = lambda v: F.zip_with(v["events"], running(F.transform(v["events"], lambda e: 1 - e["place"])), lambda e, n: F.struct(e["place"].alias("place"), n.alias("n")))
+    return F.transform(F.filter(let({"events": events}, told), lambda e: e["place"] == 1), lambda e: e["n"])
 
 
 def scan_secrets(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,8 +163,11 @@ def scan_secrets(docs: DataFrame, model: list[float], id_col: str = "doc_id", te
         F.filter(found("[0-9a-f]{32}", "[0-9a-f]{32,}"), lambda s: F.length(s["hit"]) >= 32).alias("hex"),
         found(f"[A-Za-z0-9+/_=-]{{{RUN_LEAST}}}", f"[A-Za-z0-9+/_=-]{{{RUN_LEAST},}}").alias("run"),
     )
-    rows = rows.select("id", F.concat(*[_named(F.col(k), n) for n, k in enumerate(KINDS[:3])]).alias("base"), "run")
-    likely = F.flatten(F.transform(F.flatten(F.transform("run", lambda r: _outside(r, F.col("base")))), lambda r: _widened(r, random_parts(r["hit"], model))))
+    met = [c for k in KINDS[:3] for c in (ranks(F.transform(k, lambda s: s["start"]), F.transform("run", lambda r: r["start"]), True).alias(f"{k}_from"), ranks(F.transform(k, lambda s: s["start"]), F.transform("run", lambda r: r["end"]), False).alias(f"{k}_to"))]
+    rows = rows.select("*", F.concat(*[_named(F.col(k), n) for n, k in enumerate(KINDS[:3])]).alias("base"), *met)
+    runs = F.arrays_zip("run", *[f"{k}_{end}" for k in KINDS[:3] for end in ("from", "to")])
+    pieces = F.flatten(F.transform(runs, lambda r: _outside(r["run"], F.concat(*[_between(F.col(k), r[f"{k}_from"], r[f"{k}_to"]) for k in KINDS[:3]]))))
+    likely = F.flatten(F.transform(pieces, lambda r: _widened(r, random_parts(r["hit"], model))))
     spans = F.array_sort(F.concat("base", _named(likely, 3)))
     return rows.select(F.col("id").alias(id_col), F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["hit"].alias("hit"))).alias("spans"))
 
@@ -156,6 +179,13 @@ def _named(spans: Column, rank: int) -> Column:
     )
 
 
+def _between(spans: Column, after: Column, before: Column) -> Column:
+    """The spans of a kind numbered from after - 1 up to before: those that can overlap a run after whose start, and before
+    whose end, so many of them begin."""
+    first = F.greatest(after - 1, F.lit(0))
+    return F.when(before > first, F.transform(F.sequence(first, F.greatest(before - 1, first)), lambda k: F.get(spans, k))).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
+
+
 def _outside(run: Column, base: Column) -> Column:
     """The pieces of RUN_LEAST or more characters that base spans leave of a run."""
     piece = lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.substr(run["hit"], a - run["start"] + 1, b - a).alias("hit"))
@@ -190,7 +220,9 @@ def _widened(run: Column, parts: Column) -> Column:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = fit(labelled_samples(spark))
+    import public_tokenizers
+
+    model = fit(labelled_samples(spark, ordinary_words(public_tokenizers.path("word_bpe_49k.json"))))
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"), model).select(

@@ -1,11 +1,16 @@
 import hashlib
 import re
 import string
+import time
 
 import numpy as np
 import pytest
 
-from sunplane.llm.secret_scan import fit, labelled_samples, op4_secret_scan, scan_secrets
+from pyspark.sql import functions as F
+
+from sunplane.llm.secret_scan import ALPHABET, fit, labelled_samples, op4_secret_scan, ordinary_words, running, scan_secrets
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
@@ -21,7 +26,7 @@ def brute(text):
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return fit(labelled_samples(spark))
+    return fit(labelled_samples(spark, ordinary_words(public_tokenizers.path("word_bpe_49k.json"))))
 
 
 def spans(df):
@@ -89,6 +94,54 @@ def test_secrets_beside_each_other_and_beside_base_spans(docs, model):
     assert [(k, beside[i:j]) for k, i, j in out[2]] == [("markov", a + "/"), ("access", beside[33:])]
 
 
+def test_running_sums(spark):
+    rng = np.random.default_rng(3)
+    rows = [([int(x) for x in rng.integers(0, 9, n)],) for n in (0, 1, 2, 3, 9, 10, 400)]
+    for values, sums in spark.createDataFrame(rows, "v array<int>").select("v", running(F.col("v"))).collect():
+        assert sums == [sum(values[:k]) for k in range(len(values))]
+
+
+def test_ratio_of_whole_runs_against_plain_python(spark, docs):
+    """Every run that its own ratio makes a secret is one span of the operator, and no other run is whole in a span."""
+    samples = labelled_samples(spark, ["alpha", "beta", "gamma", "delta"], 300)
+    counts = {True: {}, False: {}}
+    for r in samples.collect():
+        for a, b in zip(" " + r["text"], r["text"]):
+            if a in " " + ALPHABET and b in ALPHABET:
+                counts[r["random"]][a, b] = counts[r["random"]].get((a, b), 0) + 1
+    row = lambda k, a: len(ALPHABET) + sum(n for (x, _), n in counts[k].items() if x == a)
+    totals = {(k, a): row(k, a) for k in counts for a in " " + ALPHABET}
+    step = lambda a, b: np.log((counts[True].get((a, b), 0) + 1) / totals[True, a]) - np.log((counts[False].get((a, b), 0) + 1) / totals[False, a])
+    rng = np.random.default_rng(8)
+    runs = ["".join(rng.choice(list("abcdefXYZ019"), int(rng.integers(20, 50)))) for _ in range(60)] + ["alphaBetaGammaDelta" + w for w in ("Alpha", "beta", "x9", "Z")]
+    out = spans(scan_secrets(docs([f"see {r} there" for r in runs]), fit(samples)))
+    for n, r in enumerate(runs, 1):
+        total = sum(step(a, b) for a, b in zip(" " + r, r))
+        if abs(total - max(12.0, 0.5 * len(r))) > 1e-3 and total > max(12.0, 0.5 * len(r)):
+            assert [s for s in out[n] if s[0] == "markov"] == [("markov", 4, 4 + len(r))] or any(s[0] != "markov" for s in out[n]), r
+
+
+def test_runs_and_base_spans_overlap_in_any_way(docs, model):
+    rng = np.random.default_rng(9)
+    pieces = ["token=", "secret: ", "AKIA" + "B" * 16, "0123456789abcdef" * 3, "q7Zk2WxV9tLr4BnJ0sHd8FgYc3MpT6Ue", "/", " ", "word_and_other_words", "AKIA", "=", "X5vRj1KwQ8zNf7DyC2hGt4Lb"]
+    texts = ["".join(rng.choice(pieces, int(rng.integers(1, 12)))) for _ in range(150)]
+    out = spans(scan_secrets(docs(texts), model))
+    for k, t in enumerate(texts, 1):
+        base, more = [s for s in out[k] if s[0] != "markov"], [s for s in out[k] if s[0] == "markov"]
+        assert base == brute(t), t
+        assert all(b <= s or e <= a for _, a, b in more for _, s, e in base), t
+        assert all(re.fullmatch("[A-Za-z0-9+/_=-]+", t[a:b]) for _, a, b in more)
+
+
+def test_many_spans_take_time_in_proportion(docs, model):
+    hexes = " ".join("0123456789abcdef" * 2 for _ in range(16_000))
+    mixed = " ".join(f"token=abcdefgh{k} report_of_the_month_{k}" for k in range(4_000))
+    begin = time.time()
+    out = spans(scan_secrets(docs([hexes, mixed]), model))
+    assert len(out[1]) == 16_000 and len(out[2]) == 4_000
+    assert time.time() - begin < 30
+
+
 def test_edges(spark, docs, model):
     assert scan_secrets(docs([]), model).count() == 0
     df = spark.createDataFrame([(None, "token=abcdefgh", 1), (7, "token=abcdefgh", 2), (7, "token=abcdefgh", 2)], "doc_id long, text string, spans int")
