@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,7 @@ from sunplane.llm.common import in_batches
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
 BASE_KINDS = KINDS[:4]
-#: Windows of so many characters begin at every multiple of the stride; a span counts in the one window in whose
-#: middle half its midpoint lies.
+#: Windows of so many characters begin at every multiple of the stride, so a span of up to a stride is whole in some.
 WINDOW, STRIDE = 128, 64
 HIDDEN, EMBED = 24, 16
 SAMPLES, BATCH, RATE, SEED, TRAIN_CHARS = 19200, 32, 0.01, 11, 72
@@ -201,7 +202,7 @@ class Tagger:
         """The mean negative log-likelihood of the label sequences and its gradient."""
         keep: tuple[list, list] = ([], [])
         scores, states, x = self.emit(codes, keep)
-        T, y, (n, b, m) = self.p["T"] + np.where(self.free, 0, -1e4).astype(np.float32), labels.T, scores.shape
+        T, y, (n, b, m) = self.moves(), labels.T, scores.shape
         total = lambda z, axis: (top := z.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(z - top).sum(axis=axis))
         ahead, back = np.empty_like(scores), np.zeros_like(scores)
         ahead[0] = scores[0]
@@ -226,10 +227,15 @@ class Tagger:
         np.add.at(grad["E"], codes.T, dx)
         return float((z - gold).mean()), grad
 
-    def decode(self, codes: np.ndarray) -> np.ndarray:
-        """The likeliest label sequences (batch, time)."""
+    def moves(self) -> np.ndarray:
+        """The transition scores, forbidden ones far below all others."""
+        return self.p["T"] + np.where(self.free, 0, -1e4).astype(np.float32)
+
+    def decode(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The likeliest label sequences (batch, time), and of each character how much its label and the move to it add over
+        staying outside."""
         scores, _, _ = self.emit(codes)
-        T = self.p["T"] + np.where(self.free, 0, -1e4).astype(np.float32)
+        T = self.moves()
         best, came = scores[0], []
         for t in range(1, len(scores)):
             step = best[:, :, None] + T[None]
@@ -238,7 +244,10 @@ class Tagger:
         out = [best.argmax(axis=1)]
         for back in reversed(came):
             out.append(back[np.arange(len(back)), out[-1]])
-        return np.stack(out[::-1], axis=1)
+        labels = np.stack(out[::-1])
+        gains = np.take_along_axis(scores, labels[:, :, None], 2)[:, :, 0] - scores[:, :, 0]
+        gains[1:] += T[labels[:-1], labels[1:]] - T[0, 0]
+        return labels.T, gains.T
 
 
 def labels_of(spans: list[tuple[int, int, int]], size: int) -> np.ndarray:
@@ -249,8 +258,10 @@ def labels_of(spans: list[tuple[int, int, int]], size: int) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=2)
 def train(samples: int = SAMPLES, seed: int = SEED) -> Tagger:
-    """A tagger fitted with Adam on labelled samples, each seen once, the step falling to nothing."""
+    """A tagger fitted with Adam on labelled samples, each seen once, the step falling to nothing. It depends on the arguments
+    alone, so a process fits it once."""
     rng = np.random.default_rng(seed)
     tagger = Tagger(rng)
     rows = labelled_samples(samples, rng)
@@ -295,39 +306,61 @@ def window_starts(text: str) -> list[int]:
     return out
 
 
+def reconcile(spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int]]:
+    """The spans (kind, start, end, gain) without overlap whose gains are the greatest together, by start. A span that several
+    windows found counts with its greatest gain."""
+    best: dict[tuple[int, int, str], float] = {}
+    for kind, a, b, gain in spans:
+        best[b, a, kind] = max(gain, best.get((b, a, kind), gain))
+    ends, totals, took = [0], [0.0], [None]  # after each place where a taken span may end: the greatest total, and by which span
+    for (b, a, kind), gain in sorted(best.items()):
+        k = bisect_right(ends, a) - 1
+        if totals[k] + gain > totals[-1]:
+            ends.append(b)
+            totals.append(totals[k] + gain)
+            took.append((kind, a, b, k))
+    out, k = [], len(took) - 1
+    while took[k]:
+        out.append(took[k][:3])
+        k = took[k][3]
+    return out[::-1]
+
+
+def window_spans(labels: np.ndarray, gains: np.ndarray, size: int) -> Iterator[tuple[str, int, int, float]]:
+    """(kind, start, end, gain) of the spans that the labels of one window tell."""
+    a = 0
+    while a < size:
+        if labels[a] == 0:
+            a += 1
+            continue
+        kind, b = (int(labels[a]) - 1) // 2, a + 1
+        while b < size and labels[b] == 2 * kind + 2:
+            b += 1
+        yield KINDS[kind], a, b, float(gains[a:b].sum())
+        a = b
+
+
 def model_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """For each text the spans that the tagger finds. Each span counts in the window in whose middle half its midpoint
-    lies (the first window also has the text's beginning); then spans of one kind that meet are joined."""
+    """For each text the spans that the tagger finds: every window is decoded, a span that a window's edge cuts is joined with
+    the neighbour's that meets it, and of all plausible ones of a text those are taken that reconcile chooses."""
     places = [(i, s) for i, t in enumerate(texts) for s in window_starts(t)]
-    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    found: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
+    cut: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
     for k in range(0, len(places), 256):
         part = places[k : k + 256]
-        labels = tagger.decode(np.stack([encode(texts[i][s : s + WINDOW], WINDOW) for i, s in part]))
-        for (i, s), row in zip(part, labels):
+        for (i, s), labels, gains in zip(part, *tagger.decode(np.stack([encode(texts[i][s : s + WINDOW], WINDOW) for i, s in part]))):
             size = min(WINDOW, len(texts[i]) - s)
-            a = 0
-            while a < size:
-                if row[a] == 0:
-                    a += 1
-                    continue
-                kind, b = (int(row[a]) - 1) // 2, a + 1
-                while b < size and row[b] == 2 * kind + 2:
-                    b += 1
-                middle = (a + b) // 2
-                if (middle >= STRIDE // 2 or s == 0) and middle < STRIDE // 2 + STRIDE:
-                    out[i].append((KINDS[kind], s + a, s + b))
-                a = b
-    joined = []
-    for text, spans in zip(texts, out):
-        spans.sort(key=lambda x: (x[1], x[2]))
-        done: list[tuple[str, int, int]] = []
-        for kind, a, b in spans:
-            if done and done[-1][0] == kind and a <= done[-1][2]:
-                done[-1] = (kind, done[-1][1], max(b, done[-1][2]))
-            elif not done or a >= done[-1][2]:
-                done.append((kind, a, b))
-        joined.append([x for x in done if plausible(x[0], text[x[1] : x[2]])])
-    return joined
+            for kind, a, b, gain in window_spans(labels, gains, size):
+                found[i].append((kind, s + a, s + b, gain))
+                if (a == 0 and s > 0) or (b == size and s + size < len(texts[i])):
+                    cut[i].append(found[i][-1])
+    out = []
+    for text, spans, pieces in zip(texts, found, cut):
+        for (kind, a, b, gain), (kind2, a2, b2, gain2) in zip(pieces, pieces[1:]):
+            if kind == kind2 and a < a2 <= b < b2:
+                spans.append((kind, a, b2, gain + gain2))
+        out.append(reconcile([s for s in spans if s[3] > 0 and plausible(s[0], text[s[1] : s[2]])]))
+    return out
 
 
 def find_personal_data(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

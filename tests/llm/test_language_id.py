@@ -1,10 +1,11 @@
+import math
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sunplane.llm.language_id import Model, _bytes_of, gram_buckets, op9_language_id, predict, train, training_samples
+from sunplane.llm.language_id import BUCKET_BITS, ORDERS, Model, _bytes_of, gram_buckets, op9_language_id, predict, train, training_samples
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +57,33 @@ def test_long_texts_and_edges(spark, docs, fitted):
     assert len({r["lang_pred"] for r in predict(df, fitted).collect()}) == 1
     assert {r["lang_pred"] for r in predict(df, None).collect()} == {"und"}
     assert train([]) is None and isinstance(train([("only one language", "xx", False)]), Model)
+
+
+def plain_prediction(model, text):
+    """The forward pass in plain Python: lower case, letters and spaces, hashed n-grams of bytes, their mean, softmax."""
+    data = [b if (0x61 <= b <= 0x7A or 0x41 <= b <= 0x5A or b >= 0x80) else 0x20 for b in text.lower().encode()]
+    factors = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
+    total, count = [0.0] * len(model.langs), 0
+    for n in ORDERS:
+        for k in range(len(data) - n + 1):
+            h = n * 0x27D4EB2F & 0xFFFFFFFF
+            for j in range(n):
+                h = (h ^ data[k + j]) * factors[j % 3] & 0xFFFFFFFF
+                h ^= h >> 15
+            row = model.table[h >> 32 - BUCKET_BITS]
+            total = [t + float(x) for t, x in zip(total, row)]
+            count += 1
+    logits = [(t / max(1, count) + b) / model.temperature for t, b in zip(total, model.bias)]
+    shares = [math.exp(x - max(logits)) for x in logits]
+    return model.langs[shares.index(max(shares))], max(shares) / sum(shares)
+
+
+def test_predictions_against_plain_python(spark, fitted):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) < 3000").limit(60)
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()} | {-1: "Kurz", -2: "a", -3: "MAYÚSCULAS ñ 12"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in predict(df, fitted).collect():
+        if r["lang_pred"] != "und":
+            lang, score = plain_prediction(fitted, texts[r["doc_id"]])
+            assert (r["lang_pred"] == lang or score < 0.51) and abs(r["score"] - score) < 1e-3
+        assert r["rejected"] == (r["lang_pred"] == "und" or r["score"] < fitted.reject_below)
