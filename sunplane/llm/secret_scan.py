@@ -27,17 +27,17 @@ RUN_LEAST = 20
 LEAST_TOTAL, LEAST_STEP, PART_LEAST = 12.0, 0.5, 12
 
 #: Words of a vocabulary that the samples of identifiers are joined from, and how long these are.
-N_WORDS, WORD_LENGTHS = 6000, (3, 12)
+N_WORDS, WORD_LENGTHS = 2000, (4, 12)
 
 
 def ordinary_words(path: str) -> list[str]:
-    """N_WORDS whole lower-case words of a tokenizer's vocabulary (a tokenizers file whose word ends are marked </w>),
-    evenly spread over all such words by order."""
+    """The first N_WORDS whole lower-case words of a tokenizer's vocabulary (a tokenizers file whose word ends are marked
+    </w>) by id; merges come by frequency, so these are the most usual ones."""
     with open(path, encoding="utf-8") as f:
         vocabulary = json.load(f)["model"]["vocab"]
     least, most = WORD_LENGTHS
-    words = sorted(w[:-4] for w in vocabulary if w.endswith("</w>") and least <= len(w) - 4 <= most and w[:-4].isascii() and w[:-4].isalpha())
-    return [words[k * len(words) // N_WORDS] for k in range(N_WORDS)] if len(words) > N_WORDS else words
+    words = ((n, w[:-4]) for w, n in vocabulary.items() if w.endswith("</w>") and least <= len(w) - 4 <= most and w[:-4].isascii() and w[:-4].isalpha())
+    return [w for _, w in sorted(words)[:N_WORDS]]
 
 
 def labelled_samples(spark: SparkSession, words: list[str], n: int = 4000) -> DataFrame:
