@@ -20,8 +20,9 @@ def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go; the others lose the lines that too many documents of their source share."""
-    return _recounted(apply_rules(docs), docs.columns)
+    """Documents that the rules reject go; the others lose the lines that too many documents of their source share. Exact copies
+    count as one document here: the third stage keeps one of them, so they mustn't reject each other."""
+    return _recounted(apply_rules(docs, copies_count=False), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

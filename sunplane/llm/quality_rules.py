@@ -107,7 +107,7 @@ def _marks(text_col: str, host_col: str) -> list[Column]:
     return [F.coalesce(F.col(host_col).cast("string"), F.lit("")), F.xxhash64(text_col), F.xxhash64(F.lit("t"), text_col)]
 
 
-def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = MOST_DOCS, copies_count: bool = False) -> tuple[DataFrame, DataFrame]:
+def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = MOST_DOCS, copies_count: bool = True) -> tuple[DataFrame, DataFrame]:
     """Verdicts and removed lines. Verdicts: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_removed_words, kept, one row for each row of docs. Removed lines: for each host and text (by its marks
     t1, t2) that loses any, `lines`, their hashes (as line_keys makes them), and `lost`, the number of their words.
@@ -118,8 +118,8 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     documents of the host lose it. A document that loses so many words that fewer than LEAST_WORDS or
     LEAST_LEFT_PERCENT percent are left is rejected as depleted.
 
-    Distinct documents have different texts, so that exact copies, which a later stage reduces to one, don't reject each
-    other; with `copies_count`, different ids are distinct documents too. Equal rows always count once.
+    Distinct documents differ in id or text, so equal rows count once. Without `copies_count` they differ in text: exact copies,
+    which a later stage reduces to one, then don't reject each other.
 
     Null texts count as empty, with no words, and fail the base rules; a null host is a host of its own together with
     the empty one; a verdict depends on the row's host and text alone, so rows that share an id are judged each, and a
@@ -152,7 +152,7 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return verdicts, lost
 
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = MOST_DOCS, copies_count: bool = False) -> DataFrame:
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_docs: int = MOST_DOCS, copies_count: bool = True) -> DataFrame:
     """docs without rejected documents and without common lines (see judge_documents), columns as they are, one row
     for each row that is kept. Texts that lose no line stay as they are."""
 
@@ -202,7 +202,7 @@ l0 AS (SELECT doc_id, host, md5(text) AS t, unnest(string_split(text, chr(10)))
 l AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM l0),
 dup AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, count(*) AS n FROM l WHERE len(lw) > 0 GROUP BY doc_id, line) GROUP BY doc_id),
 norm AS (SELECT doc_id, host, t, len(lw) AS n, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line FROM l WHERE len(lw) > 0),
-common AS (SELECT host, line FROM norm GROUP BY host, line HAVING count(DISTINCT t) > 10),
+common AS (SELECT host, line FROM norm GROUP BY host, line HAVING count(DISTINCT t || coalesce(CAST(doc_id AS VARCHAR), 'null')) > 10),
 lost AS (SELECT n.doc_id, sum(n.n) AS n FROM norm n JOIN common c ON n.host = c.host AND n.line = c.line GROUP BY n.doc_id),
 s AS (SELECT ws.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,

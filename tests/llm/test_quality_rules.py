@@ -50,7 +50,7 @@ def test_common_lines_against_sql(docs):
 
 def test_lines_go_and_copies_stay(docs):
     texts = common_docs()
-    out = {r["doc_id"]: r["text"] for r in apply_rules(docs(texts)).collect()}
+    out = {r["doc_id"]: r["text"] for r in apply_rules(docs(texts), copies_count=False).collect()}
     assert all("Common" not in out[k] and out[k].count("\n") == 1 for k in range(1, 13))
     assert all(out[k] == texts[k - 1] for k in range(14, 49))
 
@@ -65,10 +65,10 @@ def test_depleted_documents_go(docs):
 def test_exact_copies_count_as_told(docs):
     copy = "\n".join(f"line {k} of a text that is copied" for k in range(10))
     table = docs([copy] * 12 + ["other words " * 12])
-    assert sorted(r["doc_id"] for r in apply_rules(table).collect()) == [*range(1, 13)]
-    assert apply_rules(table, copies_count=True).count() == 0
-    assert apply_rules(table, copies_count=True, most_docs=12).count() == 12
-    assert apply_rules(table.withColumn("doc_id", table["doc_id"] % 3), copies_count=True).count() == 12
+    assert sorted(r["doc_id"] for r in apply_rules(table, copies_count=False).collect()) == [*range(1, 13)]
+    assert apply_rules(table).count() == 0
+    assert apply_rules(table, most_docs=12).count() == 12
+    assert apply_rules(table.withColumn("doc_id", table["doc_id"] % 3)).count() == 12
 
 
 def test_repeated_rows_and_ids_are_judged_each(spark, docs):
