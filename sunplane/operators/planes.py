@@ -80,7 +80,24 @@ def _distances(points: np.ndarray, at: np.ndarray, normals: np.ndarray) -> np.nd
     return np.abs(d[0] * normals[:, None, 0] + d[1] * normals[:, None, 1] + d[2] * normals[:, None, 2])
 
 
-def fit_consensus(points: np.ndarray, threshold: float = 0.05, least_fraction: float = 0.6, iterations: int = 200, tilt_floor: float = 1.0, seed: int = 0, picks: np.ndarray | None = None) -> Plane:
+def fit_all(points: np.ndarray, tilt_floor: float = 1.0) -> Plane:
+    """The least-squares plane of all points, which all count as inliers. Fewer than 3 points are a failed fit."""
+    if len(points) < 3:
+        return failed(len(points))
+    centre, normal = pca_normal(points)
+    return Plane(normal, centre, *tilt_azimuth(normal, tilt_floor), float(np.sqrt(np.mean(((points - centre) @ normal) ** 2))), len(points), len(points), np.ones(len(points), bool))
+
+
+def fit_consensus(
+    points: np.ndarray, threshold: float = 0.05, least_fraction: float = 0.6, iterations: int = 200, tilt_floor: float = 1.0, seed: int = 0, picks: np.ndarray | None = None, all_points: bool = False
+) -> Plane:
+    """The consensus plane (see _fit_consensus). With all_points, the least-squares plane of all points where its share of
+    inliers is under least_fraction or the fit fails."""
+    plane = _fit_consensus(points, threshold, least_fraction, iterations, tilt_floor, seed, picks)
+    return fit_all(np.asarray(points, float), tilt_floor) if all_points and plane.n_inliers < max(3, least_fraction * plane.n_total) else plane
+
+
+def _fit_consensus(points: np.ndarray, threshold: float, least_fraction: float, iterations: int, tilt_floor: float, seed: int, picks: np.ndarray | None) -> Plane:
     """The plane with the most points nearer than the threshold among those through `iterations` triples, the first of
     equals; refitted by least squares to these, its inliers then named anew. Fewer than 3 points or inliers is
     a failed fit; a share of inliers under `least_fraction` leaves tilt and azimuth undefined. `picks` replaces the
@@ -174,12 +191,12 @@ def plane_row(p: Plane) -> dict:
     return {k: some(v) for k, v in vectors.items()} | {"tilt": some(p.tilt), "azimuth": some(p.azimuth), "rmse": some(p.rmse), "n_inliers": p.n_inliers, "n_total": p.n_total}
 
 
-def fit_groups(points: DataFrame, key: str, threshold: float = 0.05, least_fraction: float = 0.6, iterations: int = 200, tilt_floor: float = 1.0, samples: int = 0, second: bool = False, sampler: str = "lcg") -> DataFrame:
+def fit_groups(points: DataFrame, key: str, threshold: float = 0.05, least_fraction: float = 0.6, iterations: int = 200, tilt_floor: float = 1.0, samples: int = 0, second: bool = False, sampler: str = "lcg", all_points: bool = False) -> DataFrame:
     """One row for each key of points (key, x, y, z): the consensus plane's fields, with `samples` tilt_unc and
     azimuth_unc, with `second` the second plane's tilt2, azimuth2 and n_inliers2 (null if there is none).
 
     Points cross to Python once. A group is one polygon's clipped points, thousands at most by its area and the
-    sensor's density, so it fits in a task. sampler `numpy` draws with numpy's generator instead. Null keys form one group;
+    sensor's density, so it fits in a task. sampler `numpy` draws with numpy's generator instead; all_points: as in fit_consensus. Null keys form one group;
     points with a null coordinate are left out; no points, no row.
     """
     key_field = to_arrow_schema(points.select(key).schema).field(0)
@@ -197,7 +214,7 @@ def fit_groups(points: DataFrame, key: str, threshold: float = 0.05, least_fract
         if sampler == "numpy" and len(pts) >= 3:
             rng = np.random.default_rng(seed)
             picks = np.stack([rng.choice(len(pts), 3, replace=False) for _ in range(iterations)])
-        p = fit_consensus(pts, threshold, least_fraction, iterations, tilt_floor, seed, picks)
+        p = fit_consensus(pts, threshold, least_fraction, iterations, tilt_floor, seed, picks, all_points)
         row = {key: ident} | plane_row(p)
         if samples:
             row["tilt_unc"], row["azimuth_unc"] = (None if math.isnan(v) else v for v in bootstrap(pts, p, samples, seed))

@@ -84,13 +84,15 @@ def stratified_sample(rows: DataFrame, stratum: Column, ident: str, per_stratum:
 
 
 def size_sweep(trials: DataFrame) -> DataFrame:
-    """Of trials (n, tilt, azimuth, true_azimuth): for each n the mean and sample deviation of tilt, the deviation of the
-    azimuth error, its 10th and 90th percentile, and the circular deviation of azimuth."""
+    """Of trials (n, tilt, azimuth, true_azimuth): for each n the mean, sample deviation, 10th and 90th percentile of tilt, the
+    deviation of the azimuth error, its 10th and 90th percentile, and the circular deviation of azimuth."""
     error = azimuth_difference(F.col("azimuth"), F.col("true_azimuth"))
     return trials.withColumn("error", error).groupBy("n").agg(
         F.count(F.lit(1)).alias("trials"),
         F.avg("tilt").alias("tilt_mean"),
         F.stddev_samp("tilt").alias("tilt_std"),
+        F.percentile("tilt", F.lit(0.1)).alias("tilt_p10"),
+        F.percentile("tilt", F.lit(0.9)).alias("tilt_p90"),
         F.stddev_samp("error").alias("azimuth_error_std"),
         F.percentile("error", F.lit(0.1)).alias("azimuth_error_p10"),
         F.percentile("error", F.lit(0.9)).alias("azimuth_error_p90"),

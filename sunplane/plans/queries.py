@@ -360,11 +360,6 @@ def ransac_lcg(spark, d):
     return _fit_columns(planes.fit_groups(_clipped(spark, d), "polygon_id", iterations=ITERATIONS))
 
 
-@query()
-def ransac_numpy(spark, d):
-    return _fit_columns(planes.fit_groups(_clipped(spark, d), "polygon_id", sampler="numpy"))
-
-
 @query(sql(CLIP_SQL + "," + consensus_sql("fit", "clip", 0.05, 0.6) + f""",
   bi AS (SELECT polygon_id, x, y, z, row_number() OVER (PARTITION BY polygon_id ORDER BY x, y, z) - 1 AS i, count(*) OVER (PARTITION BY polygon_id) AS m, ('0x' || substr(md5(polygon_id), 1, 7))::BIGINT AS seed FROM fit_a WHERE inl),
   b0 AS (SELECT polygon_id, m, rep, {step_sql('((seed + 1000003 * (rep + 1) + 7919 * (i + 1)) % 2147483648)')} AS s0 FROM bi, range({SAMPLES}) g(rep) WHERE m >= 3),
@@ -595,22 +590,33 @@ def stratified_sample(spark, d):
     return stats.stratified_sample(scene.polygons(spark, d), names.area_bin(F.col("area")), "polygon_id", 5).select("polygon_id", "stratum")
 
 
+SIZES, TRIALS = (5, 8, 12, 20, 30, 50, 75, 100, 150, 250, 500, 1000), 50
+CIRCULAR = "sqrt(avg(sin(radians(az))) ** 2 + avg(cos(radians(az))) ** 2)"
+
+
 @query(sql(CLIP_SQL + f""",
   big AS (SELECT c.*, count(*) OVER (PARTITION BY polygon_id) AS m FROM clip c),
-  pick AS (SELECT polygon_id, x, y, z, n, k, row_number() OVER (PARTITION BY polygon_id, n, k ORDER BY md5(k || ':' || floor(x * 10000)::BIGINT || ':' || floor(y * 10000)::BIGINT), x, y) AS nth FROM big, (VALUES (5), (10), (20)) s(n), range(3) g(k) WHERE m >= 20),
-  mom AS (SELECT polygon_id, n, k, {MOMENTS} FROM pick WHERE nth <= n GROUP BY 1, 2, 3),""" + normal_sql("pl", "mom", "polygon_id, n, k") + f""",
+  pick AS (SELECT polygon_id, x, y, z, m, k, row_number() OVER (PARTITION BY polygon_id, k ORDER BY md5(k || ':' || floor(x * 10000)::BIGINT || ':' || floor(y * 10000)::BIGINT), x, y) AS nth FROM big, range({TRIALS}) g(k) WHERE m >= 20),
+  mom AS (SELECT polygon_id, n, k, {MOMENTS} FROM pick JOIN (SELECT unnest([{', '.join(map(str, SIZES))}]) AS n) s ON nth <= n AND n <= m GROUP BY 1, 2, 3),""" + normal_sql("pl", "mom", "polygon_id, n, k") + f""",
   t AS (SELECT polygon_id, n, {TILT} AS tilt, {AZ} AS az FROM pl),
-  e AS (SELECT t.n, t.tilt, t.az, t.az - {AZ.replace('nx', '(-sx)').replace('ny', '(-sy)')} + 180 AS d0 FROM t JOIN polygons USING (polygon_id) WHERE sx <> 0 OR sy <> 0)
-  SELECT n, count(*) AS trials, {srnd('avg(tilt)', 3)} AS tilt_mean, {srnd('stddev_samp(tilt)', 3)} AS tilt_std, {srnd('stddev_samp(d0 - 360 * floor(d0 / 360) - 180)', 2)} AS azimuth_error_std FROM e GROUP BY 1"""))
+  e0 AS (SELECT t.n, t.tilt, t.az, t.az - {AZ.replace('nx', '(-sx)').replace('ny', '(-sy)')} + 180 AS d0 FROM t JOIN polygons USING (polygon_id) WHERE sx <> 0 OR sy <> 0),
+  e AS (SELECT n, tilt, az, d0 - 360 * floor(d0 / 360) - 180 AS d FROM e0)
+  SELECT CAST(n AS INT) AS n, count(*) AS trials, {srnd('avg(tilt)', 3)} AS tilt_mean, {srnd('stddev_samp(tilt)', 3)} AS tilt_std, {srnd('quantile_cont(tilt, 0.1)', 3)} AS tilt_p10, {srnd('quantile_cont(tilt, 0.9)', 3)} AS tilt_p90,
+    {srnd('stddev_samp(d)', 2)} AS azimuth_error_std, {srnd('quantile_cont(d, 0.1)', 2)} AS azimuth_error_p10, {srnd('quantile_cont(d, 0.9)', 2)} AS azimuth_error_p90,
+    {srnd(f'degrees(sqrt(-2 * ln(least({CIRCULAR}, 1))))', 2)} AS azimuth_circular_std FROM e GROUP BY 1"""))
 def size_sweep(spark, d):
+    """Every polygon with 20 points or more, every size that it has points for, and every trial; a trial's order of points serves all sizes."""
     clipped = _clipped(spark, d).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("polygon_id"))).filter("m >= 20")
-    trials = clipped.select("*", F.explode(F.array(*[F.lit(n) for n in (5, 10, 20)])).alias("n")).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    trials = clipped.select("*", F.explode(F.sequence(F.lit(0), F.lit(TRIALS - 1))).alias("k"))
     key = F.md5(F.concat_ws(":", "k", F.floor(F.col("x") * 10000), F.floor(F.col("y") * 10000)))
-    nth = F.row_number().over(Window.partitionBy("polygon_id", "n", "k").orderBy(key, "x", "y"))
-    fits = planes.fit_least_squares(trials.withColumn("nth", nth).filter("nth <= n").withColumnRenamed("n", "size"), ["polygon_id", "size", "k"], 0.0)
+    nth = F.row_number().over(Window.partitionBy("polygon_id", "k").orderBy(key, "x", "y"))
+    wanted = F.filter(F.array(*map(F.lit, SIZES)), lambda n: (F.col("nth") <= n) & (n <= F.col("m")))
+    sized = trials.withColumn("nth", nth).select("polygon_id", "k", "x", "y", "z", F.explode(wanted).alias("size"))
+    fits = planes.fit_least_squares(sized, ["polygon_id", "size", "k"], 0.0)
     truth = scene.polygons(spark, d).filter("sx <> 0 or sy <> 0").select("polygon_id", angles.wrap360(F.degrees(F.atan2(-F.col("sx"), -F.col("sy")))).alias("true_azimuth"))
     swept = stats.size_sweep(fits.join(truth, "polygon_id").select(F.col("size").alias("n"), "tilt", "azimuth", "true_azimuth"))
-    return swept.select("n", "trials", rnd("tilt_mean", 3).alias("tilt_mean"), rnd("tilt_std", 3).alias("tilt_std"), rnd("azimuth_error_std", 2).alias("azimuth_error_std"))
+    digits = {"tilt_mean": 3, "tilt_std": 3, "tilt_p10": 3, "tilt_p90": 3, "azimuth_error_std": 2, "azimuth_error_p10": 2, "azimuth_error_p90": 2, "azimuth_circular_std": 2}
+    return swept.select("n", "trials", *[rnd(c, k).alias(c) for c, k in digits.items()])
 
 
 # --- whole runs

@@ -41,11 +41,12 @@ class Inputs:
 MOST_NAMED_TILES = 10_000
 
 
-def read_points(spark: SparkSession, path: str, config: Config = Config()) -> DataFrame:
-    """Parquet points are better laid out by tile, so that tiles without polygons aren't read."""
+def read_points(spark: SparkSession, path: str, config: Config = Config(), tiles: list[str] | None = None) -> DataFrame:
+    """Points of the tiles, or of all. Parquet points are better laid out by tile, so that other tiles' files aren't read."""
     if path.lower().rstrip("/").endswith((".parquet", ".pq")):
-        return spark.read.parquet(path).select("tile_id", "x", "y", "z", "cls")
-    return las.read_las(spark, path, ignore_missing=True, crs=config.crs.target, lidar_reader=config.io.lidar_reader)
+        points = spark.read.parquet(path).select("tile_id", "x", "y", "z", "cls")
+        return points if tiles is None else points.filter(F.col("tile_id").isin(tiles))
+    return las.read_las(spark, path, ignore_missing=True, crs=config.crs.target, lidar_reader=config.io.lidar_reader, tiles=tiles)
 
 
 def ingest(spark: SparkSession, las_path: str, table: str) -> None:
@@ -107,9 +108,7 @@ def run_pipeline(spark: SparkSession, config: Config, inputs: Inputs, output: st
         out = manifest(config, inputs, run_id, counts, {"dry_run": True}, touched, spark)
     else:
         todo = assign.pending(groups, existing(spark, output)) if resume else groups
-        points = read_points(spark, inputs.points, config)
-        if len(touched) <= MOST_NAMED_TILES:
-            points = points.filter(F.col("tile_id").isin(touched))
+        points = read_points(spark, inputs.points, config, touched if len(touched) <= MOST_NAMED_TILES else None)
         survey = engine.survey(points, groups, config)
         rows = engine.build_rows(points, polygons, footprints, tiles, config, run_id, only=todo.select("partition_id"), classifier=classifier, surveyed=survey)
         rows.write.option("maxRecordsPerFile", config.output.partition_size).mode("append" if resume else "overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("partition_id").parquet(f"{output}/rows")

@@ -5,13 +5,13 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sunplane.sources.files import list_files, open_file
 
@@ -134,23 +134,8 @@ class LasReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.missing_ok = options["path"], options.get("ignoreMissingFiles", "false").lower() == "true"
         self.reference, self.laz = options.get("crs", ""), options.get("lidarReader", "laspy") == "laspy"
-        self.classes: list[int] | None = None
-        self.tiles: set[str] | None = None
-
-    def pushFilters(self, filters: list[Filter]):
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("tile_id",):
-                tiles = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.tiles = tiles if self.tiles is None else self.tiles & tiles
-            elif isinstance(f, EqualTo) and f.attribute == ("cls",):
-                self._keep([f.value])
-            elif isinstance(f, In) and f.attribute == ("cls",):
-                self._keep(list(f.value))
-            else:
-                yield f
-
-    def _keep(self, classes: list[int]) -> None:
-        self.classes = classes if self.classes is None else [c for c in self.classes if c in classes]
+        self.classes = [int(c) for c in options["classes"].split(",")] if "classes" in options else None
+        self.tiles = set(options["tiles"].split("/")) if "tiles" in options else None
 
     def partitions(self) -> list[Part]:
         files = []
@@ -194,10 +179,15 @@ class LasSource(DataSource):
         return LasReader(self.options)
 
 
-def read_las(spark: SparkSession, path: str, ignore_missing: bool = False, crs: str = "", lidar_reader: str = "laspy") -> DataFrame:
-    """Points of a LAS file, or of all in a folder; tile_id is the file's name without suffix. Filters on tile_id and cls
-    reach the reader, so files of other tiles aren't opened. crs: the EPSG code that files must not contradict.
-    lidar_reader laspy also reads LAZ where laspy is installed."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read_las(spark: SparkSession, path: str, ignore_missing: bool = False, crs: str = "", lidar_reader: str = "laspy", tiles: Iterable[str] | None = None, classes: Iterable[int] | None = None) -> DataFrame:
+    """Points of a LAS file, or of all in a folder; tile_id is the file's name without suffix. Only files of `tiles` are
+    opened, only points of `classes` leave the reader. These are options, not filters that are pushed down: a Python data
+    source keeps the filters of a table's first query for its later ones. crs: the EPSG code that files must not
+    contradict. lidar_reader laspy also reads LAZ where laspy is installed."""
     spark.dataSource.register(LasSource)
-    return spark.read.format("las").options(ignoreMissingFiles=str(ignore_missing).lower(), crs=crs, lidarReader=lidar_reader).load(path)
+    options = {"ignoreMissingFiles": str(ignore_missing).lower(), "crs": crs, "lidarReader": lidar_reader}
+    if tiles is not None:
+        options["tiles"] = "/".join(tiles)
+    if classes is not None:
+        options["classes"] = ",".join(map(str, classes))
+    return spark.read.format("las").options(**options).load(path)

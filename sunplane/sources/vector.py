@@ -5,14 +5,17 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import re
 import struct
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sunplane.functions import names, projection, shapes
 from sunplane.functions.kernels import Polygon, read_wkb, write_wkb
@@ -48,15 +51,26 @@ def read_geojson(text: str) -> tuple[list[Feature], str | None]:
     return rows, f"EPSG:{code[1]}" if code else "EPSG:4326" if crs.endswith("CRS84") else crs
 
 
-def read_gpkg(blob: bytes) -> tuple[list[Feature], str | None]:
-    """The first feature table."""
+def _gpkg(uri: str):
+    """A connection to the file, where it lies if it is local, else to its bytes, and its first feature table: name, geometry
+    column, reference system."""
     import sqlite3
 
-    db = sqlite3.connect(":memory:")
-    db.deserialize(blob)
+    path = uri.removeprefix("file://")
+    if os.path.exists(path):
+        db = sqlite3.connect(f"file:{quote(os.path.abspath(path))}?mode=ro", uri=True)
+    else:
+        db = sqlite3.connect(":memory:")
+        with open_file(uri) as f:
+            db.deserialize(f.read())
     table, column, srs = db.execute("select c.table_name, g.column_name, g.srs_id from gpkg_contents c join gpkg_geometry_columns g using (table_name) where c.data_type = 'features' order by 1").fetchone()
-    quoted = '"' + table.replace('"', '""') + '"'
-    cursor = db.execute(f"select * from {quoted}")
+    return db, '"' + table.replace('"', '""') + '"', column, f"EPSG:{srs}" if srs and srs > 0 else None
+
+
+def read_gpkg(uri: str, first: int | None = None, last: int | None = None) -> list[Feature]:
+    """The features, or those with rowids from first to last."""
+    db, table, column, _ = _gpkg(uri)
+    cursor = db.execute(f"select * from {table}" + ("" if first is None else f" where rowid between {first} and {last}"))
     fields = [d[0] for d in cursor.description]
     rows = []
     for values in cursor:
@@ -66,21 +80,99 @@ def read_gpkg(blob: bytes) -> tuple[list[Feature], str | None]:
         if g and g[:2] == b"GP" and not g[3] & 0x10:
             parts = read_wkb(g[8 + {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}[g[3] >> 1 & 7] :])
         rows.append((row, parts))
-    return rows, f"EPSG:{srs}" if srs and srs > 0 else None
+    db.close()
+    return rows
+
+
+def _gpkg_columns(uri: str) -> list[tuple[str, str]]:
+    """Names and types as the table declares them."""
+    db, table, column, _ = _gpkg(uri)
+    kinds = (("BOOL", "boolean"), ("INT", "bigint"), ("REAL", "double"), ("DOUBLE", "double"), ("FLOAT", "double"))
+    out = [(name, next((k for word, k in kinds if word in declared.upper()), "string")) for _, name, declared, *_ in db.execute(f"pragma table_info({table})") if name != column]
+    db.close()
+    return out
+
+
+class Shapefile:
+    """The files of a shapefile beside each other or in a zip, of which ranges are read."""
+
+    def __init__(self, uri: str):
+        self.uri, self.zip = uri.split("?")[0], None
+        if suffix(uri) == ".zip":
+            with open_file(self.uri) as f:
+                self.zip = zipfile.ZipFile(io.BytesIO(f.read()))
+            self.names = {n.lower(): n for n in self.zip.namelist()}
+            self.stem = next((n[:-4] for n in sorted(self.names) if n.endswith(".shp")), None)
+            if self.stem is None:
+                raise ValueError(f"{uri} has no shapefile")
+
+    def bytes(self, kind: str, start: int = 0, size: int | None = None) -> bytes | None:
+        """Bytes of the file with this suffix, None if there is none."""
+        if self.zip:
+            name = self.names.get(self.stem + kind)
+            return self.zip.read(name)[start : None if size is None else start + size] if name else None
+        try:
+            with open_file(self.uri[:-4] + kind) as f:
+                f.seek(start)
+                return f.read() if size is None else f.read(size)
+        except FileNotFoundError:
+            return None
+
+    def reference(self) -> str | None:
+        prj = (self.bytes(".prj") or b"").decode()
+        code = re.search(r'AUTHORITY\["EPSG","?(\d+)"?\]\]\s*$', prj)
+        return f"EPSG:{code[1]}" if code else prj or None
+
+    def index(self) -> list[tuple[int, int]] | None:
+        """Start and size of each record, from the .shx file."""
+        shx = self.bytes(".shx")
+        return [(2 * at, 2 * words + 8) for at, words in struct.iter_unpack(">2i", shx[100:])] if shx else None
+
+    def fields(self) -> tuple[int, int, int, list[tuple[str, str, int, int]]]:
+        """Of the attributes: number of rows, where the first one starts, their length, and (name, type, size, decimals)."""
+        head = self.bytes(".dbf", 0, 32)
+        if not head:
+            return 0, 0, 0, []
+        n, start, length = struct.unpack_from("<IHH", head, 4)
+        table = self.bytes(".dbf", 32, start - 32) or b""
+        out = []
+        for k in range(0, len(table) - 31, 32):
+            if table[k] == 0x0D:
+                break
+            out.append((table[k : k + 11].split(b"\0")[0].decode(), chr(table[k + 11]), table[k + 16], table[k + 17]))
+        return n, start, length, out
+
+    def columns(self) -> list[tuple[str, str]]:
+        return [(name, "double" if kind == "F" or decimals else "bigint") if kind in "NF" else (name, "string") for name, kind, _, decimals in self.fields()[3]]
+
+    def features(self, first: int = 0, records: list[tuple[int, int]] | None = None) -> list[Feature]:
+        """All features, or those of the records, of which `first` is the first one's number."""
+        start, size = (100, None) if records is None else (records[0][0], records[-1][0] + records[-1][1] - records[0][0])
+        parts = read_shapes(self.bytes(".shp", start, size) or b"")
+        n, head, length, fields = self.fields()
+        rows: list[dict] = [{} for _ in parts]
+        data = self.bytes(".dbf", head + first * length, len(rows) * length) if fields else b""
+        for r in range(min(n - first, len(rows)) if fields else 0):
+            k = r * length + 1
+            for name, kind, size, decimals in fields:
+                text = data[k : k + size].decode("utf-8", "replace").strip()
+                rows[r][name] = None if not text else (float(text) if decimals or kind == "F" else int(text)) if kind in "NF" else text
+                k += size
+        return list(zip(rows, parts))
 
 
-def read_shp(shp: bytes, dbf: bytes | None, prj: str | None) -> tuple[list[Feature], str | None]:
+def read_shapes(records: bytes) -> list[list[Polygon]]:
     """Polygon records. Clockwise rings are shells; each other ring is a hole of the shell around it."""
-    shapes_, at = [], 100
-    while at + 8 <= len(shp):
-        (words,) = struct.unpack_from(">i", shp, at + 4)
+    out, at = [], 0
+    while at + 8 <= len(records):
+        (words,) = struct.unpack_from(">i", records, at + 4)
         at += 8
-        (kind,) = struct.unpack_from("<i", shp, at)
+        (kind,) = struct.unpack_from("<i", records, at)
         parts: list[Polygon] = []
         if kind in (5, 15, 25):
-            n_rings, n_points = struct.unpack_from("<2i", shp, at + 36)
-            starts = [*struct.unpack_from(f"<{n_rings}i", shp, at + 44), n_points]
-            flat = struct.unpack_from(f"<{2 * n_points}d", shp, at + 44 + 4 * n_rings)
+            n_rings, n_points = struct.unpack_from("<2i", records, at + 36)
+            starts = [*struct.unpack_from(f"<{n_rings}i", records, at + 44), n_points]
+            flat = struct.unpack_from(f"<{2 * n_points}d", records, at + 44 + 4 * n_rings)
             points = list(zip(flat[::2], flat[1::2]))
             rings = [points[a:b] for a, b in zip(starts, starts[1:])]
             parts = [[r] for r in rings if _ring_area(r) <= 0]
@@ -89,55 +181,30 @@ def read_shp(shp: bytes, dbf: bytes | None, prj: str | None) -> tuple[list[Featu
                 (owner.append(hole) if owner else parts.append([hole]))
         elif kind != 0:
             raise ValueError(f"shape type {kind} isn't a polygon")
-        shapes_.append(parts)
+        out.append(parts)
         at += 2 * words
-    rows: list[dict] = [{} for _ in shapes_]
-    if dbf:
-        n, head, length = struct.unpack_from("<IHH", dbf, 4)
-        fields = []
-        k = 32
-        while dbf[k] != 0x0D:
-            fields.append((dbf[k : k + 11].split(b"\0")[0].decode(), chr(dbf[k + 11]), dbf[k + 16], dbf[k + 17]))
-            k += 32
-        for r in range(min(n, len(rows))):
-            k = head + r * length + 1
-            for name, kind, size, decimals in fields:
-                text = dbf[k : k + size].decode("utf-8", "replace").strip()
-                rows[r][name] = None if not text else (float(text) if decimals else int(text)) if kind in "NF" else text
-                k += size
-    code = re.search(r'AUTHORITY\["EPSG","?(\d+)"?\]\]\s*$', prj or "")
-    return list(zip(rows, shapes_)), f"EPSG:{code[1]}" if code else prj
+    return out
+
+
+#: Features that one partition of a file holds, where the format can be read in parts.
+FEATURES_AT_ONCE = 50_000
+
+
+def _unknown(uri: str) -> ValueError:
+    return ValueError(f"{uri}: {suffix(uri) or 'no suffix'} isn't a vector format that is read here")
 
 
 def read_features(uri: str) -> tuple[list[Feature], str | None]:
     """All features of a file and its reference system, by suffix."""
     kind = suffix(uri)
-    with open_file(uri.split("?")[0]) as f:
-        blob = f.read()
     if kind in (".geojson", ".json"):
-        return read_geojson(blob.decode())
+        with open_file(uri.split("?")[0]) as f:
+            return read_geojson(f.read().decode())
     if kind == ".gpkg":
-        return read_gpkg(blob)
-    if kind == ".shp":
-        def beside(s: str) -> bytes | None:
-            try:
-                with open_file(uri.split("?")[0][:-4] + s) as g:
-                    return g.read()
-            except FileNotFoundError:
-                return None
-
-        prj = beside(".prj")
-        return read_shp(blob, beside(".dbf"), prj.decode() if prj else None)
-    if kind == ".zip":
-        with zipfile.ZipFile(io.BytesIO(blob)) as z:
-            shp = next((n for n in sorted(z.namelist()) if n.lower().endswith(".shp")), None)
-            if shp is None:
-                raise ValueError(f"{uri} has no shapefile")
-            other = {n.lower(): n for n in z.namelist()}
-            get = lambda s: z.read(other[shp[:-4].lower() + s]) if shp[:-4].lower() + s in other else None
-            prj = get(".prj")
-            return read_shp(z.read(shp), get(".dbf"), prj.decode() if prj else None)
-    raise ValueError(f"{uri}: {kind or 'no suffix'} isn't a vector format that is read here")
+        return read_gpkg(uri), crs_of(uri)
+    if kind in (".shp", ".zip"):
+        return Shapefile(uri).features(), crs_of(uri)
+    raise _unknown(uri)
 
 
 def _kind(values: list) -> str:
@@ -145,28 +212,64 @@ def _kind(values: list) -> str:
     return "bigint" if types == {int} else "double" if types and types <= {int, float} else "boolean" if types == {bool} else "string"
 
 
+@dataclass
+class Features(InputPartition):
+    """Rowids from first to last of a GeoPackage, records from number `first` of a shapefile, or a whole file."""
+
+    first: int | None = None
+    last: int | None = None
+    records: list[tuple[int, int]] | None = None
+
+    def __post_init__(self):
+        super().__init__(self.first)
+
+
 class VectorReader(DataSourceReader):
     def __init__(self, uri: str, schema):
         self.uri, self.fields = uri, [(f.name, f.dataType.simpleString()) for f in schema.fields]
 
-    def read(self, _) -> Iterator[tuple]:
+    def partitions(self) -> list[Features]:
+        kind = suffix(self.uri)
+        if kind == ".gpkg":
+            db, table, *_ = _gpkg(self.uri)
+            low, high = db.execute(f"select min(rowid), max(rowid) from {table}").fetchone()
+            db.close()
+            return [Features(k, min(k + FEATURES_AT_ONCE - 1, high)) for k in range(low, high + 1, FEATURES_AT_ONCE)] if low is not None else []
+        if kind == ".shp" and (index := Shapefile(self.uri).index()):
+            return [Features(k, records=index[k : k + FEATURES_AT_ONCE]) for k in range(0, len(index), FEATURES_AT_ONCE)]
+        return [Features()]
+
+    def read(self, part: Features) -> Iterator[tuple]:
         cast = {"bigint": int, "double": float, "boolean": bool, "string": str}
-        for row, parts in read_features(self.uri)[0]:
+        if part is None:  # no feature at all
+            return
+        if part.records:
+            rows = Shapefile(self.uri).features(part.first, part.records)
+        else:
+            rows = read_features(self.uri)[0] if part.first is None else read_gpkg(self.uri, part.first, part.last)
+        for row, parts in rows:
             values = [row.get(n) if n != "geometry" else None for n, _ in self.fields[:-1]]
             yield (*[None if v is None else cast[k](v) for v, (_, k) in zip(values, self.fields)], write_wkb(parts) if parts else None)
 
 
 class VectorSource(DataSource):
-    """One file is one partition, read on an executor; the driver opens it too for its columns."""
+    """A GeoPackage or a shapefile with an index is read in parts on the executors, and the driver reads its column types
+    alone; GeoJSON, whose columns only its features tell, and zips are one partition."""
 
     @classmethod
     def name(cls) -> str:
         return "vector"
 
     def schema(self) -> str:
-        rows = [r for r, _ in read_features(self.options["path"])[0]]
-        columns = list(dict.fromkeys(c for r in rows for c in r if c != "geometry"))
-        return ", ".join([*[f"`{c}` {_kind([r.get(c) for r in rows])}" for c in columns], "geometry binary"])
+        uri = self.options["path"]
+        if suffix(uri) == ".gpkg":
+            columns = _gpkg_columns(uri)
+        elif suffix(uri) in (".shp", ".zip"):
+            columns = Shapefile(uri).columns()
+        else:
+            rows = [r for r, _ in read_features(uri)[0]]
+            columns = [(c, _kind([r.get(c) for r in rows])) for c in dict.fromkeys(c for r in rows for c in r if c != "geometry")]
+        return ", ".join([*[f"`{c}` {k}" for c, k in columns if c != "geometry"], "geometry binary"])
 
     def reader(self, schema) -> VectorReader:
         return VectorReader(self.options["path"], schema)
@@ -174,6 +277,12 @@ class VectorSource(DataSource):
 
 def crs_of(uri: str) -> str | None:
     """The file's reference system: of Parquet the `geo` footer's EPSG code."""
+    if suffix(uri) == ".gpkg":
+        db, _, _, srs = _gpkg(uri)
+        db.close()
+        return srs
+    if suffix(uri) in (".shp", ".zip"):
+        return Shapefile(uri).reference()
     if suffix(uri) not in (".parquet", ".geoparquet", ".pq"):
         return read_features(uri)[1]
     import pyarrow.parquet as pq

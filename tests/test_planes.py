@@ -100,3 +100,14 @@ def test_least_squares_equals_svd(spark):
     _, normal = planes.pca_normal(pts)
     t, a = planes.tilt_azimuth(normal)
     assert got["tilt"] == pytest.approx(t, abs=1e-6) and got["azimuth"] == pytest.approx(a, abs=1e-6)
+
+
+def test_all_points_where_consensus_is_low():
+    rng = np.random.default_rng(12)
+    loose = np.concatenate([rng.uniform(0, 5, (40, 2)), rng.uniform(0, 2, (40, 1))], axis=1)
+    plain, whole = planes.fit_consensus(loose, seed=1), planes.fit_consensus(loose, seed=1, all_points=True)
+    assert math.isnan(plain.tilt) and plain.n_inliers < 24
+    assert whole.n_inliers == whole.n_total == 40 and not math.isnan(whole.tilt) and whole.rmse > 0.05
+    tight = loose * [1, 1, 0] + [0, 0, 3]
+    assert planes.fit_consensus(tight, seed=1, all_points=True).n_inliers == 40
+    assert planes.fit_consensus(loose[:2], all_points=True).n_inliers == 0

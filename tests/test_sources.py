@@ -56,7 +56,8 @@ def test_las(spark, tmp_path, monkeypatch):
     df = las.read_las(spark, str(tmp_path))
     got = sorted(tuple(r) for r in df.collect())
     assert np.allclose([g[1:] for g in got if g[0] == "a"], rows) and len([g for g in got if g[0] == "b"]) == 3
-    assert df.filter(F.col("cls").isin(2, 3)).count() == 9 and df.filter("cls = 4").count() == 4
+    assert df.filter(F.col("cls").isin(2, 3)).count() == 9 and df.filter("cls = 4").count() == 4 and df.count() == 13  # no filter stays
+    assert las.read_las(spark, str(tmp_path), classes=[2, 3]).count() == 9
     h = las.read_header(str(tmp_path / "a.las"))
     assert (h.version, h.point_format, h.n_points, h.crs, h.compressed) == ("1.4", 6, 10, 'PROJCS["x"]', False) and h.low[0] == 100.5
 
@@ -80,7 +81,7 @@ def test_files_of_other_tiles_are_not_opened(spark, tmp_path):
     write_las(tmp_path / "a.las", [(100.0, 200.0, 0.0, 2)])
     (tmp_path / "broken.las").write_bytes(b"text")
     df = las.read_las(spark, str(tmp_path))
-    assert df.filter("tile_id = 'a'").count() == 1 and df.filter(F.col("tile_id").isin("a", "none")).count() == 1
+    assert las.read_las(spark, str(tmp_path), tiles=["a", "none"]).count() == 1
     with pytest.raises(Exception, match="isn't a LAS file"):
         df.count()
 
@@ -148,6 +149,12 @@ def shapefile(folder, name, records):
         content = struct.pack("<i4d2i", 5, 0, 0, 0, 0, len(rings), len(flat) // 2) + struct.pack(f"<{len(rings)}i", *starts) + struct.pack(f"<{len(flat)}d", *flat)
         body += struct.pack(">2i", k, len(content) // 2) + content
     (folder / f"{name}.shp").write_bytes(bytes(100) + body)
+    at, index = 100, b""
+    while at < 100 + len(body):
+        (words,) = struct.unpack_from(">i", body, at - 96)
+        index += struct.pack(">2i", at // 2, words)
+        at += 8 + 2 * words
+    (folder / f"{name}.shx").write_bytes(bytes(100) + index)
     head = bytearray(32 + 32 + 1)
     struct.pack_into("<IHH", head, 4, len(records), 65, 9)
     head[32:36], head[43], head[48], head[64] = b"Name", ord("C"), 8, 0x0D
@@ -199,6 +206,23 @@ def test_footprints_and_tiles(spark, tmp_path):
         vector.read_features(str(tmp_path / "tiles.prj"))
 
 
+def test_vector_files_in_parts(spark, tmp_path, monkeypatch):
+    squares = [[(k + x, y) for x, y in SQUARE] for k in range(7)]
+    gpkg(tmp_path / "f.gpkg", [(k, [[s]]) for k, s in enumerate(squares, 1)])
+    shapefile(tmp_path, "f", [[s] for s in squares])
+    monkeypatch.setattr(vector, "FEATURES_AT_ONCE", 3)
+    for name in ("f.gpkg", "f.shp"):
+        uri = str(tmp_path / name)
+        df = vector.read_vector(spark, uri)
+        reader = vector.VectorReader(uri, df.schema)
+        parts = reader.partitions()
+        assert len(parts) == 3
+        assert [r for p in parts for r in reader.read(p)] == [tuple(r[:-1]) + (bytes(r[-1]),) for r in df.collect()]
+    gpkg(tmp_path / "none.gpkg", [])
+    assert vector.read_vector(spark, str(tmp_path / "none.gpkg")).count() == 0
+    assert vector.read_vector(spark, str(tmp_path / "f.gpkg")).dtypes == [("fid", "bigint"), ("build_id", "bigint"), ("geometry", "binary")]
+
+
 @pytest.fixture(scope="module")
 def files(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("run")
