@@ -15,6 +15,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,6 +73,7 @@ class Node:
         self.tag, self.at, self.outside, self.link, self.main = tag, at, outside, link, main
 
 
+@lru_cache(1 << 14)
 def _label(tag: str, attributes: str, in_main: bool) -> tuple[str, bool]:
     """The token's name (tag, classes and id without their digits) and whether its role is outside an article."""
     names: list[str] = []
@@ -176,7 +178,7 @@ class Page(Shape):
         at = self._known.get((around.at, label))
         if at is None:
             at = self._known[around.at, label] = len(self.ids)
-            self.ids.append(_hash(f"{self.ids[around.at]} {label}"))
+            self.ids.append(_child(self.ids[around.at], label))
             self.tags.append(tag)
             self.up.append(around.at)
             self.depth.append(self.depth[around.at] + 1)
@@ -230,6 +232,12 @@ class Page(Shape):
             token = top.at if tag in INLINE else self._open(tag, label, top, outside)
             stack.append(Node(tag, token, outside, top.link or tag == "a", top.main or tag in MAIN_TAGS))
 
+@lru_cache(1 << 14)
+def _child(around: int, label: str) -> int:
+    """The id of an element with this label in the element of the id `around`."""
+    return _hash(f"{around} {label}")
+
+
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 

@@ -138,7 +138,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     A document is its ids and then end_id. It is cut into pieces of `longest` (a power of two) and of the powers of
     two that make up the rest; each piece is a whole sequence, so no sequence crosses documents and none is
-    padded. Training draws batches from one bucket at a time.
+    padded. write_buckets lays them out for training, which draws batches from one bucket at a time.
 
     Null and empty texts are the end id alone; a text of any length is packed whole; rows that repeat an id are
     packed each, with sequences of their own; a null id stays null; columns besides the two are ignored; an
@@ -185,6 +185,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     )
 
 
+def write_buckets(pieces: DataFrame, path: str, rows_a_file: int = 100_000) -> None:
+    """Writes pack_documents' pieces as a table with a folder for each bucket, so that equal lengths lie together. Every task
+    writes its own files, at most one more for a bucket than its rows need; nothing is shuffled."""
+    pieces.write.option("maxRecordsPerFile", rows_a_file).partitionBy("bucket").parquet(path)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

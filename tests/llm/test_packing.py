@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from sunplane.llm.common import text_chunks  # noqa: E402
-from sunplane.llm.packing import WordEncoder, binary_pieces, op6_packing, pack_documents  # noqa: E402
+from sunplane.llm.packing import WordEncoder, binary_pieces, op6_packing, pack_documents, write_buckets  # noqa: E402
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ENCODER = WordEncoder(PATH)
@@ -101,3 +101,13 @@ def test_edges(spark, docs):
     df = spark.createDataFrame([(None, "a b", 1), (3, "a b", 2), (3, "a b", 2)], "doc_id long, text string, start int")
     rows = pack_documents(df, PATH).collect()
     assert len({r["sequence_id"] for r in rows}) == len(rows) == 6
+
+
+def test_buckets_hold_equal_lengths(spark, docs, tmp_path):
+    pieces = pack_documents(docs(["some words here " * k for k in range(1, 40)]), PATH)
+    write_buckets(pieces, str(tmp_path / "packed"))
+    rows = spark.read.parquet(str(tmp_path / "packed")).collect()
+    assert all(len(r["ids"]) == r["length"] == 1 << r["bucket"] for r in rows)
+    key = lambda r: (r["doc_id"], r["start"], r["length"], r["ids_crc32"])
+    assert sorted(map(key, rows)) == sorted(map(key, pieces.collect()))
+    assert (tmp_path / "packed" / "bucket=2").is_dir()
