@@ -94,5 +94,10 @@ def in_box(polygons: DataFrame, x0: float, y0: float, x1: float, y1: float) -> D
     return polygons.filter(near).filter(shapes.intersects(F.col("edges"), frame))
 
 
+def of_score(rows: DataFrame, score: str, least: float, tiles: DataFrame, tile: str = "primary_tile_id") -> DataFrame:
+    """The rows of a score of at least `least` whose tile is among `tiles` (tile_id). Null scores and tiles go."""
+    return rows.filter(F.col(score) >= least).join(tiles.select(F.col("tile_id").alias("_wanted")), F.col(tile) == F.col("_wanted"), "left_semi")
+
+
 def first_polygons(polygons: DataFrame, n: int, order: list[str]) -> DataFrame:
     return polygons.orderBy(*order).limit(n)

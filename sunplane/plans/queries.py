@@ -190,6 +190,13 @@ def overlap_tiles(spark, d):
     return assign.overlap_tiles(scene.polygons(spark, d), scene.tiles(spark, d), scene.CELL).select("polygon_id", _joined("overlapping_tile_ids").alias("tiles"))
 
 
+@query(sql(ASSIGN_SQL + " SELECT polygon_id, primary_tile_id, (p * 37) % 100 / 100::DOUBLE AS score FROM prim JOIN polygons USING (polygon_id) JOIN tiles ON tile_id = primary_tile_id AND tiles.k % 2 = 0 WHERE (p * 37) % 100 / 100::DOUBLE >= 0.5::DOUBLE"))
+def score_filter(spark, d):
+    mine = scene.polygons(spark, d).select("polygon_id", ((F.col("p") * 37) % 100 / F.lit(100.0)).alias("score"))
+    rows = mine.join(assign.primary_tiles(scene.polygons(spark, d), scene.tiles(spark, d), scene.CELL), "polygon_id")
+    return assign.of_score(rows, "score", 0.5, scene.tiles(spark, d).filter("k % 2 = 0")).select("polygon_id", "primary_tile_id", "score")
+
+
 @query(sql(ASSIGN_SQL + " SELECT polygon_id, primary_tile_id, string_agg(tile_id, ',' ORDER BY tile_id) AS tiles FROM prim LEFT JOIN over USING (polygon_id) GROUP BY 1, 2"))
 def assignments(spark, d):
     return _assigned(spark, d).select("polygon_id", "primary_tile_id", _joined("overlapping_tile_ids").alias("tiles"))
