@@ -1,5 +1,6 @@
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -96,6 +97,21 @@ def test_query_against_the_articles(spark, sample_dir):
         assert (out[k]["text"], out[k]["n_chars"]) == (want, len(want))
 
 
+def test_articles_of_pages_whose_names_are_taken_away(spark):
+    """Every telling element of the sample pages becomes a div with a meaningless class."""
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    pages = {r["page_id"]: (html_template.host_of(r["url"]), plain(re.search("<article>(.*?)</article>", r["html"], re.S)[1])) for r in df.collect()}
+    names = {"<article>": "<div class=qa>", "</article>": "</div>", "<nav>": "<div class=qb>", "</nav>": "</div>", '<div class="ad">': "<div class=qc>", "<footer>": "<div class=qd>", "</footer>": "</div>"}
+    opaque = F.col("html")
+    for name, other in names.items():
+        opaque = F.replace(opaque, F.lit(name), F.lit(other))
+    out = {r["page_id"]: r["text"] for r in extract_text(df.withColumn("html", opaque)).collect()}
+    size = Counter(h for h, _ in pages.values())
+    other = [k for k, (_, text) in pages.items() if out[k] != text]
+    assert len(other) <= 5 and all(size[pages[k][0]] < 5 for k in other)
+    assert all(pages[k][1] in out[k] for k in other)  # too much, not too little
+
+
 def test_article_without_its_surroundings(spark):
     article = "<article><h1>Head {k}</h1><p>a<b>b</b> &amp; c&#233;\n  d<br>e<p>unclosed <i>x</i><div class='ad'>Buy</div><div class=share>Share</div><ul><li>one<li>two</ul></article>"
     rows = [(k, f"http://h.example/{k}", SHELL.format(body=article.replace("{k}", str(k)))) for k in range(5)]
