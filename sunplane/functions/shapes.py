@@ -3,9 +3,11 @@ array<struct<ax,ay,bx,by>>, the sides of all rings. Even-odd rule, so holes need
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sunplane.functions.angles import let
+
 RINGS = "array<array<struct<x:double,y:double>>>"
 EDGES = "array<struct<ax:double,ay:double,bx:double,by:double>>"
 
@@ -98,3 +100,31 @@ def cells(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Column
 
 def cell(x: Column, y: Column, size: float) -> Column:
     return F.struct(F.floor(x / size).alias("i"), F.floor(y / size).alias("j"))
+
+
+def _key(i: Column, j: Column) -> Column:
+    return F.shiftleft(i, 32) + j.bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def cell_key(x: Column, y: Column, size: float) -> Column:
+    """The cell as one number, which sorts and hashes faster than a struct. Cells 2**32 rows apart share one, so compare bounds too."""
+    return _key(F.floor(x / size), F.floor(y / size))
+
+
+def by_cell(df: DataFrame, bounds: tuple[str, str, str, str], size: float) -> DataFrame:
+    """df with a row for each cell that its bounds touch, as `cell`, the cell_key. Rows without bounds go."""
+    x0, y0, x1, y1 = map(F.col, bounds)
+    each = df.withColumn("_i", F.explode(F.sequence(F.floor(x0 / size), F.floor(x1 / size)))).withColumn("_j", F.explode(F.sequence(F.floor(y0 / size), F.floor(y1 / size))))
+    return each.withColumn("cell", _key(F.col("_i"), F.col("_j"))).drop("_i", "_j")
+
+
+def is_box(edges: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Whether the sides are just the four of the rectangle x0..y1."""
+
+    def told(v: Column) -> Column:
+        level = lambda e: (e["ay"] == e["by"]) & (F.least(e["ax"], e["bx"]) == v["x0"]) & (F.greatest(e["ax"], e["bx"]) == v["x1"])
+        upright = lambda e: (e["ax"] == e["bx"]) & (F.least(e["ay"], e["by"]) == v["y0"]) & (F.greatest(e["ay"], e["by"]) == v["y1"])
+        side = lambda e: F.when(level(e) & (e["ay"] == v["y0"]), 1).when(level(e) & (e["ay"] == v["y1"]), 2).when(upright(e) & (e["ax"] == v["x0"]), 4).when(upright(e) & (e["ax"] == v["x1"]), 8).otherwise(0)
+        return (F.size(v["edges"]) == 4) & (v["x0"] < v["x1"]) & (v["y0"] < v["y1"]) & (F.aggregate(v["edges"], F.lit(0), lambda seen, e: seen.bitwiseOR(side(e))) == 15)
+
+    return let({"edges": edges, "x0": x0, "y0": y0, "x1": x1, "y1": y1}, told)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunplane.functions import shapes
+from sunplane.operators.points import small
 
 CELL = 1000.0
 #: Places on a square lattice 25 m apart, and points made from each row of lineitem.
@@ -17,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """df over all cores: a file of few bytes is read by one task, however much is made of each of its rows."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _boxed(df: DataFrame) -> DataFrame:
     rings = shapes.box_rings(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     return df.withColumn("rings", rings).withColumn("edges", shapes.edges(F.col("rings")))
@@ -41,7 +47,7 @@ def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     px, py = _place(2 * s)
     cx, hx, hy = px + s % 5 - 2, 7 + s % 5, 7 + s % 7
     box = {"x0": cx - hx, "y0": py - hy, "x1": cx + hx, "y1": py + hy}
-    return _boxed(_table(spark, sf_dir, "supplier").select(F.concat(F.lit("b"), s.cast("string")).alias("building_id"), s.alias("s"), *[v.cast("double").alias(k) for k, v in box.items()]))
+    return _boxed(_dealt(_table(spark, sf_dir, "supplier").select("s_suppkey")).select(F.concat(F.lit("b"), s.cast("string")).alias("building_id"), s.alias("s"), *[v.cast("double").alias(k) for k, v in box.items()]))
 
 
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +57,7 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     px, py = _place(p)
     shift = F.when(p % 3 == 0, 9).otherwise(0)
     slope = lambda k: F.when(p % 10 == 0, F.lit(0.0)).otherwise((((k * p) % 21) - 10) / F.lit(20.0))
-    rows = _table(spark, sf_dir, "part").select(
+    rows = _dealt(_table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(
         F.concat(F.lit("pv"), p.cast("string")).alias("polygon_id"), p.alias("p"), *[v.cast("double").alias(k) for k, v in {"cx": px + shift, "cy": py, "w": w, "h": h}.items()], slope(8).alias("sx"), slope(11).alias("sy")
     )
     half = lambda c, d, s: F.col(c) + F.lit(s) * F.col(d) / 2.0
@@ -60,16 +66,17 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tile_id, p, cls, x, y, z: POINTS_PER_ROW for each row of lineitem, around the rectangle of its part with 5 m to
-    spare, on its plane 1 or 3 m over the ground, or on the ground, by return flag."""
+    spare, on its plane 1 or 3 m over the ground, or on the ground, by return flag. Rows of lineitem meet their parts before
+    they become points, so only they are shuffled for it."""
     lcg = lambda c: (F.lit(1103515245) * c + 12345) % F.lit(1 << 31)
-    near = polygons(spark, sf_dir).select("p", "cx", "cy", "w", "h", "sx", "sy")
-    seed = 7919 * F.col("l_orderkey") + 104729 * F.col("l_suppkey") + 1299709 * F.col("l_linenumber") + 15485863 * F.col("l_partkey") + 32452843 * F.col("m")
-    rows = _table(spark, sf_dir, "lineitem").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(POINTS_PER_ROW - 1).cast("bigint"))).alias("m")).select(
-        F.col("l_partkey").alias("p"), F.when(F.col("l_returnflag") == "A", 2).when(F.col("l_returnflag") == "N", 6).otherwise(1).alias("cls"), (seed % F.lit(1 << 31)).alias("seed")
-    )
-    rows = rows.withColumn("a", lcg(F.col("seed"))).withColumn("b", lcg(F.col("a"))).withColumn("c", lcg(F.col("b")))
+    near = small(polygons(spark, sf_dir).select("p", "cx", "cy", "w", "h", "sx", "sy"))
+    start = 7919 * F.col("l_orderkey") + 104729 * F.col("l_suppkey") + 1299709 * F.col("l_linenumber") + 15485863 * F.col("l_partkey")
+    cls = F.when(F.col("l_returnflag") == "A", 2).when(F.col("l_returnflag") == "N", 6).otherwise(1)
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p"), cls.alias("cls"), start.alias("start")).join(near, "p")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(POINTS_PER_ROW - 1).cast("bigint"))).alias("m"))
+    rows = rows.withColumn("a", lcg((F.col("start") + 32452843 * F.col("m")) % F.lit(1 << 31))).withColumn("b", lcg(F.col("a"))).withColumn("c", lcg(F.col("b")))
     unit = lambda k: F.col(k) / F.lit(2147483648.0) - F.lit(0.5)
-    rows = rows.join(near, "p").withColumns({"dx": unit("a") * (F.col("w") + 10.0), "dy": unit("b") * (F.col("h") + 10.0)})
+    rows = rows.withColumns({"dx": unit("a") * (F.col("w") + 10.0), "dy": unit("b") * (F.col("h") + 10.0)})
     raised = F.col("sx") * F.col("dx") + F.col("sy") * F.col("dy") + F.lit(0.04) * unit("c") + F.when(F.col("p") % 2 == 0, F.lit(1.0)).otherwise(F.lit(3.0))
     rows = rows.select("p", "cls", (F.col("cx") + F.col("dx")).alias("x"), (F.col("cy") + F.col("dy")).alias("y"), F.when(F.col("cls") == 2, F.lit(0.0)).otherwise(raised).alias("z"))
     names = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("tile_id"))
