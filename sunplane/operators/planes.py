@@ -232,8 +232,9 @@ def stable_seed(ident) -> int:
 
 
 def fit_least_squares(points: DataFrame, keys: list[str], tilt_floor: float = 1.0) -> DataFrame:
-    """One row for each key: n, the centroid, the normal, tilt and azimuth of the least-squares plane, from moments
-    in one map-side aggregate. Under 3 points, or all in one spot, the plane is null."""
+    """One row for each key: n, the centroid, the normal, tilt and azimuth of the least-squares plane, and rmse, the root
+    mean square of the points' residuals, all from moments in one map-side aggregate. Under 3 points, or all in one spot, the
+    plane is null."""
     m = points.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.avg(c).alias("c" + c) for c in "xyz"],
@@ -241,6 +242,9 @@ def fit_least_squares(points: DataFrame, keys: list[str], tilt_floor: float = 1.
     )
     spread = (F.col("n") >= 3) & (F.col("xx") + F.col("yy") + F.col("zz") > 0)
     normal = least_variance_normal({c: F.when(spread, F.col(c)) for c in ("xx", "xy", "xz", "yy", "yz", "zz")})
-    out = m.select(*keys, "n", "cx", "cy", "cz", normal.alias("normal")).select(*keys, "n", "cx", "cy", "cz", *[F.col(f"normal.{k}").alias("n" + k) for k in "xyz"])
+    moments = [a + b for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]
+    out = m.select(*keys, "n", "cx", "cy", "cz", *moments, normal.alias("normal")).select(*keys, "n", "cx", "cy", "cz", *moments, *[F.col(f"normal.{k}").alias("n" + k) for k in "xyz"])
+    square = sum((F.col("n" + a) * F.col("n" + b) * F.col(a + b) * (1.0 if a == b else 2.0) for a, b in moments), F.lit(0.0))
+    out = out.withColumn("rmse", F.sqrt(F.greatest(square, F.lit(0.0)))).drop(*moments)
     vector = [F.col("nx"), F.col("ny"), F.col("nz")]
     return out.withColumns({"tilt": tilt(*vector), "azimuth": azimuth(*vector, tilt_floor)})

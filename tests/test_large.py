@@ -59,6 +59,14 @@ def test_boxes_cells_hold_their_points(spark):
     assert set(corner) <= set(keys)
 
 
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("l_returnflag#") and sum("Relation [l_orderkey" in p for p in df._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+
+
+def test_residuals_need_one_clip(spark):
+    assert scans(__spark_entry__.queries()["residual_rmse"](spark, SF)) == 1
+
+
 def test_lineitem_meets_part_before_it_becomes_points(spark):
     text = scene.points(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 <= text.index("Generate explode") < text.index("Relation [l_orderkey") and text.index("Generate explode") < text.index("p_partkey")
