@@ -16,7 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
+from sunplane.functions import shapes
 from sunplane.functions.angles import azimuth, least_variance_normal, tilt
+from sunplane.functions.kernels import boundary_distance, contains
+from sunplane.operators.points import by_home
 
 # The generator.
 LCG_A, LCG_C, LCG_M = 1103515245, 12345, 1 << 31
@@ -25,8 +28,9 @@ MULTI_THRESHOLD, MULTI_FRACTION, MULTI_ITERATIONS = 0.10, 0.5, 200
 
 
 def scramble(state: np.ndarray) -> np.ndarray:
-    """One step of the generator between two shifts, so that states in a row don't lie on a lattice."""
-    out = ((state ^ (state >> 15)) * LCG_A + LCG_C) % LCG_M
+    """One step of the generator between two shifts, so that states in a row don't lie on a lattice. States are from 0 up, so
+    masks and shifts are remainders and quotients."""
+    out = ((state ^ (state >> 15)) * LCG_A + LCG_C) & (LCG_M - 1)
     return out ^ (out >> 13)
 
 
@@ -36,10 +40,10 @@ def triples(seed: int, n: int, iterations: int) -> np.ndarray:
     r1 = scramble(s)
     r2 = scramble(r1)
     r3 = scramble(r2)
-    i = (r1 // 256) % n
-    j = (r2 // 256) % (n - 1)
+    i = (r1 >> 8) % n
+    j = (r2 >> 8) % (n - 1)
     j += j >= i
-    k = (r3 // 256) % (n - 2)
+    k = (r3 >> 8) % (n - 2)
     k += k >= np.minimum(i, j)
     k += k >= np.maximum(i, j)
     return np.stack([i, j, k], axis=1)
@@ -80,6 +84,34 @@ def _distances(points: np.ndarray, at: np.ndarray, normals: np.ndarray) -> np.nd
     return np.abs(d[0] * normals[:, None, 0] + d[1] * normals[:, None, 1] + d[2] * normals[:, None, 2])
 
 
+def _first_best(pts: np.ndarray, at: np.ndarray, normals: np.ndarray, threshold: float) -> int:
+    """The first of the planes (a point and a normal each) with the most points nearer than the threshold. Single-precision
+    products bound each count from above; exact distances tell those that may be the most, from the highest bound on. A plane
+    with all points ends the search, as none has more."""
+    n = len(pts)
+    centre = (pts.min(axis=0) + pts.max(axis=0)) / 2
+    local, start = pts - centre, at - centre
+    margin = 4e-6 * (4 * np.abs(local).max() + threshold)  # ten times what rounding of the products and sums can add up to
+    if not margin < 1e30:
+        return int(np.argmax([(_distances(pts, at[k : k + 1], normals[k : k + 1]) < threshold).sum() for k in range(len(at))]))
+    planes = np.concatenate([normals, -(normals * start).sum(axis=1, keepdims=True)], axis=1).astype(np.float32)
+    flat = np.ones((4, n), np.float32)
+    flat[:3] = local.T
+    most, best, least, k, step = np.float32(threshold + margin), len(planes), -1, 0, 16
+    while k < len(planes) and least < n:
+        d = planes[k : k + step] @ flat
+        np.abs(d, out=d)
+        upper = np.bitwise_count(np.packbits(d < most, axis=1)).sum(axis=1, dtype=np.int64)
+        for i in np.argsort(-upper, kind="stable").tolist():
+            if upper[i] < least or upper[i] == least and k + i > best:
+                break
+            count = int(np.count_nonzero(_distances(pts, at[k + i : k + i + 1], normals[k + i : k + i + 1]) < threshold))
+            if count > least or count == least and k + i < best:
+                best, least = k + i, count
+        k, step = k + step, max(1, min(256, 2_000_000 // n))
+    return best
+
+
 def fit_all(points: np.ndarray, tilt_floor: float = 1.0) -> Plane:
     """The least-squares plane of all points, which all count as inliers. Fewer than 3 points are a failed fit."""
     if len(points) < 3:
@@ -109,17 +141,15 @@ def _fit_consensus(points: np.ndarray, threshold: float, least_fraction: float,
     if n < 3:
         return failed(n)
     picks = triples(seed, n, iterations) if picks is None else picks
-    p0, u, v = pts[picks[:, 0]], pts[picks[:, 1]] - pts[picks[:, 0]], pts[picks[:, 2]] - pts[picks[:, 0]]
-    cross = np.stack([u[:, 1] * v[:, 2] - u[:, 2] * v[:, 1], u[:, 2] * v[:, 0] - u[:, 0] * v[:, 2], u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]], axis=1)
-    size = np.sqrt(cross[:, 0] * cross[:, 0] + cross[:, 1] * cross[:, 1] + cross[:, 2] * cross[:, 2])
+    p0, p1, p2 = pts[picks.T]
+    (ux, uy, uz), (vx, vy, vz) = np.ascontiguousarray((p1 - p0).T), np.ascontiguousarray((p2 - p0).T)
+    cx, cy, cz = uy * vz - uz * vy, uz * vx - ux * vz, ux * vy - uy * vx
+    cross, size = np.stack([cx, cy, cz], axis=1), np.sqrt(cx * cx + cy * cy + cz * cz)
     good = np.flatnonzero(size >= 1e-9)
     if not len(good):
         return failed(n)
-    normals, counts = cross[good] / size[good][:, None], []
-    step = max(1, 2_000_000 // n)
-    for k in range(0, len(good), step):
-        counts.append((_distances(pts, p0[good[k : k + step]], normals[k : k + step]) < threshold).sum(axis=1))
-    best = int(np.argmax(np.concatenate(counts)))
+    normals = cross[good] / size[good][:, None]
+    best = _first_best(pts, p0[good], normals, threshold)
     inside = _distances(pts, p0[good[best : best + 1]], normals[best : best + 1])[0] < threshold
     if inside.sum() < 3:
         return failed(n)
@@ -145,10 +175,10 @@ def bootstrap(points: np.ndarray, plane: Plane, samples: int = 50, seed: int = 0
     normals = []
     step = max(1, 1_000_000 // n)
     for k in range(0, samples, step):
-        s = scramble(scramble((seed + ITERATION_STEP * rep[k : k + step] + DRAW_STEP * draw) % LCG_M))
-        drawn = pts[(s // 256) % n]
+        s = scramble(scramble((seed + ITERATION_STEP * rep[k : k + step] + DRAW_STEP * draw) & (LCG_M - 1)))
+        drawn = pts[(s >> 8) % n]
         d = drawn - drawn.mean(axis=1, keepdims=True)
-        normals.append(np.linalg.eigh(np.einsum("rni,rnj->rij", d, d))[1][:, :, 0])
+        normals.append(np.linalg.eigh(d.transpose(0, 2, 1) @ d)[1][:, :, 0])
     v = np.concatenate(normals)
     v *= np.where(v[:, 2:] < 0, -1.0, 1.0)
     tilts, turn = np.degrees(np.arctan2(np.hypot(v[:, 0], v[:, 1]), v[:, 2])), np.arctan2(v[:, 0], v[:, 1])
@@ -199,34 +229,80 @@ def fit_groups(points: DataFrame, key: str, threshold: float = 0.05, least_fract
     sensor's density, so it fits in a task. sampler `numpy` draws with numpy's generator instead; all_points: as in fit_consensus. Null keys form one group;
     points with a null coordinate are left out; no points, no row.
     """
-    key_field = to_arrow_schema(points.select(key).schema).field(0)
-    number, count = pa.float64(), pa.int32()
-    fields = [(k, count if k.startswith("n_") else number) for k in PLANE_NAMES]
-    fields += [("tilt_unc", number), ("azimuth_unc", number)] * bool(samples) + [("tilt2", number), ("azimuth2", number), ("n_inliers2", count)] * second
-    arrow = pa.schema([key_field, *[pa.field(*f) for f in fields]])
+    arrow = _fit_schema(points, key, samples, second)
 
     def fit(k: tuple, table: pa.Table) -> pa.Table:
-        pts = np.stack([table.column(c).to_numpy() for c in "xyz"], axis=1)
-        pts = in_order(pts[~np.isnan(pts).any(axis=1)])
-        ident = k[0].as_py()
-        seed = stable_seed(ident)
-        picks = None
-        if sampler == "numpy" and len(pts) >= 3:
-            rng = np.random.default_rng(seed)
-            picks = np.stack([rng.choice(len(pts), 3, replace=False) for _ in range(iterations)])
-        p = fit_consensus(pts, threshold, least_fraction, iterations, tilt_floor, seed, picks, all_points)
-        row = {key: ident} | plane_row(p)
-        if samples:
-            row["tilt_unc"], row["azimuth_unc"] = (None if math.isnan(v) else v for v in bootstrap(pts, p, samples, seed))
-        if second:
-            q = second_plane(pts, p, seed=seed, iterations=iterations)
-            q = plane_row(q) if q else {}
-            row |= {"tilt2": q.get("tilt"), "azimuth2": q.get("azimuth"), "n_inliers2": q.get("n_inliers")}
-        return pa.Table.from_pylist([row], arrow)
+        pts = in_order(np.stack([table.column(c).to_numpy() for c in "xyz"], axis=1))
+        return pa.Table.from_pylist([_fit_row(key, k[0].as_py(), pts, threshold, least_fraction, iterations, tilt_floor, samples, second, sampler, all_points)], arrow)
 
     return points.select(key, "x", "y", "z").groupBy(key).applyInArrow(fit, from_arrow_schema(arrow))
 
 
+def _fit_schema(df: DataFrame, key: str, samples: int, second: bool) -> pa.Schema:
+    number, count = pa.float64(), pa.int32()
+    fields = [(k, count if k.startswith("n_") else number) for k in PLANE_NAMES]
+    fields += [("tilt_unc", number), ("azimuth_unc", number)] * bool(samples) + [("tilt2", number), ("azimuth2", number), ("n_inliers2", count)] * second
+    return pa.schema([to_arrow_schema(df.select(key).schema).field(0), *[pa.field(*f) for f in fields]])
+
+
+def _fit_row(key: str, ident, pts: np.ndarray, threshold: float, least_fraction: float, iterations: int, tilt_floor: float, samples: int, second: bool, sampler: str = "lcg", all_points: bool = False) -> dict:
+    """fit_groups' row of one group, its points in order."""
+    pts = pts[~np.isnan(pts).any(axis=1)]
+    seed = stable_seed(ident)
+    picks = None
+    if sampler == "numpy" and len(pts) >= 3:
+        rng = np.random.default_rng(seed)
+        picks = np.stack([rng.choice(len(pts), 3, replace=False) for _ in range(iterations)])
+    p = fit_consensus(pts, threshold, least_fraction, iterations, tilt_floor, seed, picks, all_points)
+    row = {key: ident} | plane_row(p)
+    if samples:
+        row["tilt_unc"], row["azimuth_unc"] = (None if math.isnan(v) else v for v in bootstrap(pts, p, samples, seed))
+    if second:
+        q = second_plane(pts, p, seed=seed, iterations=iterations)
+        q = plane_row(q) if q else {}
+        row |= {"tilt2": q.get("tilt"), "azimuth2": q.get("azimuth"), "n_inliers2": q.get("n_inliers")}
+    return row
+
+
+def fit_clipped(points: DataFrame, polygons: DataFrame, key: str = "polygon_id", erosion: float = 0.15, threshold: float = 0.05, least_fraction: float = 0.6, iterations: int = 200, tilt_floor: float = 1.0, samples: int = 0) -> DataFrame:
+    """fit_groups of what clip gives of points and polygons (key, edges, x0..y1), without a row for each pair of them: polygons
+    near each other share one group with the points around them, which cross to Python once, in order, and are clipped there."""
+    arrow = _fit_schema(polygons, key, samples, False)
+    box = F.coalesce(shapes.is_box(F.col("edges"), *map(F.col, ("x0", "y0", "x1", "y1"))), F.lit(False))
+    told = polygons.select(key, "x0", "y0", "x1", "y1", F.when(~box, F.col("edges")).alias("edges"))
+    dealt, housed = by_home(points.select("x", "y", "z"), told, key)
+
+    def fit(k: tuple, table: pa.Table, shape: pa.Table) -> pa.Table:
+        pts = in_order(np.stack([table.column(c).to_numpy() for c in "xyz"], axis=1))
+        x, y = pts[:, 0], pts[:, 1]
+        parts: dict = {}
+        for i, (ident, edges) in enumerate(zip(shape.column(key).to_pylist(), shape.column("edges").to_pylist())):
+            parts.setdefault(ident, []).append((i, edges))
+        bounds = np.stack([shape.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")], axis=1)
+        rows = []
+        for ident, own in parts.items():
+            inside = [np.flatnonzero(_clips(bounds[i], edges, erosion, x, y)) for i, edges in own]
+            at = inside[0] if len(own) == 1 else np.sort(np.concatenate(inside))
+            if len(at):
+                rows.append(_fit_row(key, ident, pts[at], threshold, least_fraction, iterations, tilt_floor, samples, False))
+        return pa.Table.from_pylist(rows, arrow)
+
+    return dealt.groupBy("home", "part").cogroup(housed.groupBy("home", "part")).applyInArrow(fit, from_arrow_schema(arrow))
+
+
+def _clips(bounds: np.ndarray, edges: list[dict] | None, erosion: float, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which points clip keeps; edges is None for an upright rectangle."""
+    x0, y0, x1, y1 = bounds
+    if edges is None:
+        return (x > x0 + erosion) & (x < x1 - erosion) & (y > y0 + erosion) & (y < y1 - erosion)
+    sides = np.array([[e["ax"], e["ay"], e["bx"], e["by"]] for e in edges], float).reshape(-1, 4)
+    near = np.flatnonzero((x >= x0) & (x <= x1) & (y >= y0) & (y <= y1))
+    out = np.zeros(len(x), bool)
+    if len(sides) and len(near):
+        out[near] = contains(sides, x[near], y[near]) & (boundary_distance(sides, x[near], y[near]) > erosion)
+    return out
+
+
 def stable_seed(ident) -> int:
     return int(hashlib.md5(str(ident).encode()).hexdigest()[:7], 16)
 

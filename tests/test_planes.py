@@ -4,7 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sunplane.functions import shapes
 from sunplane.operators import planes
+from sunplane.operators import points as pt
+from sunplane.plans import engine
 
 
 def surface(tilt, azimuth, n=300, noise=0.0, outliers=0.0, seed=1, shift=(0.0, 0.0, 10.0), extent=5.0):
@@ -111,3 +114,42 @@ def test_all_points_where_consensus_is_low():
     tight = loose * [1, 1, 0] + [0, 0, 3]
     assert planes.fit_consensus(tight, seed=1, all_points=True).n_inliers == 40
     assert planes.fit_consensus(loose[:2], all_points=True).n_inliers == 0
+
+
+def test_count_of_inliers_is_exact_and_ends_with_all(monkeypatch):
+    rng = np.random.default_rng(5)
+    for kind in range(40):
+        pts = np.round(rng.uniform(-5, 5, (int(rng.integers(4, 200)), 3)) * 20) / 20 + [3000, 1000, 0]
+        pts[:, 2] = 0.05 * rng.integers(0, 3, len(pts)) if kind % 2 else pts[:, 2]
+        picks = planes.triples(kind, len(pts), 60)
+        at, u, v = pts[picks[:, 0]], pts[picks[:, 1]] - pts[picks[:, 0]], pts[picks[:, 2]] - pts[picks[:, 0]]
+        cross = np.cross(u, v)
+        good = np.linalg.norm(cross, axis=1) > 1e-9
+        normals = cross[good] / np.linalg.norm(cross[good], axis=1)[:, None]
+        assert planes._first_best(pts, at[good], normals, 0.05) == np.argmax((planes._distances(pts, at[good], normals) < 0.05).sum(axis=1))
+    monkeypatch.setattr(planes, "_distances", lambda pts, at, normals: pytest.fail("more planes tried") if len(at) > 16 else np.abs(((pts[None] - at[:, None]) * normals[:, None]).sum(axis=2)))
+    assert planes.fit_consensus(surface(20, 90, 60, 0.001)).n_inliers == 60
+
+
+def test_fits_of_polygons_that_share_their_points(spark):
+    rng = np.random.default_rng(8)
+    pts = [(float(x), float(y), float(0.3 * x + rng.uniform(0, 0.1))) for x, y in rng.uniform(-30, 30, (6000, 2))] + [(1.0, 1.0, None), (None, 0.0, 0.0)]
+    points = spark.createDataFrame(pts, "x double, y double, z double")
+    ring = lambda *c: [[{"x": float(x), "y": float(y)} for x, y in (*c, c[0])]]
+    some = {f"p{k}": ring(*((x + a, y + b) for a, b in ((0, 0), (6, 0), (6, 4), (0, 4)))) for k, (x, y) in enumerate(rng.uniform(-28, 22, (30, 2)))}
+    some |= {"tilted": ring((0, -4), (5, 0), (0, 4), (-5, 0)), "large": ring((-29, -29), (29, -29), (29, 29), (-29, 29)), "off": ring((90, 90), (95, 90), (95, 95), (90, 95)), "none": None}
+    both = [*some.items(), ("p0", some["p1"]), (None, some["p2"])]
+    polygons = engine.with_measures(spark.createDataFrame(both, f"polygon_id string, rings {shapes.RINGS}"))
+    told = lambda df: sorted(([None if v is None else round(v, 9) if isinstance(v, float) else v for v in r] for r in df.collect()), key=str)
+    want = told(planes.fit_groups(pt.clip(points, polygons), "polygon_id", samples=10))
+    assert len(want) == 33 and told(planes.fit_clipped(points, polygons, samples=10)) == want
+
+
+def test_points_go_to_a_crowd_once(spark):
+    polygons = spark.range(40).select(F.col("id").cast("string").alias("polygon_id"), *[F.lit(v).alias(k) for k, v in (("x0", 1.0), ("y0", 1.0), ("x1", 4.0), ("y1", 4.0))])
+    points = spark.range(50).select((F.col("id") / 10).alias("x"), F.lit(2.0).alias("y"), F.lit(0.0).alias("z"))
+    dealt, housed = pt.by_home(points, polygons)
+    assert dealt.count() == 31 and housed.select("home", "part").distinct().count() == 1
+    dealt, housed = pt.by_home(points, polygons, most=10)
+    parts = housed.select("home", "part").distinct().count()
+    assert 1 < parts <= 4 and dealt.count() == 31 * parts
