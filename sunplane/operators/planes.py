@@ -281,7 +281,7 @@ def fit_clipped(points: DataFrame, polygons: DataFrame, key: str = "polygon_id",
         bounds = np.stack([shape.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")], axis=1)
         rows = []
         for ident, own in parts.items():
-            inside = [np.flatnonzero(_clips(bounds[i], edges, erosion, x, y)) for i, edges in own]
+            inside = [np.flatnonzero(clips(bounds[i], edges, erosion, x, y)) for i, edges in own]
             at = inside[0] if len(own) == 1 else np.sort(np.concatenate(inside))
             if len(at):
                 rows.append(_fit_row(key, ident, pts[at], threshold, least_fraction, iterations, tilt_floor, samples, False))
@@ -290,7 +290,7 @@ def fit_clipped(points: DataFrame, polygons: DataFrame, key: str = "polygon_id",
     return dealt.groupBy("home", "part").cogroup(housed.groupBy("home", "part")).applyInArrow(fit, from_arrow_schema(arrow))
 
 
-def _clips(bounds: np.ndarray, edges: list[dict] | None, erosion: float, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def clips(bounds: np.ndarray, edges: list[dict] | None, erosion: float, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which points clip keeps; edges is None for an upright rectangle."""
     x0, y0, x1, y1 = bounds
     if edges is None:

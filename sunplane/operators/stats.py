@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sunplane.functions.angles import azimuth_difference, circular_std
-
 
 def run_stats(rows: DataFrame) -> dict:
     """The manifest's figures in one pass of counts and one of exact percentiles."""
@@ -83,23 +81,6 @@ def stratified_sample(rows: DataFrame, stratum: Column, ident: str, per_stratum:
     return rows.withColumn("stratum", stratum).filter("stratum is not null").withColumn("nth", nth).filter(F.col("nth") <= per_stratum).drop("nth")
 
 
-def size_sweep(trials: DataFrame) -> DataFrame:
-    """Of trials (n, tilt, azimuth, true_azimuth): for each n the mean, sample deviation, 10th and 90th percentile of tilt, the
-    deviation of the azimuth error, its 10th and 90th percentile, and the circular deviation of azimuth."""
-    error = azimuth_difference(F.col("azimuth"), F.col("true_azimuth"))
-    return trials.withColumn("error", error).groupBy("n").agg(
-        F.count(F.lit(1)).alias("trials"),
-        F.avg("tilt").alias("tilt_mean"),
-        F.stddev_samp("tilt").alias("tilt_std"),
-        F.percentile("tilt", F.lit(0.1)).alias("tilt_p10"),
-        F.percentile("tilt", F.lit(0.9)).alias("tilt_p90"),
-        F.stddev_samp("error").alias("azimuth_error_std"),
-        F.percentile("error", F.lit(0.1)).alias("azimuth_error_p10"),
-        F.percentile("error", F.lit(0.9)).alias("azimuth_error_p90"),
-        circular_std(F.avg(F.sin(F.radians("azimuth"))), F.avg(F.cos(F.radians("azimuth")))).alias("azimuth_circular_std"),
-    )
-
-
 def total_bounds(shapes: DataFrame) -> DataFrame:
     return shapes.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
