@@ -4,8 +4,10 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from sunplane.operators import planes
 from sunplane.operators import points as pt
 from sunplane.operators import sweep
 from sunplane.plans import queries
@@ -64,3 +66,24 @@ def test_normals_of_planes_and_of_one_spot():
     hashes, keys = sweep.Hashes(pts[:, 0], pts[:, 1]), np.arange(8, dtype=np.uint64)[None] << np.uint64(60)
     one = [sweep.least_normals(np.array([4]), sweep._sums(pts, at, np.array([4]), keys, hashes, 0, np.empty(99)))[:, 0] for at in (np.arange(4), np.arange(4, 8))]
     assert np.allclose(one[0], np.array([-1, 0, 2]) / math.sqrt(5)) and np.isnan(one[1]).all()
+
+
+def test_every_size_of_crowded_polygons_is_fitted_as_one_by_one():
+    rng = np.random.default_rng(5)
+    pts = rng.uniform(0, 8, (2500, 2))
+    pts = np.column_stack([pts, 0.3 * pts[:, 0] - 0.1 * pts[:, 1] + rng.uniform(0, 1, 2500)])
+    boxes, trials = {"a": (0.0, 0.0, 8.0, 8.0), "b": (1.0, 2.0, 6.0, 5.0), "c": (0.0, 0.0, 1.0, 1.0)}, 11
+    table = pa.table(dict(zip("xyz", pts.T)))
+    shape = pa.table({"polygon_id": list(boxes), "edges": pa.nulls(3), "true_azimuth": [10.0, 200.0, 300.0]} | dict(zip(("x0", "y0", "x1", "y1"), np.array(list(boxes.values())).T)))
+    rows = {r["n"]: r for r in sweep._kernel("polygon_id", queries.SIZES, trials, 20, 0.15, {})(None, table, shape).to_pylist()}
+    want: dict = {n: [] for n in queries.SIZES}
+    for x0, y0, x1, y1 in boxes.values():
+        own = pts[(pts[:, 0] > x0 + 0.15) & (pts[:, 0] < x1 - 0.15) & (pts[:, 1] > y0 + 0.15) & (pts[:, 1] < y1 - 0.15)]
+        for k in range(trials):
+            order = sorted(own.tolist(), key=lambda p: (hashlib.md5(f"{k}:{math.floor(p[0] * 10000)}:{math.floor(p[1] * 10000)}".encode()).hexdigest(), p))
+            for n in queries.SIZES:
+                if n <= len(own):
+                    x, y, z = planes.pca_normal(np.array(order[:n]))[1]
+                    want[n].append(math.degrees(math.atan2(math.hypot(x, y), z)))
+    assert len(want[1000]) == trials and len(want[5]) == 3 * trials
+    assert all(np.allclose(rows[n]["tilt_values"], sorted(t)) and rows[n]["trials"] == len(t) for n, t in want.items())
