@@ -2,33 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sunplane.functions import shapes
 
+BOUNDS = ("x0", "y0", "x1", "y1")
+
 
 def _tile_cells(tiles: DataFrame, size: float) -> DataFrame:
     return tiles.select(
-        F.col("tile_id"), F.col("edges").alias("tile_edges"), F.explode(shapes.cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)).alias("cell")
+        "tile_id", F.col("edges").alias("tile_edges"), _is_box().alias("tile_box"), *[F.col(k).alias("t" + k) for k in BOUNDS], F.explode(shapes.cells(*map(F.col, BOUNDS), size)).alias("cell")
     )
 
 
+def _is_box() -> Column:
+    return F.coalesce(shapes.is_box(F.col("edges"), *map(F.col, BOUNDS)), F.lit(False))
+
+
 def primary_tiles(polygons: DataFrame, tiles: DataFrame, size: float = 1000.0) -> DataFrame:
     """(polygon_id, primary_tile_id): the tile that the centroid (cx, cy) lies strictly within, the least id of several.
-    Polygons whose centroid is in none, or on a side, are left out. An equi-join on grid cells of `size`."""
+    Polygons whose centroid is in none, or on a side, are left out. An equi-join on grid cells of `size`; the sides of upright rectangles aren't looked at."""
     at = polygons.select("polygon_id", "cx", "cy", shapes.cell(F.col("cx"), F.col("cy"), size).alias("cell"))
-    hit = at.join(_tile_cells(tiles, size), "cell").filter(shapes.eroded_contains(F.col("tile_edges"), F.col("cx"), F.col("cy"), 0.0))
+    cx, cy = F.col("cx"), F.col("cy")
+    within = (cx > F.col("tx0")) & (cx < F.col("tx1")) & (cy > F.col("ty0")) & (cy < F.col("ty1"))
+    hit = at.join(_tile_cells(tiles, size), "cell").filter(within & (F.col("tile_box") | shapes.eroded_contains(F.col("tile_edges"), cx, cy, 0.0)))
     return hit.groupBy("polygon_id").agg(F.min("tile_id").alias("primary_tile_id"))
 
 
 def overlap_tiles(polygons: DataFrame, tiles: DataFrame, size: float = 1000.0) -> DataFrame:
-    """(polygon_id, overlapping_tile_ids): the sorted ids of all tiles that the polygon intersects, touching included."""
-    at = polygons.select("polygon_id", "edges", F.explode(shapes.cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), size)).alias("cell"))
-    tile = _tile_cells(tiles, size)
-    near = tile.select("cell", "tile_id", "tile_edges")
-    hit = at.join(near, "cell").filter(shapes.intersects(F.col("edges"), F.col("tile_edges")))
+    """(polygon_id, overlapping_tile_ids): the sorted ids of all tiles that the polygon intersects, touching included.
+    Bounds come first; of upright rectangles they tell all."""
+    at = polygons.select("polygon_id", "edges", _is_box().alias("box"), *BOUNDS, F.explode(shapes.cells(*map(F.col, BOUNDS), size)).alias("cell"))
+    meet = (F.col("x0") <= F.col("tx1")) & (F.col("x1") >= F.col("tx0")) & (F.col("y0") <= F.col("ty1")) & (F.col("y1") >= F.col("ty0"))
+    hit = at.join(_tile_cells(tiles, size), "cell").filter(meet & ((F.col("box") & F.col("tile_box")) | shapes.intersects(F.col("edges"), F.col("tile_edges"))))
     return hit.groupBy("polygon_id").agg(F.array_sort(F.collect_set("tile_id")).alias("overlapping_tile_ids"))
 
 

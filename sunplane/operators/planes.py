@@ -164,7 +164,8 @@ def _fit_consensus(points: np.ndarray, threshold: float, least_fraction: float,
 
 
 def bootstrap(points: np.ndarray, plane: Plane, samples: int = 50, seed: int = 0) -> tuple[float, float]:
-    """One standard deviation of tilt, and one circular one of azimuth, over refits to resampled inliers."""
+    """One standard deviation of tilt, and one circular one of azimuth, over refits to resampled inliers. How often each inlier is
+    drawn tells a resample's moments, so it isn't written out."""
     pts = points[plane.inliers]
     n = len(pts)
     if n < 3:
@@ -172,14 +173,17 @@ def bootstrap(points: np.ndarray, plane: Plane, samples: int = 50, seed: int = 0
     if samples < 2:
         return math.nan, math.nan
     draw, rep = np.arange(1, n + 1, dtype=np.int64), np.arange(1, samples + 1, dtype=np.int64)[:, None]
-    normals = []
+    x, y, z = (pts - pts.mean(axis=0)).T
+    terms = np.stack([x, y, z, x * x, x * y, x * z, y * y, y * z, z * z], axis=1)
+    sums = []
     step = max(1, 1_000_000 // n)
     for k in range(0, samples, step):
-        s = scramble(scramble((seed + ITERATION_STEP * rep[k : k + step] + DRAW_STEP * draw) & (LCG_M - 1)))
-        drawn = pts[(s >> 8) % n]
-        d = drawn - drawn.mean(axis=1, keepdims=True)
-        normals.append(np.linalg.eigh(d.transpose(0, 2, 1) @ d)[1][:, :, 0])
-    v = np.concatenate(normals)
+        at = (scramble(scramble((seed + ITERATION_STEP * rep[k : k + step] + DRAW_STEP * draw) & (LCG_M - 1))) >> 8) % n
+        at += n * np.arange(len(at))[:, None]
+        sums.append(np.bincount(at.ravel(), minlength=at.size).astype(float).reshape(at.shape) @ terms)
+    mean = np.concatenate(sums) / n
+    centre, spread = mean[:, :3], mean[:, [3, 4, 5, 4, 6, 7, 5, 7, 8]].reshape(-1, 3, 3)
+    v = np.linalg.eigh(spread - centre[:, :, None] * centre[:, None])[1][:, :, 0]
     v *= np.where(v[:, 2:] < 0, -1.0, 1.0)
     tilts, turn = np.degrees(np.arctan2(np.hypot(v[:, 0], v[:, 1]), v[:, 2])), np.arctan2(v[:, 0], v[:, 1])
     r = min(1.0, math.hypot(float(np.cos(turn).mean()), float(np.sin(turn).mean())))

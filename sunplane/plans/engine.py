@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -21,7 +23,8 @@ from sunplane.staging import staged
 
 
 def with_measures(polygons: DataFrame) -> DataFrame:
-    """polygons (with rings) plus edges, bounds, area, centroid and aspect_ratio. Empty shapes get nulls."""
+    """polygons (with rings) plus edges, bounds, area, centroid and aspect_ratio. Empty shapes get nulls. Only shapes that are no
+    upright rectangles cross to Python for their aspect."""
 
     @F.pandas_udf("double")
     def aspect(rings):
@@ -29,56 +32,133 @@ def with_measures(polygons: DataFrame) -> DataFrame:
 
         return rings.map(lambda rs: aspect_ratio([[(p["x"], p["y"]) for p in r] for r in rs] if rs is not None else None)).astype(float)
 
-    out = polygons.withColumns({"edges": shapes.edges(F.col("rings")), "_b": shapes.bounds(F.col("rings")), "_m": shapes.measures(F.col("rings")), "aspect_ratio": aspect("rings")})
-    return out.withColumns({k: F.col(f"_b.{k}") for k in ("x0", "y0", "x1", "y1")} | {"area": F.col("_m.area"), "cx": F.col("_m.cx"), "cy": F.col("_m.cy"), "aspect_ratio": F.when(~F.isnan("aspect_ratio"), F.col("aspect_ratio"))}).drop("_b", "_m")
+    out = polygons.withColumns({"edges": shapes.edges(F.col("rings")), "_b": shapes.bounds(F.col("rings")), "_m": shapes.measures(F.col("rings"))})
+    out = out.withColumns({k: F.col(f"_b.{k}") for k in BOUNDS} | {"area": F.col("_m.area"), "cx": F.col("_m.cx"), "cy": F.col("_m.cy")})
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    out = out.withColumn("_box", is_box() & (w >= 1e-9) & (h >= 1e-9))
+    out = out.withColumn("_ratio", aspect(F.when(~F.col("_box"), F.col("rings"))))
+    ratio = F.when(F.col("_box"), F.greatest(w, h) / F.least(w, h)).when(~F.isnan("_ratio"), F.col("_ratio"))
+    return out.withColumn("aspect_ratio", ratio).drop("_b", "_m", "_box", "_ratio")
+
+
+BOUNDS = ("x0", "y0", "x1", "y1")
+
+
+def is_box() -> Column:
+    """Whether a shape of with_measures is the upright rectangle of its bounds."""
+    return F.coalesce(shapes.is_box(F.col("edges"), *map(F.col, BOUNDS)), F.lit(False))
 
 
 def _sides(edges: list[dict] | None) -> np.ndarray:
     return np.array([[e["ax"], e["ay"], e["bx"], e["by"]] for e in edges or []], float).reshape(-1, 4)
 
 
-def _measure_group(config: Config):
-    """The kernel: the points near one polygon (x, y, z, is_panel) and its shapes to its fits and medians, in one pass."""
-    reach, erosion = config.roof_plane.buffer_max_m, config.panel_plane.erosion_m
+@dataclass
+class Shape:
+    """A polygon or building: its bounds, and its sides where it is no upright rectangle."""
+
+    bounds: list[float]
+    sides: np.ndarray | None
+
+    def holds(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        x0, y0, x1, y1 = self.bounds
+        return (x > x0) & (x < x1) & (y > y0) & (y < y1) if self.sides is None else contains(self.sides, x, y)
+
+    def within(self, erosion: float, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which points lie in the shape shrunk by `erosion`."""
+        x0, y0, x1, y1 = self.bounds
+        if self.sides is None:
+            return (x > x0 + erosion) & (x < x1 - erosion) & (y > y0 + erosion) & (y < y1 - erosion)
+        return contains(self.sides, x, y) & (boundary_distance(self.sides, x, y) > erosion)
+
+    def away(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The distance of points outside, 0 for the others."""
+        x0, y0, x1, y1 = self.bounds
+        if self.sides is None:
+            dx, dy = np.maximum(np.maximum(x0 - x, x - x1), 0.0), np.maximum(np.maximum(y0 - y, y - y1), 0.0)
+            return np.sqrt(dx * dx + dy * dy)
+        return np.where(contains(self.sides, x, y), 0.0, boundary_distance(self.sides, x, y))
 
-    def run(key: tuple, table: pa.Table, shape: pa.Table) -> pa.Table:
-        if not len(shape):
+
+def _shapes(table: pa.Table, bounds: str, edges: str) -> list[Shape]:
+    sides = [None if e is None else _sides(e) for e in table.column(edges).to_pylist()]
+    corners = np.stack([table.column(bounds + k).to_numpy() for k in BOUNDS], axis=1).tolist()
+    return [Shape(*c) for c in zip(corners, sides)]
+
+
+def _median(v: np.ndarray) -> float:
+    """np.median, without its checks."""
+    half = len(v) // 2
+    if len(v) % 2:
+        return float(np.partition(v, half)[half])
+    low, high = np.partition(v, (half - 1, half))[half - 1 : half + 1]
+    return float((low + high) / 2)
+
+
+def _measure_block(config: Config):
+    """The kernel: the packed points of a block and its polygons to these polygons' fits and medians, in one pass. The points are
+    put in order once, and each polygon looks only at a stretch of them."""
+    reach, erosion, radius = config.roof_plane.buffer_max_m, config.panel_plane.erosion_m, config.heights.ground_search_radius_m
+    c, r = config.panel_plane, config.roof_plane
+    widths = pt.Buffers(r.buffer_m, r.buffer_max_m, r.buffer_step_m, r.min_points).widths
+
+    def run(key: tuple, table: pa.Table, table_of_shapes: pa.Table) -> pa.Table:
+        own = table_of_shapes.filter(table_of_shapes.column("own"))
+        if not len(own):
             return FITS.empty_table()
-        ident = key[0].as_py()
-        own = shape.slice(0, 1).to_pylist()[0]
-        every, is_panel = np.stack([table.column(k).to_numpy() for k in ("x", "y", "z")], axis=1), table.column("is_panel").to_numpy(zero_copy_only=False).astype(bool)
-        hits, soil = every[is_panel], every[~is_panel, 2]
-        edges, (x, y) = _sides(own["edges"]), hits[:, :2].T
-        inside, d = contains(edges, x, y), boundary_distance(edges, x, y)
-        pts = planes.in_order(hits[inside & (d > erosion)])
-        around = ~inside & (d > 0) & (d < reach)
-        if own["building_edges"] is None or not config.roof_plane.enabled:
-            around[:] = False
-        elif around.any():
-            around &= contains(_sides(own["building_edges"]), x, y)
-            for other in own["other_edges"] or []:
-                around &= ~contains(_sides(other), x, y)
-        ring, distance = hits[around], d[around]
-        seed = planes.stable_seed(ident)
-        c = config.panel_plane
-        p = planes.fit_consensus(pts, c.ransac_threshold_m, c.min_inlier_frac, c.max_iter, c.tilt_floor_deg, seed)
-        row = {"polygon_id": ident, "panel": planes.plane_row(p)}
-        unc = planes.bootstrap(pts, p, c.bootstrap_samples, seed) if c.uncertainty_method == "bootstrap" else (math.nan, math.nan)
-        row["tilt_unc"], row["azimuth_unc"] = (None if math.isnan(v) else v for v in unc)
-        q = planes.second_plane(pts, p, config.multi_plane.secondary_min_frac, seed) if config.multi_plane.enabled else None
-        row["second"] = planes.plane_row(q) if q else None
-        r = config.roof_plane
-        for width in pt.Buffers(r.buffer_m, r.buffer_max_m, r.buffer_step_m, r.min_points).widths:
-            if (distance < width).sum() >= r.min_points:
-                roof = planes.fit_consensus(planes.in_order(ring[distance < width]), r.ransac_threshold_m, seed=seed)
-                row |= {"buffer": width, "roof": planes.plane_row(roof)}
-                break
-        top = pts[p.inliers] if p.n_inliers else pts
-        if len(top) and len(soil):
-            row["hag"] = float(np.median(top[:, 2]) - np.median(soil))
-        if p.n_inliers:
-            row["mx"], row["my"], row["mz"] = (float(v) for v in np.median(top, axis=0))
-        return pa.Table.from_pylist([row], FITS)
+        is_panel = table.column("is_panel")
+        hits, soil = planes.in_order(pt.unpacked(table.filter(is_panel).column("data"))), pt.unpacked(table.filter(pc.invert(is_panel)).column("data"))
+        x = np.ascontiguousarray(hits[:, 0])
+        y = np.ascontiguousarray(hits[:, 1])
+        stretch = lambda b, by: slice(*np.searchsorted(x, (b[0] - by, np.nextafter(b[2] + by, np.inf))))
+        mine = _shapes(own, "", "edges")
+        houses: dict = {}
+        if r.enabled:
+            idents = own.column("building_id").to_pylist()
+            first = {b: k for k, b in reversed(list(enumerate(idents))) if b is not None}
+            houses = dict(zip(first, _shapes(own.take(list(first.values())), "b", "building_edges"))) if first else {}
+        free = np.ones(len(hits), bool)
+        for shape in _shapes(table_of_shapes, "", "edges") if houses else ():
+            at = stretch(shape.bounds, 0.0)
+            free[at] &= ~shape.holds(x[at], y[at])
+        roofs = {}
+        for ident, house in houses.items():
+            at = stretch(house.bounds, 0.0)
+            roofs[ident] = at.start + np.flatnonzero(free[at] & house.holds(x[at], y[at]))
+        ground: dict = {}
+        rows = []
+        columns = [own.column(k).to_pylist() for k in ("polygon_id", "cx", "cy", "building_id")]
+        for shape, ident, cx, cy, building in zip(mine, *columns):
+            at = stretch(shape.bounds, 0.0)
+            pts = hits[at][shape.within(erosion, x[at], y[at])]
+            seed = planes.stable_seed(ident)
+            p = planes.fit_consensus(pts, c.ransac_threshold_m, c.min_inlier_frac, c.max_iter, c.tilt_floor_deg, seed)
+            row = {"polygon_id": ident, "panel": planes.plane_row(p)}
+            unc = planes.bootstrap(pts, p, c.bootstrap_samples, seed) if c.uncertainty_method == "bootstrap" else (math.nan, math.nan)
+            row["tilt_unc"], row["azimuth_unc"] = (None if math.isnan(v) else v for v in unc)
+            q = planes.second_plane(pts, p, config.multi_plane.secondary_min_frac, seed) if config.multi_plane.enabled else None
+            row["second"] = planes.plane_row(q) if q else None
+            if building in roofs:
+                ring = roofs[building]
+                ring = ring[slice(*np.searchsorted(ring, (at := stretch(shape.bounds, reach)).indices(len(x))[:2]))]
+                away = shape.away(x[ring], y[ring])
+                for width in widths:
+                    near = (away > 0) & (away < width)
+                    if np.count_nonzero(near) >= r.min_points:
+                        roof = planes.fit_consensus(hits[ring[near]], r.ransac_threshold_m, seed=seed)
+                        row |= {"buffer": width, "roof": planes.plane_row(roof)}
+                        break
+            top = pts[p.inliers] if p.n_inliers else pts
+            if (cx, cy) not in ground:
+                dx, dy = soil[:, 0] - cx, soil[:, 1] - cy
+                below = soil[dx * dx + dy * dy <= radius * radius, 2]
+                ground[cx, cy] = _median(below) if len(below) else None
+            if len(top) and ground[cx, cy] is not None:
+                row["hag"] = _median(top[:, 2]) - ground[cx, cy]
+            if p.n_inliers:
+                row["mx"], row["my"], row["mz"] = (_median(top[:, k]) for k in range(3))
+            rows.append(row)
+        return pa.Table.from_pylist(rows, FITS)
 
     return run
 
@@ -110,13 +190,15 @@ def build_rows(
 
     The points are read twice, and only tiles that a group fetches (a table laid out by tile_id skips the others'
     files): once for the survey of classes by tile, which is staged, once for one join by grid cell and a few
-    comparisons that give every polygon the points near it. A third pass reads the ground points of those groups that lack the
-    panels' class. Only points near polygons are shuffled, by polygon, to one numpy kernel that tells panel from ring
-    points and fits the planes. What is known of groups and polygons is staged, so that it is made once.
+    comparisons that give every block the points near its polygons. A third pass reads the ground points of those groups that lack the
+    panels' class. Only points near polygons are shuffled, once to each block of neighbouring polygons and not once to each
+    polygon, to one numpy kernel that tells panel from ring points and fits the planes. What is known of groups and polygons is
+    staged, so that it is made once.
     """
     c = config
     shaped = with_measures(polygons)
     located = with_measures(tiles) if "edges" not in tiles.columns else tiles
+    shaped = staged(shaped, "shapes")
     groups = assign.tile_groups(assign.assign(shaped, located, c.compute.tile_cell_size_m))
     if only is not None:
         groups = groups.join(only, "partition_id", "left_semi")
@@ -132,18 +214,22 @@ def build_rows(
     buildings = footprints if "edges" in footprints.columns else with_measures(footprints)
     reach = c.roof_plane.buffer_max_m
     mine = staged(mine, "polygons")
-    mine = staged(mine.join(pt.pick_footprints(mine, buildings, c.compute.cell_size_m), "polygon_id", "left").join(pt.neighbours(mine, reach, c.compute.cell_size_m), "polygon_id", "left"), "polygons")
-
-    wanted = mine.select("polygon_id", "x0", "y0", "x1", "y1", "cx", "cy", "panel_class", "least_z", "fetch_tile_ids")
-    near = pt.near_polygons(points, wanted, max(reach, c.heights.ground_search_radius_m), c.compute.cell_size_m)
-    x, y, r = F.col("x"), F.col("y"), c.heights.ground_search_radius_m
-    dx, dy = x - F.col("cx"), y - F.col("cy")
-    soil = (F.col("cls") == k.ground_class) & (dx * dx + dy * dy <= r * r)
-    panel = pt.is_panel(F.col("cls"), F.col("z"), F.col("panel_class"), F.col("least_z"))
-    close = (x >= F.col("x0") - reach) & (x <= F.col("x1") + reach) & (y >= F.col("y0") - reach) & (y <= F.col("y1") + reach)
-    near = near.filter((soil | (panel & close)) & F.array_contains("fetch_tile_ids", F.col("tile_id"))).select("polygon_id", "x", "y", "z", panel.alias("is_panel"))
-    outlines = mine.select(F.col("polygon_id").alias("outline_id"), "edges", "building_edges", "other_edges")
-    fits = near.groupBy("polygon_id").cogroup(outlines.groupBy("outline_id")).applyInArrow(_measure_group(c), from_arrow_schema(FITS))
+    buildings = mine.join(pt.pick_footprints(mine, buildings, c.compute.cell_size_m), "polygon_id", "left")
+    side = lambda f, at: f(F.transform("building_edges", lambda e: e[at]))
+    corners = {"bx0": side(F.array_min, "ax"), "by0": side(F.array_min, "ay"), "bx1": side(F.array_max, "ax"), "by1": side(F.array_max, "ay")}
+    mine = staged(buildings.withColumns(corners), "polygons")
+
+    house = F.coalesce(shapes.is_box(F.col("building_edges"), *map(F.col, corners)), F.lit(False))
+    wanted = mine.select(
+        "polygon_id", F.col("partition_id").alias("gid"), *BOUNDS, "cx", "cy", F.when(~is_box(), F.col("edges")).alias("edges"), "building_id", *corners, F.when(~house, F.col("building_edges")).alias("building_edges")
+    )
+    around, cells = pt.by_block(wanted, reach, c.heights.ground_search_radius_m)
+    read = groups.select("partition_id", F.explode("fetch_tile_ids").alias("tile_id"), F.col("primary_tile_id").alias("group"))
+    read = staged(read.join(choice, "group").select(F.col("partition_id").alias("gid"), "tile_id", "panel_class", "least_z"), "fetch")
+    used = [row[0] for row in read.select("panel_class").distinct().collect()]
+    near = pt.packed(pt.near_blocks(points, cells, read, used, k.ground_class))
+    block = ["home", "gid", "part"]
+    fits = near.groupBy(*block).cogroup(around.groupBy(*block)).applyInArrow(_measure_block(c), from_arrow_schema(FITS))
     return _rows(mine.join(fits, "polygon_id", "left"), c, run_id, classifier or RuleClassifier(c.mounting_rules.thresholds))
 
 
@@ -210,10 +296,10 @@ def _rows(joined: DataFrame, c: Config, run_id: str, classifier: Classifier) ->
 
 
 def _wkb():
-    @F.pandas_udf("binary")
-    def wkb(rings):
-        from sunplane.functions.kernels import write_wkb
+    @F.arrow_udf("binary")
+    def wkb(rings: pa.Array) -> pa.Array:
+        from sunplane.functions.kernels import write_wkb_rings
 
-        return rings.map(lambda rs: write_wkb([[[(p["x"], p["y"]) for p in r] for r in rs]]))
+        return write_wkb_rings(rings)
 
     return wkb

@@ -1,13 +1,17 @@
 """What keeps the point queries whole on large tables: no large broadcast, no repeated work, and shortcuts that agree with the general way."""
 
+import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from sunplane.functions import shapes
-from sunplane.operators import points as pt
+from sunplane.config import Config
+from sunplane.functions import kernels, shapes
+from sunplane.operators import planes, points as pt
 from sunplane.plans import engine, queries, scene
 
 SF = "/root/testdata/sf0.001"
@@ -111,3 +115,73 @@ def test_lineitem_meets_part_before_it_becomes_points(spark):
 def test_consensus_queries_make_no_row_for_each_pair(spark, monkeypatch, name):
     monkeypatch.setattr(pt, "near_polygons", lambda *a, **k: pytest.fail("a row for each point and polygon"))
     assert queries.QUERIES[name](spark, SF).count()
+
+
+def test_whole_run_makes_no_row_for_each_pair(spark, monkeypatch):
+    for name in ("near_polygons", "neighbours"):
+        monkeypatch.setattr(pt, name, lambda *a, **k: pytest.fail("a row for each polygon and what is near it"))
+    queries.QUERIES["full_row"](spark, SF)
+
+
+@pytest.mark.parametrize("most, block", [(512, 25.0), (3, 10.0)])
+def test_blocks_tell_of_each_polygon_what_it_has_alone(spark, crowd, monkeypatch, most, block):
+    """Boxes and other shapes, in one block or in many, with neighbours at home elsewhere and in another tile group."""
+    points, polygons, houses = crowd
+    ring = [[{"x": float(x), "y": float(y)} for x, y in ((-6, 0), (0, -5), (6, 0), (0, 5), (-6, 0))]]
+    one = spark.createDataFrame([("d", ring)], f"polygon_id string, rings {shapes.RINGS}")
+    tilted = spark.createDataFrame([("c", [[{"x": p["x"] * 3, "y": p["y"] * 3} for p in ring[0]]])], f"building_id string, rings {shapes.RINGS}")
+    shaped, built = polygons.select("polygon_id", "rings").unionByName(one), houses.select("building_id", "rings").unionByName(tilted)
+    points = points.withColumns({"cls": F.when(F.rand(4) < 0.3, 2).otherwise(6), "tile_id": F.when(F.col("x") < 3, "t").otherwise("u")})
+    points = spark.createDataFrame(points.collect(), points.schema)
+    tiles = boxes(spark, "tile_id", {"t": (-60, -60, 3, 60), "u": (3, -60, 60, 60)})
+    whole = pt.by_block
+    monkeypatch.setattr(pt, "by_block", lambda *a: whole(*a, block=block, most=most))
+    config = Config.from_dict({"compute": {"tile_cell_size_m": 50.0}, "roof_plane": {"min_points": 10}})
+    got = {r["polygon_id"]: r for r in engine.build_rows(points, shaped, built, tiles, config, "run").collect()}
+
+    mine, near = {r["polygon_id"]: r for r in engine.with_measures(shaped).collect()}, engine.with_measures(built)
+    sides = lambda e: np.array([[v["ax"], v["ay"], v["bx"], v["by"]] for v in e], float)
+    picked = {r["polygon_id"]: sides(r["building_edges"]) for r in pt.pick_footprints(engine.with_measures(shaped), near).collect()}
+    cloud = {k: np.array([(r["x"], r["y"], r["z"]) for r in points.collect() if r["cls"] == k]) for k in (2, 6)}
+    group = {k: r["cx"] < 3 for k, r in mine.items()}
+    fetched = {at: {t for k, r in mine.items() if group[k] == at for t, meets in (("t", r["x0"] <= 3), ("u", r["x1"] >= 3)) if meets} | {"t" if at else "u"} for at in (True, False)}
+    assert len(got) == len(mine) == 41 and sum(r["roof_tilt_deg"] is not None or "roof_complex" in r["flags"] for r in got.values()) > 5
+    for k, r in mine.items():
+        pick = lambda p: p[[("t" if x < 3 else "u") in fetched[group[k]] for x in p[:, 0]]]  # noqa: B023, E731
+        hits, soil = planes.in_order(pick(cloud[6])), pick(cloud[2])
+        x, y = hits[:, 0], hits[:, 1]
+        inside, d = kernels.contains(sides(r["edges"]), x, y), kernels.boundary_distance(sides(r["edges"]), x, y)
+        pts, seed = hits[inside & (d > 0.15)], planes.stable_seed(k)
+        p = planes.fit_consensus(pts, 0.05, 0.6, 200, 1.0, seed)
+        assert (got[k]["n_points_panel"], got[k]["n_inliers_panel"]) == (len(pts), p.n_inliers)
+        top, below = pts[p.inliers] if p.n_inliers else pts, soil[(soil[:, 0] - r["cx"]) ** 2 + (soil[:, 1] - r["cy"]) ** 2 <= 100, 2]
+        hag = np.median(top[:, 2]) - np.median(below) if len(top) and len(below) else 0.0
+        assert got[k]["height_above_ground_m"] == pytest.approx(hag, abs=1e-5)
+        around = ~inside & (d > 0) & (kernels.contains(picked[k], x, y) if k in picked else False)
+        for other, o in mine.items():
+            if other != k and group[other] == group[k]:
+                around &= ~kernels.contains(sides(o["edges"]), x, y)
+        width = next((w for w in pt.Buffers().widths if (around & (d < w)).sum() >= 10), None)
+        assert got[k]["on_building"] == (k in picked) and ("roof_insufficient" in got[k]["flags"]) == (k in picked and width is None)
+        if width:
+            roof = planes.fit_consensus(hits[around & (d < width)], 0.15, seed=seed)
+            assert got[k]["roof_rmse_m"] == (None if math.isnan(roof.rmse) else pytest.approx(roof.rmse, abs=1e-5))
+
+
+def test_points_cross_a_shuffle_some_hundred_at_a_time(spark):
+    rows = [(k % 3, k % 2, 0, float(k), -float(k), k / 7, k % 5 == 0) for k in range(3000)]
+    found = pt.packed(spark.createDataFrame(rows, "home long, gid int, part int, x double, y double, z double, is_panel boolean").coalesce(1)).collect()
+    assert len(found) == 12
+    for r in found:
+        got = np.frombuffer(bytes(r["data"])).reshape(-1, 3)
+        assert got.tolist() == [list(v[3:6]) for v in rows if (v[0], v[1], v[2], v[6]) == (r["home"], r["gid"], r["part"], r["is_panel"])]
+
+
+def test_outlines_are_written_as_one_array(spark):
+    ring = lambda *c: [{"x": float(x), "y": float(y)} for x, y in c]
+    box, triangle = [ring((0, 0), (2, 0), (2, 1), (0, 1), (0, 0))], [ring((0, 0), (9, 0), (9, 9), (0, 0)), ring((4, 1), (5, 1), (5, 2), (4, 1))]
+    kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    for some in ([box, box], [box, triangle], [None, box], [], [[]]):
+        want = [None if rs is None else kernels.write_wkb([[[(p["x"], p["y"]) for p in r] for r in rs]]) for rs in some]
+        assert kernels.write_wkb_rings(pa.array(some, kind)).to_pylist() == want
+    assert kernels.write_wkb_rings(pa.array([triangle, box, box], kind).slice(1)).to_pylist() == [kernels.write_wkb([[[(p["x"], p["y"]) for p in box[0]]]])] * 2
