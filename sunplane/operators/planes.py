@@ -30,8 +30,13 @@ MULTI_THRESHOLD, MULTI_FRACTION, MULTI_ITERATIONS = 0.10, 0.5, 200
 def scramble(state: np.ndarray) -> np.ndarray:
     """One step of the generator between two shifts, so that states in a row don't lie on a lattice. States are from 0 up, so
     masks and shifts are remainders and quotients."""
-    out = ((state ^ (state >> 15)) * LCG_A + LCG_C) & (LCG_M - 1)
-    return out ^ (out >> 13)
+    out = state >> 15
+    out ^= state
+    out *= LCG_A
+    out += LCG_C
+    out &= LCG_M - 1
+    out ^= out >> 13
+    return out
 
 
 def triples(seed: int, n: int, iterations: int) -> np.ndarray:
@@ -73,9 +78,10 @@ def tilt_azimuth(normal: np.ndarray, floor: float = 1.0) -> tuple[float, float]:
 
 def pca_normal(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Centroid and unit normal, upward, of the least-squares plane."""
-    centre = points.mean(axis=0)
-    d = points - centre
-    v = np.linalg.eigh(d.T @ d)[1][:, 0]
+    d = np.ascontiguousarray(points.T)
+    centre = d.mean(axis=1)
+    d -= centre[:, None]
+    v = np.linalg.eigh(d @ d.T)[1][:, 0]
     return centre, v if v[2] >= 0 else -v
 
 
@@ -89,14 +95,16 @@ def _first_best(pts: np.ndarray, at: np.ndarray, normals: np.ndarray, threshold:
     products bound each count from above; exact distances tell those that may be the most, from the highest bound on. A plane
     with all points ends the search, as none has more."""
     n = len(pts)
-    centre = (pts.min(axis=0) + pts.max(axis=0)) / 2
-    local, start = pts - centre, at - centre
-    margin = 4e-6 * (4 * np.abs(local).max() + threshold)  # ten times what rounding of the products and sums can add up to
+    columns = np.ascontiguousarray(pts.T)
+    low, high = columns.min(axis=1), columns.max(axis=1)
+    centre = (low + high) / 2
+    start = at - centre
+    margin = 4e-6 * (4 * np.maximum(high - centre, centre - low).max() + threshold)  # ten times what rounding of the products and sums can add up to
     if not margin < 1e30:
         return int(np.argmax([(_distances(pts, at[k : k + 1], normals[k : k + 1]) < threshold).sum() for k in range(len(at))]))
     planes = np.concatenate([normals, -(normals * start).sum(axis=1, keepdims=True)], axis=1).astype(np.float32)
     flat = np.ones((4, n), np.float32)
-    flat[:3] = local.T
+    np.subtract(columns, centre[:, None], out=flat[:3], casting="same_kind")
     most, best, least, k, step = np.float32(threshold + margin), len(planes), -1, 0, 16
     while k < len(planes) and least < n:
         d = planes[k : k + step] @ flat
@@ -108,7 +116,7 @@ def _first_best(pts: np.ndarray, at: np.ndarray, normals: np.ndarray, threshold:
             count = int(np.count_nonzero(_distances(pts, at[k + i : k + i + 1], normals[k + i : k + i + 1]) < threshold))
             if count > least or count == least and k + i < best:
                 best, least = k + i, count
-        k, step = k + step, max(1, min(256, 2_000_000 // n))
+        k, step = k + step, max(1, min(256, 50_000 // n))
     return best
 
 
@@ -172,14 +180,16 @@ def bootstrap(points: np.ndarray, plane: Plane, samples: int = 50, seed: int = 0
         return math.nan, math.nan
     if samples < 2:
         return math.nan, math.nan
-    draw, rep = np.arange(1, n + 1, dtype=np.int64), np.arange(1, samples + 1, dtype=np.int64)[:, None]
-    x, y, z = (pts - pts.mean(axis=0)).T
+    draw, rep = DRAW_STEP * np.arange(1, n + 1, dtype=np.int64), ITERATION_STEP * np.arange(1, samples + 1, dtype=np.int64)[:, None] + seed
+    draw, rep = (draw & (LCG_M - 1)).astype(np.uint32), (rep & (LCG_M - 1)).astype(np.uint32)  # the generator needs no more bits
+    x, y, z = np.ascontiguousarray(pts.T) - pts.T.mean(axis=1, keepdims=True)
     terms = np.stack([x, y, z, x * x, x * y, x * z, y * y, y * z, z * z], axis=1)
     sums = []
     step = max(1, 1_000_000 // n)
     for k in range(0, samples, step):
-        at = (scramble(scramble((seed + ITERATION_STEP * rep[k : k + step] + DRAW_STEP * draw) & (LCG_M - 1))) >> 8) % n
-        at += n * np.arange(len(at))[:, None]
+        at = scramble(scramble((rep[k : k + step] + draw) & np.uint32(LCG_M - 1))) >> np.uint32(8)
+        at -= at // np.uint32(n) * np.uint32(n)
+        at = at.astype(np.int64) + n * np.arange(len(at))[:, None]
         sums.append(np.bincount(at.ravel(), minlength=at.size).astype(float).reshape(at.shape) @ terms)
     mean = np.concatenate(sums) / n
     centre, spread = mean[:, :3], mean[:, [3, 4, 5, 4, 6, 7, 5, 7, 8]].reshape(-1, 3, 3)

@@ -23,8 +23,8 @@ from sunplane.staging import staged
 
 
 def with_measures(polygons: DataFrame) -> DataFrame:
-    """polygons (with rings) plus edges, bounds, area, centroid and aspect_ratio. Empty shapes get nulls. Only shapes that are no
-    upright rectangles cross to Python for their aspect."""
+    """polygons (with rings) plus edges, bounds, area, centroid and aspect_ratio. Empty shapes get nulls. Upright rectangles
+    are told by their bounds; other shapes cross to Python for their aspect."""
 
     @F.pandas_udf("double")
     def aspect(rings):
@@ -32,13 +32,13 @@ def with_measures(polygons: DataFrame) -> DataFrame:
 
         return rings.map(lambda rs: aspect_ratio([[(p["x"], p["y"]) for p in r] for r in rs] if rs is not None else None)).astype(float)
 
-    out = polygons.withColumns({"edges": shapes.edges(F.col("rings")), "_b": shapes.bounds(F.col("rings")), "_m": shapes.measures(F.col("rings"))})
-    out = out.withColumns({k: F.col(f"_b.{k}") for k in BOUNDS} | {"area": F.col("_m.area"), "cx": F.col("_m.cx"), "cy": F.col("_m.cy")})
+    out = polygons.withColumns({"edges": shapes.edges(F.col("rings")), "_b": shapes.bounds(F.col("rings"))}).withColumns({k: F.col(f"_b.{k}") for k in BOUNDS})
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    out = out.withColumn("_box", is_box() & (w >= 1e-9) & (h >= 1e-9))
-    out = out.withColumn("_ratio", aspect(F.when(~F.col("_box"), F.col("rings"))))
-    ratio = F.when(F.col("_box"), F.greatest(w, h) / F.least(w, h)).when(~F.isnan("_ratio"), F.col("_ratio"))
-    return out.withColumn("aspect_ratio", ratio).drop("_b", "_m", "_box", "_ratio")
+    out = out.withColumn("_box", is_box() & (F.size("rings") == 1) & (w >= 1e-9) & (h >= 1e-9))
+    out = out.withColumns({"_m": F.when(~F.col("_box"), shapes.measures(F.col("rings"))), "_ratio": aspect(F.when(~F.col("_box"), F.col("rings")))})
+    told = {"area": w * h, "cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2, "aspect_ratio": F.greatest(w, h) / F.least(w, h)}
+    rest = {k: F.col(f"_m.{k}") for k in ("area", "cx", "cy")} | {"aspect_ratio": F.when(~F.isnan("_ratio"), F.col("_ratio"))}
+    return out.withColumns({k: F.when(F.col("_box"), v).otherwise(rest[k]) for k, v in told.items()}).drop("_b", "_m", "_box", "_ratio")
 
 
 BOUNDS = ("x0", "y0", "x1", "y1")
@@ -130,7 +130,7 @@ def _measure_block(config: Config):
         columns = [own.column(k).to_pylist() for k in ("polygon_id", "cx", "cy", "building_id")]
         for shape, ident, cx, cy, building in zip(mine, *columns):
             at = stretch(shape.bounds, 0.0)
-            pts = hits[at][shape.within(erosion, x[at], y[at])]
+            pts = hits.take(at.start + np.flatnonzero(shape.within(erosion, x[at], y[at])), axis=0)
             seed = planes.stable_seed(ident)
             p = planes.fit_consensus(pts, c.ransac_threshold_m, c.min_inlier_frac, c.max_iter, c.tilt_floor_deg, seed)
             row = {"polygon_id": ident, "panel": planes.plane_row(p)}
@@ -140,12 +140,12 @@ def _measure_block(config: Config):
             row["second"] = planes.plane_row(q) if q else None
             if building in roofs:
                 ring = roofs[building]
-                ring = ring[slice(*np.searchsorted(ring, (at := stretch(shape.bounds, reach)).indices(len(x))[:2]))]
+                ring = ring[slice(*np.searchsorted(ring, stretch(shape.bounds, reach).indices(len(x))[:2]))]
                 away = shape.away(x[ring], y[ring])
                 for width in widths:
                     near = (away > 0) & (away < width)
                     if np.count_nonzero(near) >= r.min_points:
-                        roof = planes.fit_consensus(hits[ring[near]], r.ransac_threshold_m, seed=seed)
+                        roof = planes.fit_consensus(hits.take(ring[near], axis=0), r.ransac_threshold_m, seed=seed)
                         row |= {"buffer": width, "roof": planes.plane_row(roof)}
                         break
             top = pts[p.inliers] if p.n_inliers else pts
